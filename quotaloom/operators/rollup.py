@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quotaloom.operators.scan import group_medians, quantiles
 from quotaloom.schema import CaseSchema
+from quotaloom.session import reuse
 
 SCHEMA = CaseSchema()
 
@@ -79,7 +80,16 @@ def entity_panel(
     columns = {"true_value": schema.y_true, "pred_value": schema.y_pred, **{s: s for s in scores}}
     if interval:
         columns |= {"interval_lower": interval[0], "interval_upper": interval[1]}
-    endpoint = attach_cutoffs(endpoint_medians(cases, columns, by, schema), cutoffs, by, schema)
+    return panel_of_medians(endpoint_medians(cases, columns, by, schema), cutoffs, scores, by, schema,
+                            bool(interval), extra)
+
+
+def panel_of_medians(
+    medians: DataFrame, cutoffs: DataFrame, scores: Sequence[str], by: Sequence[str] = (),
+    schema: CaseSchema = SCHEMA, interval: bool = False, extra: Sequence[Column] = (),
+) -> DataFrame:
+    """Second level of the rollup, from (entity, endpoint) medians to entities."""
+    endpoint = attach_cutoffs(medians, cutoffs, by, schema)
     th, ph = F.col("true_value") <= F.col("cutoff"), F.col("pred_value") <= F.col("cutoff")
     flagged = endpoint.select(
         "*", F.coalesce(th, F.lit(False)).alias("true_high"), F.coalesce(ph, F.lit(False)).alias("pred_high"),
@@ -135,8 +145,14 @@ def endpoint_relative_panel(
     cases: DataFrame, level: float, scores: Sequence[str], by: Sequence[str] = (),
     schema: CaseSchema = SCHEMA,
 ) -> DataFrame:
-    """Entity panel whose cutoffs come from the evaluated panel itself, per (by, endpoint)."""
-    return entity_panel(cases, concern_cutoffs(cases, level, by, schema), scores, by, schema)
+    """Entity panel whose cutoffs come from the evaluated panel itself, per (by, endpoint).
+
+    The case table is read once: cutoffs and flags both start from its medians.
+    """
+    columns = {"true_value": schema.y_true, "pred_value": schema.y_pred, **{s: s for s in scores}}
+    medians = reuse(endpoint_medians(cases, columns, by, schema))
+    cutoffs = quantiles(medians, "true_value", {"cutoff": level}, [*by, schema.endpoint])
+    return panel_of_medians(medians, cutoffs, scores, by, schema)
 
 
 def absolute_panel(
@@ -181,8 +197,8 @@ def cutoff_sensitivity(
     cases: DataFrame, levels: Sequence[float], scores: Sequence[str], schema: CaseSchema = SCHEMA
 ) -> DataFrame:
     """Entity flags at several cutoff quantiles; medians and quantiles are computed once for all."""
-    medians = endpoint_medians(
-        cases, {"true_value": schema.y_true, "pred_value": schema.y_pred, **{s: s for s in scores}}, schema=schema)
+    medians = reuse(endpoint_medians(
+        cases, {"true_value": schema.y_true, "pred_value": schema.y_pred, **{s: s for s in scores}}, schema=schema))
     names = {f"q{i}": q for i, q in enumerate(levels)}
     cuts = quantiles(medians, "true_value", names, [schema.endpoint])
     entries = [F.struct(F.lit(float(q)).alias("level"), F.col(n).alias("cutoff")) for n, q in names.items()]

@@ -28,8 +28,7 @@ SIGNALS = {"first": "s1", "second": "s2", "proximity": "proximity"}
 
 
 def panel(spark: SparkSession, sf: str) -> DataFrame:
-    rows = cases(spark, sf)
-    return rollup.entity_panel(rows, rollup.concern_cutoffs(rows), SCORES)
+    return rollup.endpoint_relative_panel(cases(spark, sf), 0.25, SCORES)
 
 
 #: rank in the low-first queue of score s1 and the quota of 25 %

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,10 +45,39 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint: the rows survive the loss of any executor."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a table in the shared checkpoint folder.
+
+    Parquet rather than an RDD checkpoint: readers prune columns, and the planner
+    and AQE see the real size.  The rows survive the loss of any executor.
+    """
+    folder = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+#: inputs whose Catalyst size estimate is below this take single-stage plans
+SMALL_BYTES = 32 * 1024 * 1024
+SMALL_BYTES_CONF = "spark.quotaloom.smallBytes"
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of the optimised plan; costs no job.
+
+    Joins multiply the sizes of their sides here, so a large intermediate is never
+    mistaken for a small one; file scans report the pruned file size.
+    """
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def is_small(df: DataFrame) -> bool:
+    limit = int(df.sparkSession.conf.get(SMALL_BYTES_CONF, str(SMALL_BYTES)))
+    return estimated_bytes(df) <= limit
+
+
+def reuse(df: DataFrame) -> DataFrame:
+    """A table read by several later jobs: written once, unless recomputing it is trivial."""
+    return df if is_small(df) else materialize(df)
 
 
 def shuffle_width(spark: SparkSession) -> int:
