@@ -1,8 +1,8 @@
 """The driver tables seen as the package's data model.
 
 ``lineitem`` plays the prediction table: a part is the entity, the return flag the
-endpoint, the price the measured value and a price scaled by the tax the predicted
-one.  The same definitions are given once as DataFrames and once as the SQL text
+endpoint, the price the measured value and a price distorted by tax and supplier the
+predicted one.  The same definitions are given once as DataFrames and once as the SQL text
 that the oracle queries start from.
 """
 
@@ -40,7 +40,8 @@ def cases(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_partkey").cast("string").alias("entity"),
         F.col("l_returnflag").alias("endpoint"),
         F.log10("l_extendedprice").alias("y_true"),
-        F.log10(F.col("l_extendedprice") * (F.lit(0.5) + F.lit(15.0) * F.col("l_tax"))).alias("y_pred"),
+        F.log10(F.col("l_extendedprice") * (F.lit(0.5) + F.lit(15.0) * F.col("l_tax"))
+                + F.lit(10.0) * F.col("l_suppkey")).alias("y_pred"),
         F.col("l_discount").alias("s1"),
         F.col("l_quantity").alias("s2"),
         F.col("l_linestatus").alias("split"),
@@ -55,7 +56,7 @@ cases AS (
   SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_shipdate AS DATE)) AS case_id,
          CAST(l_partkey AS VARCHAR) AS entity, l_returnflag AS endpoint,
          log10(l_extendedprice) AS y_true,
-         log10(l_extendedprice * (0.5::DOUBLE + 15.0::DOUBLE * l_tax)) AS y_pred,
+         log10(l_extendedprice * (0.5::DOUBLE + 15.0::DOUBLE * l_tax) + 10.0::DOUBLE * l_suppkey) AS y_pred,
          l_discount AS s1, l_quantity AS s2, l_linestatus AS split,
          CAST(year(l_shipdate) AS INTEGER) AS study_year,
          CAST(l_orderkey AS VARCHAR) AS reference_id, CAST(l_suppkey AS VARCHAR) AS source_id
