@@ -1,6 +1,7 @@
 """All registered queries; importing the modules fills the registry."""
 
-from quotaloom.plans import queries_metrics, queries_review, queries_splits  # noqa: F401
+from quotaloom.plans import (  # noqa: F401
+    queries_curation, queries_metrics, queries_review, queries_splits)
 from quotaloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
