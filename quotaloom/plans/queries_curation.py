@@ -463,12 +463,13 @@ def complete_endpoints(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---------------------------------------------------------------- panels
 
-@query("case_panel", """WITH r AS (SELECT p_brand, l_returnflag, l_extendedprice AS x, l_quantity AS q, p_type, l_suppkey, CAST(l_orderkey AS VARCHAR) AS doc, l_tax > 0.07 AS std FROM lineitem JOIN part ON l_partkey = p_partkey),
-m AS (SELECT p_brand, l_returnflag, p_type, row_number() OVER (PARTITION BY p_brand, l_returnflag ORDER BY count(*) DESC, p_type) AS rn FROM r GROUP BY ALL)
-SELECT p_brand, l_returnflag, round(median(x), 6) AS v, round(median(q), 6) AS duration, count(*) AS case_row_count, round(min(x), 6) AS v_min, round(max(x), 6) AS v_max,
-  bool_or(r.std) AS std, count(DISTINCT doc) AS document_count, any_value(m.p_type) AS p_type,
-  string_agg(DISTINCT CAST(l_suppkey AS VARCHAR), '; ' ORDER BY CAST(l_suppkey AS VARCHAR)) AS suppliers, round(max(x) - min(x), 6) AS case_spread
-FROM r JOIN m USING (p_brand, l_returnflag) WHERE m.rn = 1 GROUP BY p_brand, l_returnflag""")
+@query("case_panel", """WITH r AS (SELECT p_brand AS b, l_returnflag AS f, l_extendedprice AS x, l_quantity AS q, p_type AS ty, l_suppkey AS su, l_orderkey AS doc, l_tax > 0.07 AS flag FROM lineitem JOIN part ON l_partkey = p_partkey),
+m AS (SELECT b, f, ty, row_number() OVER (PARTITION BY b, f ORDER BY k DESC, ty) AS rn FROM (SELECT b, f, ty, count(*) AS k FROM r GROUP BY b, f, ty)),
+g AS (SELECT b, f, round(median(x), 6) AS v, round(median(q), 6) AS duration, count(*) AS case_row_count, round(min(x), 6) AS v_min, round(max(x), 6) AS v_max,
+  bool_or(flag) AS std, count(DISTINCT doc) AS document_count, string_agg(DISTINCT CAST(su AS VARCHAR), '; ' ORDER BY CAST(su AS VARCHAR)) AS suppliers,
+  round(max(x) - min(x), 6) AS case_spread FROM r GROUP BY b, f)
+SELECT g.b AS p_brand, g.f AS l_returnflag, v, duration, case_row_count, v_min, v_max, std, document_count, m.ty AS p_type, suppliers, case_spread
+FROM g JOIN m ON g.b = m.b AND g.f = m.f WHERE m.rn = 1""")
 def case_panel(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).select(
         "p_brand", "l_returnflag", F.col("l_extendedprice").alias("v"), "l_quantity", "p_type", "l_suppkey", "l_orderkey",
@@ -478,10 +479,10 @@ def case_panel(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out)
 
 
-@query("mode_median_meta", """WITH m AS (SELECT p_brand, p_type, row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, p_type) AS rn FROM part GROUP BY ALL),
-k AS (SELECT p_brand, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, p_name) AS rn FROM part GROUP BY ALL),
-d AS (SELECT p_brand, median(part.p_size) AS msize, median(part.p_retailprice) AS mprice FROM part GROUP BY p_brand)
-SELECT p_brand, round(msize, 6) AS p_size, round(mprice, 6) AS p_retailprice, m.p_type, k.p_name FROM d JOIN m USING (p_brand) JOIN k USING (p_brand) WHERE m.rn = 1 AND k.rn = 1""")
+@query("mode_median_meta", """WITH m AS (SELECT p_brand, p_type, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_type) AS rn FROM (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY p_brand, p_type)),
+k AS (SELECT p_brand, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_name) AS rn FROM (SELECT p_brand, p_name, count(*) AS n FROM part GROUP BY p_brand, p_name)),
+d AS (SELECT p_brand, median(p_size::DOUBLE) AS ms, median(p_retailprice) AS mp FROM part GROUP BY p_brand)
+SELECT d.p_brand, round(ms, 6) AS p_size, round(mp, 6) AS p_retailprice, m.p_type, k.p_name FROM d JOIN m ON d.p_brand = m.p_brand JOIN k ON k.p_brand = d.p_brand WHERE m.rn = 1 AND k.rn = 1""")
 def mode_median_meta(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(panels.species_meta(table(spark, sf, "part"), ["p_brand"], ["p_type", "p_name"], ["p_size", "p_retailprice"]))
 
