@@ -19,10 +19,12 @@ def _join_panels(parts: Sequence[DataFrame], panel: Sequence[str]) -> DataFrame:
     return out
 
 
-def average_ranks(df: DataFrame, value: str, panel: Sequence[str] = (), name: str = "avg_rank") -> DataFrame:
-    """Ranks with ties averaged, from the distinct values and their counts."""
+def average_ranks(df: DataFrame, value: str, panel: Sequence[str] = (), name: str = "avg_rank",
+                  weight: str | None = None) -> DataFrame:
+    """Ranks with ties averaged, from the distinct values and their (weighted) counts."""
     panel = list(panel)
-    distinct = df.where(F.col(value).isNotNull()).groupBy(*panel, value).agg(F.count("*").alias("_w"))
+    distinct = df.where(F.col(value).isNotNull()).groupBy(*panel, value).agg(
+        (F.sum(weight) if weight else F.count("*")).alias("_w"))
     scan = ordered_scan(distinct, [asc(value)], panel, {"w": F.col("_w")})
     ranks = scan.select(*panel, value, (F.col("cum_w") - F.col("_w") + (F.col("_w") + 1) / 2).alias(name))
     return attach_small(df, ranks, [*panel, value])
@@ -36,11 +38,22 @@ def guarded_corr(a: Column, b: Column) -> Column:
     return F.when(varied, F.corr(x, y))
 
 
-def spearman(df: DataFrame, a: str, b: str, panel: Sequence[str] = ()) -> DataFrame:
+def spearman(df: DataFrame, a: str, b: str, panel: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(
-        *panel, F.col(a).alias("_a"), F.col(b).alias("_b"))
-    ranked = average_ranks(average_ranks(rows, "_a", panel, "_ra"), "_b", panel, "_rb")
-    return ranked.groupBy(*panel).agg(guarded_corr(F.col("_ra"), F.col("_rb")).alias("spearman"))
+        *panel, F.col(a).alias("_a"), F.col(b).alias("_b"), *([weight] if weight else []))
+    ranked = average_ranks(average_ranks(rows, "_a", panel, "_ra", weight), "_b", panel, "_rb", weight)
+    if weight is None:
+        return ranked.groupBy(*panel).agg(guarded_corr(F.col("_ra"), F.col("_rb")).alias("spearman"))
+    # weighted Pearson of the ranks, with ranks taken relative to the panel size
+    w, x, y = F.col(weight), F.col("_ra"), F.col("_rb")
+    sums = ranked.groupBy(*panel).agg(
+        F.sum(w).alias("w"), F.sum(w * x).alias("x"), F.sum(w * y).alias("y"), F.sum(w * x * x).alias("xx"),
+        F.sum(w * y * y).alias("yy"), F.sum(w * x * y).alias("xy"))
+    n = F.col("w")
+    cov = F.col("xy") / n - F.col("x") * F.col("y") / (n * n)
+    vx = F.col("xx") / n - F.pow(F.col("x") / n, F.lit(2.0))
+    vy = F.col("yy") / n - F.pow(F.col("y") / n, F.lit(2.0))
+    return sums.select(*panel, F.when((n >= 3) & (vx > 0) & (vy > 0), cov / F.sqrt(vx * vy)).alias("spearman"))
 
 
 def regression_metrics(

@@ -126,17 +126,19 @@ def _windowed(
 
 
 def quantiles(
-    df: DataFrame, value: str, levels: Mapping[str, float], panel: Sequence[str] = ()
+    df: DataFrame, value: str, levels: Mapping[str, float], panel: Sequence[str] = (),
+    weight: str | None = None,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles, one output column per entry of ``levels``.
 
+    An integer ``weight`` stands for that many copies of the row.
     Rows are pre-aggregated to distinct (panel, value) pairs before anything is
     ordered, so neither a hot panel nor a hot value lands in one task.
     """
     panel = list(panel)
     distinct = (
         df.where(F.col(value).isNotNull())
-        .groupBy(*panel, value).agg(F.count("*").alias("_w"))
+        .groupBy(*panel, value).agg((F.sum(weight) if weight else F.count("*")).alias("_w"))
     )
     scan = ordered_scan(distinct, [asc(value)], panel, {"w": F.col("_w")})
     parts = []
