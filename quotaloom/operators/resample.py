@@ -232,8 +232,9 @@ def meta_bootstrap(
     counts = scaled_rows.groupBy("replicate").agg(F.sum("w").alias("sampled_case_n"),
                                                   F.sum(F.when(F.col("_y"), F.col("w")).otherwise(0)).alias("sampled_positive_n"))
     # every fit scores the whole calibration table
-    model = F.broadcast(coefs.join(ranges, "replicate"))
-    scored = calibration.select(case_id, *components).join(model, how="inner", on=F.lit(True))
+    model = coefs.join(ranges, "replicate")
+    numbers = F.explode(F.sequence(F.lit(-1), F.lit(reps - 1))).alias("replicate")
+    scored = calibration.select(case_id, *components, numbers).join(F.broadcast(model), "replicate")
     z = F.col("_b")[len(components)]
     for i, c in enumerate(components):
         z = z + F.col("_b")[i] * scaled(i, c)

@@ -226,12 +226,14 @@ def group_medians(
 def attach_small(df: DataFrame, per_panel: DataFrame, panel: Sequence[str]) -> DataFrame:
     """Add per-panel columns to rows; NULL panel keys match.
 
-    Without a panel the right side is a single aggregate row and is broadcast;
-    otherwise the join strategy is left to the runtime statistics, since the
-    number of panels has no fixed bound.
+    Without a panel the right side is a single aggregate row and becomes a scalar
+    subquery; otherwise the join strategy is left to the runtime statistics, since
+    the number of panels has no fixed bound.
     """
     if not panel:
-        return df.join(F.broadcast(per_panel), how="inner", on=F.lit(True))
+        row = per_panel.select(F.struct(*per_panel.columns)).scalar()
+        return df.select("*", row.alias("_row")).select(
+            *df.columns, *[F.col(f"_row.{c}").alias(c) for c in per_panel.columns])
     renamed = per_panel.select(
         *[F.col(c).alias(f"_k{i}") for i, c in enumerate(panel)],
         *[c for c in per_panel.columns if c not in panel])
