@@ -176,7 +176,7 @@ def result_blocks(
           for c in (start, *members)])
     ok = F.col("_opened") > 0
     for c in required:
-        ok = ok & blank_to_null(F.col(c)).isNotNull()
+        ok = ok & blank_to_null(F.col(f"`{c}`")).isNotNull()  # labels may contain dots
     return blocks.where(ok).drop("_opened", "cum_stop")
 
 
