@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quotaloom.functions.numeric import rate_of, safe_rate
 from quotaloom.operators.ranking import aurc, melt_scores, risk_coverage
 from quotaloom.operators.scan import asc, attach_small, desc, ordered_scan, quantiles
+from quotaloom.session import is_small
 
 
 def _join_panels(parts: Sequence[DataFrame], panel: Sequence[str]) -> DataFrame:
@@ -20,10 +21,22 @@ def _join_panels(parts: Sequence[DataFrame], panel: Sequence[str]) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, value: str, panel: Sequence[str] = (), name: str = "avg_rank",
-                  weight: str | None = None) -> DataFrame:
-    """Ranks with ties averaged, from the distinct values and their (weighted) counts."""
+                  weight: str | None = None, base: DataFrame | None = None) -> DataFrame:
+    """Ranks with ties averaged, from the distinct values and their (weighted) counts.
+
+    ``base`` is a cheaper frame with the same values, for a ``df`` that already
+    carries other joins.
+    """
     panel = list(panel)
-    distinct = df.where(F.col(value).isNotNull()).groupBy(*panel, value).agg(
+    if is_small(df):
+        w = F.col(weight) if weight else F.lit(1)
+        counted = F.when(F.col(value).isNotNull(), w)
+        # the default frame of an ordered window includes the ties of the current row
+        upto = F.sum(counted).over(Window.partitionBy(*panel).orderBy(F.col(value).asc_nulls_last()))
+        ties = F.sum(counted).over(Window.partitionBy(*panel, value))
+        return df.withColumn(name, F.when(F.col(value).isNotNull(), upto - ties + (ties + 1) / 2))
+    source = df if base is None else base
+    distinct = source.where(F.col(value).isNotNull()).groupBy(*panel, value).agg(
         (F.sum(weight) if weight else F.count("*")).alias("_w"))
     scan = ordered_scan(distinct, [asc(value)], panel, {"w": F.col("_w")})
     ranks = scan.select(*panel, value, (F.col("cum_w") - F.col("_w") + (F.col("_w") + 1) / 2).alias(name))
@@ -41,7 +54,8 @@ def guarded_corr(a: Column, b: Column) -> Column:
 def spearman(df: DataFrame, a: str, b: str, panel: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(
         *panel, F.col(a).alias("_a"), F.col(b).alias("_b"), *([weight] if weight else []))
-    ranked = average_ranks(average_ranks(rows, "_a", panel, "_ra", weight), "_b", panel, "_rb", weight)
+    ranked = average_ranks(rows, "_a", panel, "_ra", weight)
+    ranked = average_ranks(ranked, "_b", panel, "_rb", weight, rows)
     if weight is None:
         return ranked.groupBy(*panel).agg(guarded_corr(F.col("_ra"), F.col("_rb")).alias("spearman"))
     # weighted Pearson of the ranks, with ranks taken relative to the panel size

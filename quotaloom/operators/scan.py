@@ -191,14 +191,23 @@ def group_medians(
 ) -> DataFrame:
     """Exact medians per group (``output -> input`` in ``columns``) plus decomposable aggregates.
 
-    Ordinary groups use the built-in ``median`` in one shuffle.  Groups that would
-    not fit one task are split off and answered by :func:`quantiles`.
+    Ordinary groups need one shuffle: the rank windows and the final aggregate share
+    its partitioning, and their sorts spill, where the built-in percentile serialises
+    a hash map per group.  Groups that would not fit one task are split off and
+    answered by :func:`quantiles`.
     """
     keys = list(keys)
 
     def plain(part: DataFrame) -> DataFrame:
-        return part.groupBy(*keys).agg(
-            *[F.median(src).alias(out) for out, src in columns.items()], *extra)
+        group = Window.partitionBy(*keys)
+        ranks = [F.row_number().over(group.orderBy(F.col(src).asc_nulls_last())).alias(f"_r{i}")
+                 for i, src in enumerate(columns.values())]
+        sizes = [F.count(src).over(group).alias(f"_n{i}") for i, src in enumerate(columns.values())]
+        middle = [
+            F.avg(F.when(F.col(f"_r{i}").between(F.ceil(F.col(f"_n{i}") / 2), F.floor(F.col(f"_n{i}") / 2) + 1),
+                         F.col(src).cast("double"))).alias(out)
+            for i, (out, src) in enumerate(columns.items())]
+        return part.select("*", *ranks, *sizes).groupBy(*keys).agg(*middle, *extra)
 
     hot = hot_groups(df, keys, hot_rows)
     if hot is None:

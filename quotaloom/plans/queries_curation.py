@@ -10,6 +10,7 @@ from quotaloom.operators import gates, joins, panels, setops
 from quotaloom.plans.queries_review import n
 from quotaloom.plans.registry import query
 from quotaloom.plans.testbed import CASES, cases, rounded, table
+from quotaloom.session import spread
 from quotaloom.sources import sinks, tables
 
 # ---------------------------------------------------------------- gates
@@ -220,7 +221,9 @@ def effect_values(spark: SparkSession, sf: str) -> DataFrame:
     spelled = (F.when(flag == "A", F.concat(F.format_number("l_extendedprice", 2), F.lit(" mg/L")))
                .when(flag == "N", F.concat(F.format_string("%.2f", F.col("l_quantity")), F.lit("ug/l nominal")))
                .otherwise(F.concat(F.lit("ca. "), F.format_string("%.2f", F.col("l_quantity")), F.lit(" mg/L"))))
-    return table(spark, sf, "lineitem").select(
+    rows = spread(table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_extendedprice", "l_quantity"))
+    return rows.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", text.parse_effect_value(spelled).alias("_v")).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "_v.*")
 
@@ -252,7 +255,8 @@ def csv_escape(spark: SparkSession, sf: str) -> DataFrame:
 def hashed_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     """Set bits of every whole document."""
     bits = text.hashed_fingerprint(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", bits.alias("bits")).withColumn("n_bits", F.size("bits"))
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", bits.alias("bits")).withColumn("n_bits", F.size("bits"))
 
 
 @query("legacy_renames", """SELECT o_orderkey, o_totalprice AS score, CASE o_orderstatus WHEN 'P' THEN 'pending' WHEN 'F' THEN 'final' ELSE o_orderstatus END AS method, o_orderpriority AS note FROM orders""")

@@ -80,5 +80,14 @@ def reuse(df: DataFrame) -> DataFrame:
     return df if is_small(df) else materialize(df)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute a scan of fewer partitions than cores before heavy per-row work.
+
+    A table of many files keeps its partitions; only a few large row groups are moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
