@@ -124,12 +124,14 @@ def nearest(
     label = F.col(group if group else train_id).cast("string")
     key = (F.coalesce(F.col(on).cast("string"), F.lit("__none__")) if on else F.lit(""))
     known = F.col(on).isNotNull() if on else F.lit(True)
+    # aliases give each side its own columns: both may come from the same table
+    inputs = [F.col(f).alias(f) for f in features]
     q = query.where(known).select(
-        F.col(query_id).cast("string").alias("qid"), key.alias("on"), *features,
+        F.col(query_id).cast("string").alias("qid"), key.alias("on"), *inputs,
         F.pmod(F.xxhash64(F.col(query_id).cast("string")), F.lit(q_tiles)).cast("int").alias("qt"),
         F.explode(F.sequence(F.lit(0), F.lit(t_tiles - 1))).alias("tt"))
     t = train.where(known).select(
-        label.alias("tid"), F.col(train_id).cast("string").alias("rid"), key.alias("on"), *features,
+        label.alias("tid"), F.col(train_id).cast("string").alias("rid"), key.alias("on"), *inputs,
         F.pmod(F.xxhash64(F.col(train_id).cast("string")), F.lit(t_tiles)).cast("int").alias("tt"),
         F.explode(F.sequence(F.lit(0), F.lit(q_tiles - 1))).alias("qt"))
     columns, grouped = list(features), group is not None

@@ -157,10 +157,10 @@ def source_family(spark: SparkSession, sf: str) -> DataFrame:
         gates.reference_codes(t, "en[a-z]{2}").alias("reference_codes"))
 
 
-@query("row_flags", """SELECT doc_id, regexp_matches(t, '(?i)\\bund\\b') AS exclude_keyword_flag, regexp_matches(t, '(?i)\\bthe\\b') AS include_keyword_flag,
+@query("row_flags", """SELECT doc_id, regexp_matches(t, '(?i)(^|[^a-z])und([^a-z]|$)') AS exclude_keyword_flag, regexp_matches(t, '(?i)(^|[^a-z])the([^a-z]|$)') AS include_keyword_flag,
   contains(lower(source), 'b') AS acceptable FROM (SELECT doc_id, source, concat_ws(' ', coalesce(text, ''), coalesce(source, '')) AS t FROM documents)""")
 def row_flags(spark: SparkSession, sf: str) -> DataFrame:
-    rows = gates.row_flags(table(spark, sf, "documents"), ["text", "source"], r"\bund\b", r"\bthe\b")
+    rows = gates.row_flags(table(spark, sf, "documents"), ["text", "source"], "(^|[^a-z])und([^a-z]|$)", "(^|[^a-z])the([^a-z]|$)")
     return rows.select("doc_id", "exclude_keyword_flag", "include_keyword_flag",
                        F.lower("source").contains("b").alias("acceptable"))
 

@@ -69,9 +69,9 @@ def separation(rows: str, by: str) -> str:
 sc AS (SELECT {by}, score, {n('pos')} AS p, {n('NOT pos')} AS q FROM {rows} GROUP BY ALL),
 cu AS (SELECT *, sum(p) OVER w AS tp, sum(q) OVER w AS fp, sum(p) OVER (PARTITION BY {by}) AS tot_p,
               sum(q) OVER (PARTITION BY {by}) AS tot_q FROM sc WINDOW w AS (PARTITION BY {by} ORDER BY score DESC)),
-sep AS (SELECT {by}, sum(p * ((tot_q - fp) + q / 2.0::DOUBLE)) / (max(tot_p) * max(tot_q))::DOUBLE AS auroc,
-   sum(p * tp / (tp + fp)::DOUBLE) / max(tot_p)::DOUBLE AS average_precision,
-   min(fp / tot_q::DOUBLE) FILTER (WHERE tp >= tot_p * 0.95::DOUBLE) AS fpr95 FROM cu GROUP BY {by})"""
+sep AS (SELECT {by}, sum(p * ((tot_q - fp) + q / 2.0::DOUBLE)) / nullif((max(tot_p) * max(tot_q))::DOUBLE, 0) AS auroc,
+   sum(p * tp / (tp + fp)::DOUBLE) / nullif(max(tot_p)::DOUBLE, 0) AS average_precision,
+   min(fp / nullif(tot_q::DOUBLE, 0)) FILTER (WHERE tot_p > 0 AND tp >= tot_p * 0.95::DOUBLE) AS fpr95 FROM cu GROUP BY {by})"""
 
 
 @query("auroc_ap_fpr95", f"""WITH d AS (

@@ -110,7 +110,7 @@ qq AS (SELECT * FROM ctx WHERE x2 >= 20), tt AS (SELECT * FROM ctx WHERE x2 < 20
 
 @query("gower_knn", f"""WITH {CONTEXT}, g AS (SELECT max(x1) - min(x1) AS r1, max(x2) - min(x2) AS r2 FROM tt),
 p AS (SELECT q.case_id, t.case_id AS tid,
-   coalesce(least(abs(q.x1 - t.x1) / r1, 1), 0) + least(abs(q.x2 - t.x2) / r2, 1) + coalesce((q.medium <> t.medium)::INT, 0) AS num,
+   CASE WHEN q.x1 IS NULL OR t.x1 IS NULL THEN 0 ELSE least(abs(q.x1 - t.x1) / r1, 1) END + least(abs(q.x2 - t.x2) / r2, 1) + coalesce((q.medium <> t.medium)::INT, 0) AS num,
    1 + (q.x1 IS NOT NULL AND t.x1 IS NOT NULL)::INT + (q.medium IS NOT NULL AND t.medium IS NOT NULL)::INT AS den FROM qq q JOIN tt t ON q.endpoint = t.endpoint, g),
 r AS (SELECT *, num / den AS dist, row_number() OVER (PARTITION BY case_id ORDER BY num / den, tid) AS rn FROM p),
 m AS (SELECT case_id, avg(dist) AS v FROM r WHERE rn <= 5 GROUP BY case_id)
