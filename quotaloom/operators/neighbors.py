@@ -103,7 +103,7 @@ def block_subsets(subsets: Mapping[str, Sequence[str]]) -> Kernel:
     return kernel
 
 
-def _tiles(df: DataFrame, rows: int, tile: int) -> int:
+def _tiles(rows: int, tile: int) -> int:
     return max(1, -(-rows // tile))
 
 
@@ -120,7 +120,7 @@ def nearest(
     neighbours to an equal key.  Ties go to the smaller neighbour id.
     """
     n_query, n_train = query.count(), train.count()
-    q_tiles, t_tiles = _tiles(query, n_query, query_tile), _tiles(train, n_train, train_tile)
+    q_tiles, t_tiles = _tiles(n_query, query_tile), _tiles(n_train, train_tile)
     label = F.col(group if group else train_id).cast("string")
     key = (F.coalesce(F.col(on).cast("string"), F.lit("__none__")) if on else F.lit(""))
     known = F.col(on).isNotNull() if on else F.lit(True)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotaloom.functions.numeric import safe_rate
-from quotaloom.operators.scan import attach_small, first_rows
+from quotaloom.operators.scan import first_rows
 from quotaloom.session import materialize
 
 
@@ -70,7 +70,7 @@ def latest_per_key(cache: DataFrame, updates: DataFrame, key: str, version: str)
     return first_rows(both, [key], [-F.col(version)])
 
 
-def feature_manifest(df: DataFrame, exact_distinct: bool = True) -> DataFrame:
+def feature_manifest(df: DataFrame) -> DataFrame:
     """dtype, distinct values and missing fraction per column, in one pass.
 
     Distinct counts come from (column, value) pairs grouped across all columns, which
@@ -139,6 +139,3 @@ def reference_components(rows: DataFrame, case_id: str, references: str, separat
     first = refs.select(case_id, F.element_at("_refs", 1).alias("node"))
     return first.join(found, "node", "left").select(case_id, F.col("component").alias("reference_number"))
 
-
-__all__ = ["attach_small", "common_keys", "components", "data_flow", "dedupe_exact", "duplicate_audit",
-           "feature_manifest", "latest_per_key", "only_left", "reference_components", "trigger_counts"]

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from quotaloom.functions import numeric, text, units
 from quotaloom.operators import gates, joins, panels, setops
-from quotaloom.plans.queries_review import n
 from quotaloom.plans.registry import query
 from quotaloom.plans.testbed import CASES, cases, rounded, table
 from quotaloom.session import spread

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotaloom.operators import calibrate, metrics, ranking
-from quotaloom.plans.queries_review import METHODS, MISS, n, panel, rate
+from quotaloom.plans.queries_review import METHODS, n, panel, rate
 from quotaloom.plans.registry import query
 from quotaloom.plans.testbed import CASES, PANEL, cases, rounded, table
 

@@ -88,9 +88,10 @@ def stream_coverage(spark: SparkSession, sf: str) -> DataFrame:
     rows = source.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value", F.lit(2.0).alias("lower"), F.lit(20.0).alias("upper"))
     out = gate.windowed_coverage(rows, "ts", "value", "lower", "upper", by=["event_type"])
     folder = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
-    name = f"coverage_{uuid.uuid4().hex}"
-    stream = (out.writeStream.outputMode("complete").format("memory").queryName(name)
-              .option("checkpointLocation", folder).trigger(availableNow=True).start())
+    # complete mode restates all windows, so overwriting the table is idempotent
+    stream = (out.writeStream.outputMode("complete")
+              .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/windows"))
+              .option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start())
     stream.awaitTermination()
-    done = spark.table(name)
+    done = spark.read.parquet(f"{folder}/windows")
     return rounded(done.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n_rows", "coverage"))

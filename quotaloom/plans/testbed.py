@@ -11,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotaloom.operators.scan import asc, hash_key, ordered_scan
-
 SCORES = ("s1", "s2")
 
 
@@ -114,6 +112,3 @@ vectors AS (
               ELSE 'train' END AS partition
   FROM vec_ranked, vec_counts c)
 """
-
-__all__ = ["CASES", "CUTOFFS", "PANEL", "SCORES", "VECTORS", "asc", "case_id", "cases",
-           "hash_key", "ordered_scan", "rounded", "table", "vectors"]

@@ -71,6 +71,11 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def is_small(df: DataFrame) -> bool:
+    """Whether the estimate allows one task per panel.
+
+    Exploding rows over methods or replicates is not in Catalyst's estimate, but the
+    exploded key always joins the panel key, so no panel outgrows its source table.
+    """
     limit = int(df.sparkSession.conf.get(SMALL_BYTES_CONF, str(SMALL_BYTES)))
     return estimated_bytes(df) <= limit
 
