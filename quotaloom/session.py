@@ -58,6 +58,8 @@ def materialize(df: DataFrame) -> DataFrame:
 
 #: inputs whose Catalyst size estimate is below this take single-stage plans
 SMALL_BYTES = 32 * 1024 * 1024
+#: below this a repeated computation is cheaper than writing its result
+REUSE_BYTES = 2 * 1024 * 1024
 SMALL_BYTES_CONF = "spark.quotaloom.smallBytes"
 
 
@@ -81,8 +83,8 @@ def is_small(df: DataFrame) -> bool:
 
 
 def reuse(df: DataFrame) -> DataFrame:
-    """A table read by several later jobs: written once, unless recomputing it is trivial."""
-    return df if is_small(df) else materialize(df)
+    """A table read by several later steps: written once, unless recomputing it is trivial."""
+    return df if estimated_bytes(df) <= REUSE_BYTES and is_small(df) else materialize(df)
 
 
 def spread(df: DataFrame) -> DataFrame:
