@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotaloom.llm import bpe
+from quotaloom.llm import bpe, common, token_counts
 
 Builder = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Builder] = {}
@@ -35,3 +36,10 @@ def op7_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.decode(encoded, ranks).select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op9_token_counts")
+def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    cache = f"{common.checkpoint_dir(spark)}/token-counts-{uuid.uuid4().hex}"
+    counted = token_counts.count_tokens(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), cache)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
