@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotaloom.llm import bpe, common, token_counts
+from quotaloom.llm import bpe, common, quality, token_counts, url_filters
 
 Builder = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Builder] = {}
@@ -43,3 +43,70 @@ def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     cache = f"{common.checkpoint_dir(spark)}/token-counts-{uuid.uuid4().hex}"
     counted = token_counts.count_tokens(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), cache)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+@query("op1_quality_rules", sql=r"""
+with d as (select doc_id, source, coalesce(text, '') as text from documents),
+w as (select doc_id, source, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from d),
+g as (select doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] as k
+      from (select doc_id, ws, unnest(range(1, len(ws) - 1)) as i from w)),
+p as (select distinct doc_id, i + o as pos from (select doc_id, i, count(*) over (partition by doc_id, k) as c from g),
+      (values (0), (1), (2)) v(o) where c > 1),
+r as (select doc_id, count(*) as n_repeat_words from p group by doc_id),
+l as (select doc_id, count(*) - count(distinct line) as n_dup_lines
+      from (select doc_id, unnest(string_split(text, chr(10))) as line from d)
+      where regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g') <> '' group by doc_id),
+s as (select doc_id, source, len(ws)::bigint as n_words,
+      length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::bigint as word_chars,
+      (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+      coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words
+      from w left join r using (doc_id) left join l using (doc_id)),
+b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from s),
+h as (select source, count(*) as n, sum(base_failed::int) as f from b group by source),
+m as (select avg(f / n) as mean, var_samp(f / n) as v from h),
+q as (select mean, case when v > 0 and mean > 0 and mean < 1 then least(greatest(mean * (1 - mean) / v - 1, 1), 1e6) else 10 end
+      as weight from m),
+k as (select source, (f + mean * weight) / (n + weight) <= 0.5 as host_ok from h, q)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and host_ok as kept
+from b left join k on b.source is not distinct from k.source""")
+def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf, "documents"))
+    return judged.select("doc_id", *quality.SIGNALS, "base_failed", "kept")
+
+
+URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+
+
+def _rank_sql(name: str, seeds: str, edges: str, rounds: int = 10) -> str:
+    """The rounds of one PageRank written out, as names name_0 .. name_rounds."""
+    steps = [f"{name}_0 as (select host, 1.0::double - 0.85::double as score from {seeds})"]
+    for k in range(1, rounds + 1):
+        steps.append(f"""{name}_{k} as (select host, sum(score) as score from (select * from {name}_0 union all
+            select dst, 0.85::double / degree * score from {edges} join {name}_{k - 1} on src = host) group by host)""")
+    return ",\n".join(steps)
+
+
+@query("op6_url_filters", sql=rf"""
+with u as (select page_id, coalesce(html, '') as html, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '') as h,
+           coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
+p as (select page_id, html, path, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host from u),
+f as (select *, case when (host = 'example.net' or ends_with(host, '.example.net')) and starts_with(path, '/en/') then 'example.net/en/'
+      when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/de/') then 'example.com/de/'
+      when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/fr/') then 'org/fr/'
+      when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/') then 'net/' end as rule from p),
+v as (select *, case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow' end as fit from f),
+hosts as (select host, count(*) as n, count(*) filter (fit = 'allow') as a, count(*) filter (fit = 'block') as b
+          from v where host <> '' group by host),
+links as (select distinct host as src, translate(unnest(regexp_extract_all(html,
+          '(?i)\bhref\s*=\s*["'']?[a-z][a-z0-9+.-]*://([^/?#"''\s<>]+)', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as dst from p),
+edges as (select src, dst from links where src <> dst and src <> ''),
+fore as (select src, dst, count(*) over (partition by src) as degree from edges),
+back as (select dst as src, src as dst, count(*) over (partition by dst) as degree from edges),
+good as (select host from hosts where 2 * a > n), bad as (select host from hosts where 2 * b > n),
+{_rank_sql('t', 'good', 'fore')},
+{_rank_sql('d', 'bad', 'back')}
+select page_id, v.host, path, rule,
+  coalesce(fit, case when coalesce(d_10.score, 0) > coalesce(t_10.score, 0) + 0.05 then 'block' else 'allow' end) as verdict
+from v left join t_10 on v.host = t_10.host left join d_10 on v.host = d_10.host""")
+def op6_url_filters(spark: SparkSession, sf: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
