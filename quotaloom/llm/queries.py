@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotaloom.llm import bpe, common, quality, token_counts, url_filters
+from quotaloom.llm import bpe, common, quality, token_counts, url_filters, warc
 
 Builder = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Builder] = {}
@@ -110,3 +110,12 @@ select page_id, v.host, path, rule,
 from v left join t_10 on v.host = t_10.host left join d_10 on v.host = d_10.host""")
 def op6_url_filters(spark: SparkSession, sf: str) -> DataFrame:
     return url_filters.judge(table(spark, sf, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op5_warc")
+def op5_warc(spark: SparkSession, sf: str) -> DataFrame:
+    folder = f"{common.checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    written = warc.write_archives(table(spark, sf, "pages"), f"{folder}/whole")
+    warc.normalise(written, f"{folder}/members")
+    return warc.read_records(spark, f"{folder}/members").select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
