@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotaloom.llm import bpe, common, quality, token_counts, url_filters, warc
+from quotaloom.llm import bpe, common, quality, token_counts, toxicity, url_filters, warc
 
 Builder = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Builder] = {}
@@ -119,3 +119,12 @@ def op5_warc(spark: SparkSession, sf: str) -> DataFrame:
     warc.normalise(written, f"{folder}/members")
     return warc.read_records(spark, f"{folder}/members").select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf, "labels"), ~held_out)
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
