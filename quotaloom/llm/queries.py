@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotaloom.llm import bpe, common, quality, token_counts, toxicity, url_filters, warc
+from quotaloom.llm import bpe, common, ngram_join, quality, token_counts, toxicity, url_filters, warc
 
 Builder = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Builder] = {}
@@ -128,3 +128,8 @@ def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf, "labels"), ~held_out)
     return toxicity.score(docs, model).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op10_ngram_join")
+def op10_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf, "documents"), n=4, similarity=(85, 100))
