@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotaloom.llm import bpe, common, ngram_join, quality, token_counts, toxicity, url_filters, warc
+from quotaloom.llm import bpe, common, line_dedup, ngram_join, quality, token_counts, toxicity, url_filters, warc
 
 Builder = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Builder] = {}
@@ -133,3 +133,28 @@ def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_ngram_join")
 def op10_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.join(table(spark, sf, "documents"), n=4, similarity=(85, 100))
+
+
+@query("op2_line_dedup", sql=r"""
+with raw as (select doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as no from documents),
+l as (select doc_id, no, line, trim(regexp_replace(lower(line), '[\x09-\x0D ]+', ' ', 'g')) as norm from raw),
+d as (select norm, min((doc_id, no)) as first from l where norm <> '' group by norm),
+w as (select first, norm, string_split(norm, ' ') as ws, len(string_split(norm, ' ')) as n from d),
+h as (select first, ws, n, unnest([('p', n, ws[1:n // 2]), ('s', n, ws[n // 2 + 1:]), ('p', n - 1, ws[1:(n - 1) // 2]),
+      ('s', n - 1, ws[(n - 1) // 2 + 2:])]) as k from w where n >= 8),
+c as (select distinct a.first as spot, b.first as other, a.ws as x, b.ws as y from h a join h b on a.k = b.k and b.first < a.first
+      where abs(a.n - b.n) <= 1),
+near as (select distinct spot from c where
+  (len(x) = len(y) and len(list_filter(range(1, len(x) + 1), lambda i: x[i] <> y[i])) <= 1)
+  or (len(x) = len(y) + 1 and len(list_filter(range(0, len(x)), lambda i: list_concat(x[1:i], x[i + 2:]) = y)) > 0)
+  or (len(y) = len(x) + 1 and len(list_filter(range(0, len(y)), lambda i: list_concat(y[1:i], y[i + 2:]) = x)) > 0)),
+f as (select l.*, l.norm <> '' and (l.doc_id, l.no) <> d.first as again, l.norm <> '' and near.spot is not null as near
+      from l left join d on l.norm = d.norm left join near on near.spot = (l.doc_id, l.no)),
+g as (select doc_id, count(*) as n_lines, count(*) filter (again or near) as n_removed, count(*) filter (near and not again) as n_near,
+      coalesce(string_agg(line, chr(10) order by no) filter (not (again or near)), '') as text from f group by doc_id)
+select doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed, coalesce(n_near, 0) as n_near,
+  sha256(g.text) as text_sha256 from documents left join g using (doc_id)""")
+def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    left = line_dedup.dedup_lines(table(spark, sf, "documents"))
+    return left.select("doc_id", F.col("ld_lines").alias("n_lines"), F.col("ld_removed").alias("n_removed"), F.col("ld_near").alias("n_near"),
+                       F.sha2("text", 256).alias("text_sha256"))
