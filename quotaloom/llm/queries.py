@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotaloom.llm import bpe, common, line_dedup, ngram_join, quality, token_counts, toxicity, url_filters, warc
+from quotaloom.llm import bpe, common, decontaminate, line_dedup, ngram_join, quality, token_counts, toxicity, url_filters, warc
 
 Builder = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Builder] = {}
@@ -158,3 +158,8 @@ def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     left = line_dedup.dedup_lines(table(spark, sf, "documents"))
     return left.select("doc_id", F.col("ld_lines").alias("n_lines"), F.col("ld_removed").alias("n_removed"), F.col("ld_near").alias("n_near"),
                        F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("op3_decontaminate")
+def op3_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
