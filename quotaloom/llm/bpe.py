@@ -1,7 +1,8 @@
 """Byte-level BPE: each distinct word of the corpus is merged once, and its ids go back to every place it stands in.
 
-Words are cut so that no match of the pre-token pattern crosses a cut: before a single space between two characters
-that are no white space.  A text with other white space next to a space is cut into the matches themselves.
+Words are cut so that no match of the pre-token pattern crosses a cut: before a single space, around a single line end,
+and before a comma or dot between a letter or digit and one of these.  A text in which such a cut could split a match
+(white space in a row, runs of marks) is cut into the matches themselves.
 
 1. Each chunk numbers its words; a document becomes the numbers of its words by position.
 2. Distinct words meet in buckets of a hash, over all chunks; each is encoded once there.
@@ -26,8 +27,8 @@ from pyspark.sql import types as T
 from quotaloom.llm import common
 
 WHITE = "\t-\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: a space with white space before or behind it
-TIGHT = re.compile(f"[{WHITE}] | [{WHITE}]")
+#: where the quick cuts could split a match: white space in a row or at an end, and a run of marks that a comma or dot ends
+TIGHT = re.compile(rf"[{WHITE}]{{2}}|^[{WHITE}]|[{WHITE}]\Z|[\W_][,.][ \n]|\0")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -42,9 +43,10 @@ def word_cutter(pattern: str):
     exact = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]"))
 
     def cut(text: str) -> list[str]:
-        if TIGHT.search(text) or text[:1] == " " or text[-1:] == " ":
+        if TIGHT.search(text):
             return exact.findall(text)
-        return text.replace(" ", "\0 ").split("\0") if "\0" not in text else exact.findall(text)
+        text = text.replace(", ", "\0, ").replace(". ", "\0. ").replace(".\n", "\0.\n").replace(",\n", "\0,\n")
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
     return cut
 
@@ -54,7 +56,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", d
     """doc_id, ids: the ids of the whole text as little-endian unsigned 32-bit integers, by position."""
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
-    buckets = buckets or common.shuffle_width(spark)
+    buckets = min(buckets or common.shuffle_width(spark), 1 << 16)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, new_chunk = word_cutter(pattern), common.chunk_ids()
@@ -64,10 +66,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", d
                 codes.append(np.array(list(map(numbers.__getitem__, cut(x))) if x else [], np.uint32))
             chunk = next(new_chunk)
             words = [x.encode("utf-8", "surrogatepass") for x in numbers]
-            order, ends = common.by_bucket(words, buckets)
-            flat = common.ranks_in(order).astype(np.uint32)[np.concatenate(codes)]
-            yield common.message("text", chunk, payload=common.pack(flat), ids=rows["doc_id"].to_pylist(),
+            flat, words, at = common.ranked(words, np.concatenate(codes), buckets)
+            yield common.message("text", chunk, payload=common.pack(flat, at), ids=rows["doc_id"].to_pylist(),
                                  sizes=[len(x) for x in codes])
+            order, ends = common.by_bucket(at, buckets)
             for bucket, a, b in common.split_at(ends):
                 yield common.message("words", chunk, bucket, common.pack_words([words[i] for i in order[a:b].tolist()]))
 
@@ -86,13 +88,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", d
             out.append(row | {"kind": "ids", "payload": common.pack(np.fromiter(map(len, ids), np.uint32, len(ids)), flat)})
         return pa.Table.from_pylist(out, schema=common.MESSAGE_SCHEMA)
 
-    def together(chunk: pa.Table) -> pa.Table:
-        rows = sorted(chunk.to_pylist(), key=lambda r: r["bucket"])
-        parts = [common.unpack(r["payload"]) for r in rows[1:]]
+    def together(texts: pa.Table, replies: pa.Table) -> pa.Table:
+        rows = texts.to_pylist()
+        parts = [common.unpack(r["payload"]) for r in sorted(replies.to_pylist(), key=lambda r: r["bucket"])]
         sizes = np.concatenate([np.zeros(0, np.uint32), *(p[0] for p in parts)]).astype(np.int64)
         flat = np.concatenate([np.zeros(0, np.uint32), *(p[1] for p in parts)])
-        starts = np.cumsum(sizes) - sizes
-        codes, at, out = common.unpack(rows[0]["payload"])[0], 0, []
+        codes, buckets_of = common.unpack(rows[0]["payload"])
+        place = common.in_rank(buckets_of)
+        starts, sizes = (np.cumsum(sizes) - sizes)[place], sizes[place]
+        at, out = 0, []
         for n in rows[0]["sizes"]:
             own = codes[at:at + n]
             at += n
@@ -100,9 +104,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", d
         return pa.table({"doc_id": pa.array(rows[0]["ids"], pa.int64()), "ids": pa.array(out, pa.binary())})
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    read = common.stored(rows.mapInArrow(number, common.MESSAGES), spark)
+    read = common.stored(rows.mapInArrow(number, common.MESSAGES))
     replies = read("words").groupBy("bucket").applyInArrow(merge, common.MESSAGES)
-    return read("text").unionByName(replies).groupBy("chunk").applyInArrow(together, "doc_id long, ids binary")
+    return read("text").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(together, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
@@ -118,12 +122,12 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
         tokens = shared.value
         sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
         starts, text = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(tokens), np.uint8)
-        for batch in batches:
+        for part in common.gather(batches, 4 << 20, ids):
             out = []
-            for x in batch.column(batch.schema.get_field_index(ids)):
-                own = np.frombuffer(x.as_py() or b"", "<u4").astype(np.int64)
-                out.append(text[common.spans(starts[own], sizes[own])].tobytes() if x.is_valid else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
+            for x in part[ids].to_pylist():
+                own = np.frombuffer(x or b"", "<u4").astype(np.int64)
+                out.append(None if x is None else text[common.spans(starts[own], sizes[own])].tobytes())
+            yield from part.append_column("decoded", pa.array(out, pa.binary())).combine_chunks().to_batches()
 
     return encoded.mapInArrow(look_up, schema)
 

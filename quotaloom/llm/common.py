@@ -7,6 +7,7 @@ chunk of its own).  Inside a chunk words get small numbers, so that what is shuf
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
@@ -15,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotaloom.session import checkpoint_dir, materialize, shuffle_width, spread
@@ -23,14 +24,14 @@ from quotaloom.session import checkpoint_dir, materialize, shuffle_width, spread
 __all__ = ["checkpoint_dir", "materialize", "shuffle_width", "spread"]
 
 #: bytes of text that close a chunk
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 MESSAGES = "kind string, chunk long, bucket int, ids array<long>, sizes array<int>, marks array<int>, payload binary"
 #: what splits words where a contract says [^\x20\x09-\x0D]+; bytes.split() splits on exactly these six bytes
 SPACES = "\t\n\x0b\x0c\r "
 
 
-def is_null(column: str) -> Any:
-    return F.col(column).isNull()
+def window(*keys: str, order: Any) -> Any:
+    return Window.partitionBy(*keys).orderBy(order)
 
 
 def fold(text: str | None) -> bytes:
@@ -39,10 +40,11 @@ def fold(text: str | None) -> bytes:
 
 
 def pack(*arrays: np.ndarray | bytes) -> bytes:
-    """Arrays and byte strings behind each other, compressed.  unpack() needs no schema."""
+    """Arrays and byte strings behind each other, compressed byte plane by byte plane.  unpack() needs no schema."""
     parts = [np.frombuffer(x, np.uint8) if isinstance(x, bytes) else np.ascontiguousarray(x) for x in arrays]
     head = np.array([len(parts)] + [v for x in parts for v in (ord(x.dtype.char), len(x))], np.int64)
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([head.tobytes(), *(x.tobytes() for x in parts)]))
+    planes = [x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in parts]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([head.tobytes(), *planes]))
 
 
 def unpack(payload: bytes) -> list[np.ndarray]:
@@ -50,10 +52,11 @@ def unpack(payload: bytes) -> list[np.ndarray]:
     n = int(np.frombuffer(raw, np.int64, 1)[0])
     head = np.frombuffer(raw, np.int64, 2 * n, 8)
     out, at = [], 8 + 16 * n
-    for kind, length in head.reshape(-1, 2):
+    for kind, length in head.reshape(-1, 2).tolist():
         kind = np.dtype(chr(kind))
-        out.append(np.frombuffer(raw, kind, int(length), at))
-        at += int(length) * kind.itemsize
+        planes = np.frombuffer(raw, np.uint8, length * kind.itemsize, at).reshape(kind.itemsize, length)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
+        at += length * kind.itemsize
     return out
 
 
@@ -118,31 +121,47 @@ def message(kind: str, chunk: int, bucket: int = -1, payload: bytes = b"", ids:
                                      "marks": marks, "payload": payload}])
 
 
-def stored(messages: DataFrame, spark: SparkSession) -> Callable[..., DataFrame]:
-    """Write messages in the shared folder, a folder for each kind; gives a reader of the kinds asked for."""
-    import uuid
+def stored(messages: DataFrame) -> Callable[[str], DataFrame]:
+    """Write messages in the shared folder, dealt by chunk as the session shuffles; gives a reader of one kind.
 
-    folder = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
-    messages.write.partitionBy("kind").parquet(folder)
+    A later grouping by chunk finds the written rows where they have to be, so only what it joins to them moves.
+    """
+    spark, name = messages.sparkSession, f"messages_{uuid.uuid4().hex}"
+    folder = f"{checkpoint_dir(spark)}/{name}"
+    writer = messages.write.partitionBy("kind").bucketBy(shuffle_width(spark), "chunk").format("parquet")
+    writer.option("path", folder).saveAsTable(name)
+    rows = spark.table(name)
+    return lambda kind: rows.where(F.col("kind") == kind)
 
-    def read(*kinds: str) -> DataFrame:
-        rows = spark.read.schema(MESSAGES).parquet(folder)
-        return rows.where(F.col("kind").isin(*kinds))
 
-    return read
+def kept_by(key: str, rows: DataFrame) -> DataFrame:
+    """Rows moved to where their key belongs and written there: later groupings by it move nothing."""
+    spark, width, name = rows.sparkSession, shuffle_width(rows.sparkSession), f"kept_{uuid.uuid4().hex}"
+    writer = rows.repartition(width, key).write.bucketBy(width, key).format("parquet")
+    writer.option("path", f"{checkpoint_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
 
 
-def by_bucket(words: Iterable[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the words by bucket, and where each bucket's run ends."""
+def ranked(words: list[bytes], codes: np.ndarray, buckets: int) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Number words anew by falling frequency, which packs well: the codes, the words in that order, and their buckets."""
     from zlib import crc32
 
-    at = np.fromiter(map(crc32, words), np.uint32) % buckets
+    order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
+    rank = np.empty(len(words), np.uint32)
+    rank[order] = np.arange(len(words), dtype=np.uint32)
+    words = [words[i] for i in order.tolist()]
+    return rank[codes], words, (np.fromiter(map(crc32, words), np.uint32, len(words)) % buckets).astype(np.uint16)
+
+
+def by_bucket(at: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order by bucket, and where each bucket's run ends; replies put in this order belong to the ranked words."""
     return np.argsort(at, kind="stable"), np.cumsum(np.bincount(at, minlength=buckets))
 
 
-def ranks_in(order: np.ndarray) -> np.ndarray:
-    out = np.empty(len(order), np.int64)
-    out[order] = np.arange(len(order))
+def in_rank(at: np.ndarray) -> np.ndarray:
+    """Where in the replies, put by bucket, the word of each rank stands."""
+    out = np.empty(len(at), np.int64)
+    out[np.argsort(at, kind="stable")] = np.arange(len(at))
     return out
 
 
