@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotaloom.llm import bpe, common, decontaminate, line_dedup, ngram_join, quality, token_counts, toxicity, url_filters, warc
+from quotaloom.llm import bpe, common, decontaminate, language_model, line_dedup, ngram_join, quality, token_counts, toxicity, url_filters, warc
 
 Builder = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Builder] = {}
@@ -163,3 +163,10 @@ def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query("op3_decontaminate")
 def op3_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op8_language_model")
+def op8_language_model(spark: SparkSession, sf: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.coalesce(~held_out, F.lit(True)).alias("train"))
+    return language_model.train_and_score(docs, "train").withColumn("held_out", F.coalesce(held_out, F.lit(False)))
