@@ -134,8 +134,9 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
 
 def ids_array(column: str):
     """The packed ids as array<bigint>, JVM-side."""
-    def at(i):
-        return F.reverse(F.substring(F.col(column), (i * 4 + 1).cast("int"), F.lit(4)))
+    digits = F.hex(F.col(column))
     size = (F.length(F.col(column)) / 4).cast("int")
-    return F.when(size == 0, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.conv(F.hex(at(i)), 16, 10).cast("bigint")))
+
+    def number(i):
+        return F.conv(F.concat(*[F.substring(digits, (i * 8 + k).cast("int"), F.lit(2)) for k in (7, 5, 3, 1)]), 16, 10).cast("bigint")
+    return F.when(size == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), size - 1), number))

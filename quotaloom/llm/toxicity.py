@@ -61,8 +61,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: F.Column, label: str = "toxic
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", output: str = "score") -> DataFrame:
-    """The columns of docs and the probability that the text is toxic."""
+    """The columns of docs and the probability that the text is toxic; a column of that name is replaced."""
     if model.stages is None:
         return docs.withColumn(output, F.lit(model.share))
     scored = model.stages.transform(terms(docs, text))
-    return scored.select(*docs.columns, vector_to_array("_probability")[1].alias(output))
+    return scored.select(*(c for c in docs.columns if c != output), vector_to_array("_probability")[1].alias(output))
