@@ -216,16 +216,15 @@ def recover_metadata(
 ) -> DataFrame:
     """Many-to-many recovery by an exact multi-column key; matches collapse to sorted unique lists.
 
-    Missing key parts are blanked so that they match each other.  The distinct
-    (case, value) pairs are formed before collecting, so repeats cost nothing.
+    Missing key parts are blanked so that they match each other.  The metadata collapse
+    to one row per key before the join, so a case meets one row however many match.
     """
     def blanked(df: DataFrame, rest: Sequence[str]) -> DataFrame:
         return df.select(*[F.coalesce(F.trim(F.col(k).cast("string")), F.lit("")).alias(k) for k in keys], *rest)
-    base = blanked(cases, [case_id])
-    pairs = base.join(blanked(metadata, list(collect)).distinct(), list(keys), "left")
-    long = pairs.select(case_id, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in collect])).alias("_e"))
-    long = long.select(case_id, "_e.*").distinct()
-    return long.groupBy(case_id).agg(*[
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("name") == c, blank_to_null(F.col("value"))))), separator)
-        .alias(c) for c in collect])
+    values = blanked(metadata, list(collect)).select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("name"), blank_to_null(F.col(c)).alias("value")) for c in collect])).alias("_e"))
+    one = values.select(*keys, "_e.*").where("value is not null").distinct().groupBy(*keys).agg(*[
+        F.array_join(F.array_sort(F.collect_list(F.when(F.col("name") == c, F.col("value")))), separator).alias(c)
+        for c in collect])
+    return blanked(cases, [case_id]).join(one, list(keys), "left").select(
+        case_id, *[F.coalesce(c, F.lit("")).alias(c) for c in collect])

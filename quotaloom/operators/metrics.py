@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from quotaloom.functions.numeric import rate_of, safe_rate
 from quotaloom.operators.ranking import aurc, melt_scores, risk_coverage
 from quotaloom.operators.scan import asc, attach_small, desc, ordered_scan, quantiles
-from quotaloom.session import is_small
 
 
 def _join_panels(parts: Sequence[DataFrame], panel: Sequence[str]) -> DataFrame:
@@ -28,13 +27,6 @@ def average_ranks(df: DataFrame, value: str, panel: Sequence[str] = (), name: st
     carries other joins.
     """
     panel = list(panel)
-    if is_small(df):
-        w = F.col(weight) if weight else F.lit(1)
-        counted = F.when(F.col(value).isNotNull(), w)
-        # the default frame of an ordered window includes the ties of the current row
-        upto = F.sum(counted).over(Window.partitionBy(*panel).orderBy(F.col(value).asc_nulls_last()))
-        ties = F.sum(counted).over(Window.partitionBy(*panel, value))
-        return df.withColumn(name, F.when(F.col(value).isNotNull(), upto - ties + (ties + 1) / 2))
     source = df if base is None else base
     distinct = source.where(F.col(value).isNotNull()).groupBy(*panel, value).agg(
         (F.sum(weight) if weight else F.count("*")).alias("_w"))
@@ -43,6 +35,12 @@ def average_ranks(df: DataFrame, value: str, panel: Sequence[str] = (), name: st
     return attach_small(df, ranks, [*panel, value])
 
 
+def exact_mean(name: str, scale: int = 10) -> Column:
+    """Mean whose sum doesn't depend on the order of rows, while every value fits DECIMAL(30, scale)."""
+    fixed = F.col(name).try_cast(f"decimal(30,{scale})")
+    return F.when(F.count(fixed) == F.count(name), F.avg(fixed).cast("double")).otherwise(F.avg(name))
+
+
 def guarded_corr(a: Column, b: Column) -> Column:
     """Pearson correlation, NULL for fewer than three rows or a constant side."""
     both = a.isNotNull() & b.isNotNull()
@@ -142,7 +140,7 @@ def score_summary(
     long = melt_scores(df, scores).withColumn("_error", F.abs(F.col(y_true) - F.col(y_pred)))
     panel = ["method"]
     base = long.groupBy("method").agg(
-        F.avg("score").alias("score_mean"), F.stddev_pop("score").alias("score_std"))
+        exact_mean("score").alias("score_mean"), F.stddev_pop("score").alias("score_std"))
     return _join_panels([
         base, aurc(risk_coverage(long, "_error", "score", case_id, panel), panel),
         error_capture(long, y_true, y_pred, "score", panel),

@@ -14,6 +14,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     """List column to a row matrix, NULL elements as NaN."""
     rows = len(column)
     flat = column.combine_chunks()
+    if isinstance(flat, (pa.ListArray, pa.LargeListArray)) and len(set(pa.compute.list_value_length(flat).to_pylist())) > 1:
+        raise ValueError("vectors of different lengths can't be compared")
     flat = flat.flatten() if isinstance(flat, (pa.ListArray, pa.LargeListArray)) else flat
     values = flat.to_numpy(zero_copy_only=False)
     return values.reshape(rows, -1) if rows else values.reshape(0, 0)
@@ -124,6 +127,9 @@ def nearest(
     label = F.col(group if group else train_id).cast("string")
     key = (F.coalesce(F.col(on).cast("string"), F.lit("__none__")) if on else F.lit(""))
     known = F.col(on).isNotNull() if on else F.lit(True)
+    for name, kind in query.select(*features).dtypes:
+        if kind.startswith("array"):  # a NULL vector has no neighbours and is none
+            known = known & F.col(name).isNotNull()
     # aliases give each side its own columns: both may come from the same table
     inputs = [F.col(f).alias(f) for f in features]
     q = query.where(known).select(

@@ -166,7 +166,7 @@ def result_blocks(
     """
     from quotaloom.operators.scan import asc, ordered_scan
 
-    scan = ordered_scan(fields, [asc(pos)], [doc], {
+    scan = ordered_scan(fields, [asc(pos), asc(label), asc(value)], [doc], {
         "start": (F.col(label) == start).cast("long"), "stop": F.col(label).isin(*stops).cast("long")})
     # a stop row itself belongs to the island it opens, which holds no start
     inside = scan.where((F.col("cum_start") > 0) & F.col(label).isin(start, *members))

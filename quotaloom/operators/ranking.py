@@ -76,18 +76,18 @@ def rank_entities(
 ) -> DataFrame:
     """Review ranking with a fixed count: rank, selected flag, rule and its plain-text basis."""
     if task not in TASK_RULES:
-        raise ValueError("Choose general_error or hazard_omission.")
+        raise ValueError(f"unknown task {task!r}; known: {sorted(TASK_RULES)}")
     rule = rule or TASK_RULES[task][0]
     if rule not in TASK_RULES[task]:
-        raise ValueError("The selected ranking rule does not apply to this review task.")
+        raise ValueError(f"task {task!r} has no rule {rule!r}; it has {list(TASK_RULES[task])}")
     if isinstance(count, bool) or int(count) != count or count < 0:
-        raise ValueError("Review count must be a non-negative integer.")
+        raise ValueError(f"count must be a whole number from 0 on, not {count!r}")
     proximity = rule == "threshold_proximity"
     policy = "low_concern_first" if task == "hazard_omission" else "all_queue"
     order = queue_order("margin_log10" if proximity else rule, entity, policy, pred_high, proximity)
     ranked = ordered_scan(entities, order, rank="rank")
     over = F.when(F.col("panel_rows") < count, F.raise_error(F.format_string(
-        "Review count must be an integer from 0 to %d eligible entities", F.col("panel_rows"))).cast("boolean"))
+        "count exceeds the %d ranked entities", F.col("panel_rows"))).cast("boolean"))
     basis = F.lit(SELECTION_BASIS[rule])
     if task == "hazard_omission":
         basis = F.when(F.col(pred_high), HIGH_CONCERN_BASIS).otherwise(basis)

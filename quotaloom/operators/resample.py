@@ -18,7 +18,7 @@ from quotaloom.functions.numeric import safe_rate, unit_draw
 from quotaloom.operators.metrics import _join_panels, omission_metrics, random_reference, spearman
 from quotaloom.operators.ranking import melt_scores, review_queue
 from quotaloom.operators.scan import asc, ordered_scan, quantiles
-from quotaloom.session import materialize, reuse
+from quotaloom.session import materialize
 
 INTERVAL = {"ci_lower": 0.025, "median": 0.5, "ci_upper": 0.975}
 
@@ -66,7 +66,7 @@ def cluster_bootstrap(
     """Regression metrics per replicate when whole entities are resampled."""
     weights = multiplicities(cases.select(entity).distinct(), entity, reps, seed)
     # read by the error sums and by both rank scans
-    rows = reuse(cases.select(entity, y_true, y_pred).join(weights, entity).drop(entity))
+    rows = materialize(cases.select(entity, y_true, y_pred).join(weights, entity).drop(entity))
     w, d = F.col("w"), F.col(y_pred) - F.col(y_true)
     errors = rows.groupBy("replicate").agg(
         F.sum(w).alias("n_rows"), F.sqrt(F.sum(w * d * d) / F.sum(w)).alias("rmse"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quotaloom.operators.scan import group_medians, quantiles
 from quotaloom.schema import CaseSchema
-from quotaloom.session import reuse
+from quotaloom.session import materialize
 
 SCHEMA = CaseSchema()
 
@@ -150,7 +150,7 @@ def endpoint_relative_panel(
     The case table is read once: cutoffs and flags both start from its medians.
     """
     columns = {"true_value": schema.y_true, "pred_value": schema.y_pred, **{s: s for s in scores}}
-    medians = reuse(endpoint_medians(cases, columns, by, schema))
+    medians = materialize(endpoint_medians(cases, columns, by, schema))
     cutoffs = quantiles(medians, "true_value", {"cutoff": level}, [*by, schema.endpoint])
     return panel_of_medians(medians, cutoffs, scores, by, schema)
 
@@ -197,7 +197,7 @@ def cutoff_sensitivity(
     cases: DataFrame, levels: Sequence[float], scores: Sequence[str], schema: CaseSchema = SCHEMA
 ) -> DataFrame:
     """Entity flags at several cutoff quantiles; medians and quantiles are computed once for all."""
-    medians = reuse(endpoint_medians(
+    medians = materialize(endpoint_medians(
         cases, {"true_value": schema.y_true, "pred_value": schema.y_pred, **{s: s for s in scores}}, schema=schema))
     names = {f"q{i}": q for i, q in enumerate(levels)}
     cuts = quantiles(medians, "true_value", names, [schema.endpoint])

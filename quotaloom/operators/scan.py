@@ -2,10 +2,9 @@
 
 Every ordered operator of the package (ranks, quotas, running sums, exact
 quantiles, order statistics) goes through :func:`ordered_scan`.  A window
-partitioned by the panel key sends a whole panel to one task, which is right only
-for inputs of a checked small size.  Beyond it the rows are range partitioned on
-(panel, order key), so one hot panel is spread over many tasks and only one small
-summary row per (range, panel) is combined globally.
+partitioned by the panel key would send a whole panel to one task; here the rows are
+range partitioned on (panel, order key), so one hot panel is spread over many tasks
+and only one small summary row per (range, panel) is combined globally.
 """
 
 from __future__ import annotations
@@ -16,12 +15,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotaloom.session import is_small, materialize, shuffle_width
+from quotaloom.session import materialize, shuffle_width
 
 #: groups above this many rows take the range-partitioned path in exact medians
 HOT_GROUP_ROWS = 1_000_000
-#: at most this many groups can be called hot, which bounds the broadcast of their keys
-MAX_HOT_GROUPS = 50_000
 
 
 @dataclass(frozen=True)
@@ -78,8 +75,6 @@ def ordered_scan(
         *[k.expr.alias(name) for name, k in keys.items()],
         *[expr.alias(name) for name, expr in measures.items()],
     )
-    if is_small(keyed):
-        return _windowed(keyed, df.columns, ordering, measures, sums, rank, total)
     ranged = keyed.repartitionByRange(shuffle_width(df.sparkSession), F.col("_panel"), *ordering)
     ranged = materialize(ranged.withColumn("_range", F.spark_partition_id()))
 
@@ -108,23 +103,6 @@ def ordered_scan(
     )
 
 
-def _windowed(
-    keyed: DataFrame, columns: Sequence[str], ordering: Sequence[Column], measures: Mapping[str, Column],
-    sums: Mapping[str, Column], rank: str, total: str,
-) -> DataFrame:
-    """The same result with one window per panel, for inputs of a checked small size."""
-    whole = Window.partitionBy("_panel")
-    local = whole.orderBy(*ordering)
-    running = local.rowsBetween(Window.unboundedPreceding, 0)
-    return keyed.select(
-        *[F.col(c) for c in columns],
-        F.row_number().over(local).cast("long").alias(rank),
-        F.count("*").over(whole).cast("long").alias(total),
-        *[F.coalesce(F.sum(m).over(running), F.lit(0)).alias(f"cum_{n}") for n, m in zip(sums, measures)],
-        *[F.sum(m).over(whole).alias(f"total_{n}") for n, m in zip(sums, measures)],
-    )
-
-
 def quantiles(
     df: DataFrame, value: str, levels: Mapping[str, float], panel: Sequence[str] = (),
     weight: str | None = None,
@@ -158,21 +136,10 @@ def quantiles(
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_GROUP_ROWS) -> DataFrame | None:
-    """Keys of groups too large for one task, or None when there are none.
-
-    The threshold grows with the table so that at most ``MAX_HOT_GROUPS`` keys can
-    pass it, which is the size bound of every broadcast of this table.
-    """
-    if is_small(df):
-        return None
-    rows = df.count()
-    threshold = max(hot_rows, rows // MAX_HOT_GROUPS)
-    if rows <= threshold:
-        return None
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    if (sizes.agg(F.max("_rows")).first()[0] or 0) <= threshold:
-        return None
-    return sizes.where(F.col("_rows") > threshold).select(*keys)
+    """Keys of groups too large for one task, or None when there are none."""
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > hot_rows)
+    hot = materialize(sizes.select(*keys))
+    return hot if hot.limit(1).count() else None
 
 
 def _match(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -212,7 +179,6 @@ def group_medians(
     hot = hot_groups(df, keys, hot_rows)
     if hot is None:
         return plain(df)
-    hot = F.broadcast(hot)
     cold_rows = df.join(hot, _match(df, hot, keys), "left_anti")
     hot_rows_df = df.join(hot, _match(df, hot, keys), "left_semi")
     long = hot_rows_df.select(*keys, F.explode(F.array(*[

@@ -86,7 +86,7 @@ def feature_manifest(df: DataFrame) -> DataFrame:
         .alias("missing_fraction"))
 
 
-def components(edges: DataFrame, left: str, right: str, max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """Connected components as (node, component = smallest member).
 
     Alternating large-star and small-star steps: both re-attach neighbours to the
@@ -99,15 +99,12 @@ def components(edges: DataFrame, left: str, right: str, max_rounds: int = 50) ->
     nodes = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "node")
     links = materialize(pairs.where(F.col("a") != F.col("b")).select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    for _ in range(max_rounds):
+    changed = True
+    while changed:
         large = _large_star(links)
         nxt = materialize(_small_star(large))
         changed = nxt.exceptAll(links).limit(1).count() or links.exceptAll(nxt).limit(1).count()
         links = nxt
-        if not changed:
-            break
-    else:
-        raise RuntimeError("connected components did not settle; raise max_rounds")
     labels = links.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
     return nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 

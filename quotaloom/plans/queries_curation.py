@@ -603,19 +603,27 @@ def cache_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return setops.latest_per_key(rows.where("o_orderstatus = 'F'"), rows.where("o_orderstatus <> 'F'"), "o_custkey", "o_orderkey")
 
 
-@query("components", """WITH RECURSIVE e AS (SELECT DISTINCT concat('P', l_partkey) AS a, concat('S', l_suppkey) AS b FROM lineitem WHERE l_quantity = 50 AND l_discount >= 0.1),
-u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r(node, other) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.other = u.a)
-SELECT node, min(other) AS component FROM r GROUP BY node""")
+def spread_labels(edges: str, rounds: int = 12) -> str:
+    """Smallest label of every node after so many steps along the edges (a, b), more than the graph is wide."""
+    steps = [f"both_ways AS (SELECT a, b FROM {edges} UNION SELECT b, a FROM {edges})", "l0 AS (SELECT DISTINCT a AS node, a AS label FROM both_ways)"]
+    for k in range(rounds):
+        steps.append(f"l{k + 1} AS MATERIALIZED (SELECT node, min(label) AS label FROM (SELECT * FROM l{k} UNION ALL SELECT b, label FROM both_ways JOIN l{k} ON node = a) GROUP BY node)")
+    return ", ".join(steps)
+
+
+@query("components", f"""WITH e AS (SELECT DISTINCT concat('P', l_partkey) AS a, concat('S', l_suppkey) AS b FROM lineitem), {spread_labels('e')}
+SELECT node, label AS component FROM l12""")
 def components(spark: SparkSession, sf: str) -> DataFrame:
-    edges = table(spark, sf, "lineitem").where("l_quantity = 50 AND l_discount >= 0.1").select(
+    edges = table(spark, sf, "lineitem").select(
         F.concat(F.lit("P"), F.col("l_partkey")).alias("a"), F.concat(F.lit("S"), F.col("l_suppkey")).alias("b"))
     return setops.components(edges, "a", "b")
 
 
-@query("reference_components")
+@query("reference_components", f"""WITH refs AS (SELECT l_orderkey, list_sort(list(DISTINCT CAST(l_suppkey AS VARCHAR))) AS r FROM lineitem GROUP BY l_orderkey),
+e AS (SELECT DISTINCT r[1] AS a, unnest(r) AS b FROM refs), {spread_labels('e')}
+SELECT l_orderkey, label AS reference_number FROM refs JOIN l12 ON node = r[1]""")
 def reference_components(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines of an order share its suppliers; orders linked by a supplier pair of parts fall together."""
-    refs = table(spark, sf, "lineitem").where("l_returnflag = 'R'").groupBy("l_partkey").agg(
-        F.array_join(F.array_sort(F.collect_set(F.col("l_orderkey").cast("string"))), ";").alias("refs"))
-    return setops.reference_components(refs, "l_partkey", "refs")
+    """Orders that share a supplier fall together; an order has a few lines, so its list of suppliers is short."""
+    refs = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
+        F.array_join(F.array_sort(F.collect_set(F.col("l_suppkey").cast("string"))), ";").alias("refs"))
+    return setops.reference_components(refs, "l_orderkey", "refs")

@@ -91,15 +91,14 @@ rk AS (SELECT *, avg(e) OVER (PARTITION BY method ORDER BY score, case_id ROWS U
 au AS (SELECT method, (sum(risk) - sum(risk) FILTER (WHERE rn = 1 OR rn = n) / 2) / max(n) AS aurc FROM rk GROUP BY method),
 q AS (SELECT method, quantile_cont(e, 0.9) AS el, quantile_cont(score, 0.8) AS sl FROM l GROUP BY method),
 c AS (SELECT method, avg((score >= sl)::INT) FILTER (WHERE e >= el) AS cap FROM l JOIN q USING (method) GROUP BY method),
-m AS (SELECT method, avg(score) AS a, stddev_pop(score) AS s FROM l GROUP BY method)
-SELECT method, round(a, 4) AS score_mean, round(s, 6) AS score_std, round(aurc, 6) AS aurc, round(cap, 6) AS top_decile_error_capture,
+m AS (SELECT method, sum(score::DECIMAL(18, 6))::DOUBLE / count(score) AS a, stddev_pop(score) AS s FROM l GROUP BY method)
+SELECT method, round(a, 6) AS score_mean, round(s, 6) AS score_std, round(aurc, 6) AS aurc, round(cap, 6) AS top_decile_error_capture,
   round(auroc, 6) AS auroc, round(average_precision, 6) AS average_precision, round(fpr95, 6) AS fpr95
 FROM m JOIN au USING (method) JOIN c USING (method) JOIN sep USING (method)""")
 def score_summary(spark: SparkSession, sf: str) -> DataFrame:
     rows = cases(spark, sf).withColumn("shifted", F.col("split") == "O")
     out = metrics.score_summary(rows, METHODS, "y_true", "y_pred", "shifted")
-    # means of two-decimal scores fall on the sixth-place rounding boundary
-    return rounded(out.withColumn("score_mean", F.round("score_mean", 4)))
+    return rounded(out)
 
 
 @query("spearman_matrix", f"""WITH {CASES}, {PANEL},

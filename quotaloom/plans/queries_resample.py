@@ -13,7 +13,7 @@ from quotaloom.plans.testbed import CASES, PANEL, SCORES, cases, rounded
 
 
 def u(*parts: str) -> str:
-    return f"(CAST(concat('0x', substr(sha256(concat_ws('|', {', '.join(parts)})), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE)"
+    return f"(CAST(concat('0x', substr(sha256(concat_ws('|', {', '.join(parts)})), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE)"
 
 
 def weights(source: str, reps: int, seed: int = 42) -> str:

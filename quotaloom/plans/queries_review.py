@@ -135,6 +135,27 @@ def rank_entities(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.rank_entities(rows, "hazard_omission", 100).drop("predicted_high", "margin_log10")
 
 
+ENDPOINT_LABELS = {"A": "Accepted", "N": "New", "R": "Returned", "X": "Unseen"}
+
+
+@query("queue_view", f"""WITH {CASES}, {PANEL},
+q AS (SELECT entity, pred_high, row_number() OVER (ORDER BY pred_high, min_pred, entity) AS rank, count(*) OVER () AS n, min_pred FROM panel),
+e AS (SELECT entity, list_sort(list(DISTINCT CASE endpoint WHEN 'A' THEN 'Accepted' WHEN 'N' THEN 'New' WHEN 'R' THEN 'Returned' ELSE endpoint END)) AS l FROM cases GROUP BY entity)
+SELECT entity, round(min_pred, 6) AS review_score, array_to_string(l, '; ') AS represented_endpoints,
+  array_to_string(list_filter(['Accepted', 'New', 'Returned', 'Unseen'], lambda x: NOT list_contains(l, x)), '; ') AS missing_endpoints,
+  concat(rank, ' of ', n, ' with a quota of 100: ', CASE WHEN pred_high THEN 'Already predicted high concern; after the low-concern queue'
+       ELSE 'Smaller predicted margin above the concentration criterion' END) AS review_reason,
+  CASE WHEN pred_high THEN 'inside' ELSE 'outside' END AS criterion_position FROM q JOIN e USING (entity)""")
+def queue_view(spark: SparkSession, sf: str) -> DataFrame:
+    from quotaloom.plans import protocol
+
+    rows = panel(spark, sf).select("entity", F.col("pred_high").alias("predicted_high"), F.col("min_pred").alias("margin_log10"),
+                                   F.col("min_pred").alias("prediction"))
+    ranked = ranking.rank_entities(rows, "hazard_omission", 100)
+    view = protocol.queue_view(ranked, cases(spark, sf).select("entity", "endpoint"), ENDPOINT_LABELS, "hazard_omission", "threshold_proximity", 1.0, 100)
+    return rounded(view.select("entity", "review_score", "represented_endpoints", "missing_endpoints", "review_reason", "criterion_position"))
+
+
 @query("route_queue", f"""WITH {CASES}, {PANEL},
 e AS (SELECT *, case_count >= 20 AS input_eligible FROM panel),
 q AS (SELECT *, row_number() OVER (PARTITION BY input_eligible ORDER BY pred_high, s1 DESC NULLS LAST, entity) AS rn,

@@ -148,11 +148,11 @@ def endpoint_pivot(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(cases(spark, sf).groupBy("entity").pivot("endpoint", ["A", "N", "R"]).agg(F.avg("y_true")))
 
 
-@query("stratum_descriptors", f"""WITH {CASES}, {PANEL} SELECT endpoint_count, count(*) AS n_entities, round(avg(s1), 6) AS s1_mean, round(avg(true_high::INT), 6) AS true_high_fraction,
+@query("stratum_descriptors", f"""WITH {CASES}, {PANEL} SELECT endpoint_count, count(*) AS n_entities, round(sum(s1::DECIMAL(12, 4))::DOUBLE / count(s1), 6) AS s1_mean, round(avg(true_high::INT), 6) AS true_high_fraction,
   {n('any_miss')} AS n_missed FROM panel GROUP BY endpoint_count""")
 def stratum_descriptors(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(panel(spark, sf).groupBy("endpoint_count").agg(
-        F.count("*").alias("n_entities"), F.avg("s1").alias("s1_mean"), F.avg(F.col("true_high").cast("double")).alias("true_high_fraction"),
+        F.count("*").alias("n_entities"), F.avg(F.col("s1").cast("decimal(12,4)")).cast("double").alias("s1_mean"), F.avg(F.col("true_high").cast("double")).alias("true_high_fraction"),
         F.count_if("any_miss").alias("n_missed")))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,19 +32,28 @@ def build_session(master: str | None = None, app_name: str = "quotaloom", **conf
     settings.update(conf)
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a private one only where none is set."""
+    """The shared checkpoint folder of the session.
+
+    Where none is set a local session gets a private one; on a cluster each machine
+    would write to its own disk, so a session without a shared folder is refused.
+    """
     context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    current = context._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    folder = configured or tempfile.mkdtemp(prefix="quotaloom-checkpoint-")
+    current = context.getCheckpointDir()
+    if current:
+        return current
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="quotaloom-checkpoint-")
     context.setCheckpointDir(folder)
-    return folder
+    return context.getCheckpointDir()
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -56,35 +67,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-#: inputs whose Catalyst size estimate is below this take single-stage plans
-SMALL_BYTES = 32 * 1024 * 1024
-#: below this a repeated computation is cheaper than writing its result
-REUSE_BYTES = 2 * 1024 * 1024
-SMALL_BYTES_CONF = "spark.quotaloom.smallBytes"
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the optimised plan; costs no job.
-
-    Joins multiply the sizes of their sides here, so a large intermediate is never
-    mistaken for a small one; file scans report the pruned file size.
-    """
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def is_small(df: DataFrame) -> bool:
-    """Whether the estimate allows one task per panel.
-
-    Exploding rows over methods or replicates is not in Catalyst's estimate, but the
-    exploded key always joins the panel key, so no panel outgrows its source table.
-    """
-    limit = int(df.sparkSession.conf.get(SMALL_BYTES_CONF, str(SMALL_BYTES)))
-    return estimated_bytes(df) <= limit
-
-
-def reuse(df: DataFrame) -> DataFrame:
-    """A table read by several later steps: written once, unless recomputing it is trivial."""
-    return df if estimated_bytes(df) <= REUSE_BYTES and is_small(df) else materialize(df)
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, whose Python finds it wherever the driver was started."""
+    context = spark.sparkContext
+    if getattr(context, "_quotaloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="quotaloom-package-")) / "quotaloom-package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._quotaloom_shipped = True
 
 
 def spread(df: DataFrame) -> DataFrame:

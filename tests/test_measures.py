@@ -10,13 +10,13 @@ from quotaloom.functions import text, units
 from quotaloom.operators import calibrate, metrics, neighbors, ranking, resample, support
 
 
-def test_conformal_rank_is_an_order_statistic(spark, plan):
+def test_conformal_rank_is_an_order_statistic(spark):
     df = spark.createDataFrame([(f"c{i}", float(i), 0.0) for i in range(1, 20)], "case_id string, y_true double, y_pred double")
     r = calibrate.conformal_quantile(df, "y_true", "y_pred", None, [0.1]).first()
     assert (r.quantile_rank, r.n_calibration, r.qhat) == (18, 19, 18.0)
 
 
-def test_sparse_groups_use_the_pooled_quantile(spark, plan):
+def test_sparse_groups_use_the_pooled_quantile(spark):
     cal = spark.createDataFrame([("a", 1.0, 0.0, "fish"), ("b", 1.0, 0.0, "fish"), ("c", 10.0, 0.0, "algae"), ("d", 10.0, 0.0, "algae")],
                                 "case_id string, y_true double, y_pred double, g string")
     new = spark.createDataFrame([("x", 0.0, "fish"), ("y", 0.0, "unseen"), ("z", 0.0, None)], "case_id string, y_pred double, g string")
@@ -53,20 +53,20 @@ def test_batched_newton_agrees_with_the_scorer(spark):
     assert beta._b[:2] == pytest.approx(scaled.coefficients, abs=1e-3)
 
 
-def test_selective_risk(spark, plan):
+def test_selective_risk(spark):
     df = spark.createDataFrame([(f"c{i}", float(i) ** 2, 0.0, float(i)) for i in range(5)], "case_id string, y_true double, y_pred double, score double")
     r = ranking.selective_risk(df, "y_true", "y_pred", "score", [0.0, 0.2, 0.4]).orderBy("abstain_fraction").collect()
     assert [x.retained_fraction for x in r] == [1.0, 0.8, 0.6]
     assert r[0].rmse > r[1].rmse > r[2].rmse
 
 
-def test_separation_with_ties(spark, plan):
+def test_separation_with_ties(spark):
     df = spark.createDataFrame([(True, 0.9), (True, 0.5), (False, 0.5), (False, 0.1)], "pos boolean, s double")
     r = metrics.class_separation(df, "pos", "s").first()
     assert r.auroc == pytest.approx(0.875) and r.average_precision == pytest.approx(0.5 + 0.5 * 2 / 3) and r.fpr95 == 0.5
 
 
-def test_spearman_ranks_ties_by_average(spark, plan):
+def test_spearman_ranks_ties_by_average(spark):
     pdf = pd.DataFrame({"a": [1, 2, 2, 3, 5], "b": [2, 1, 4, 4, 4]}, dtype=float)
     assert metrics.spearman(spark.createDataFrame(pdf), "a", "b").first().spearman == pytest.approx(pdf.a.rank().corr(pdf.b.rank()))
 
@@ -154,7 +154,7 @@ def test_outliers_score_higher(spark):
         assert got["out"] > got["in"], name
 
 
-def test_multiplicities_sum_to_the_panel(spark, plan):
+def test_multiplicities_sum_to_the_panel(spark):
     e = spark.createDataFrame([(f"e{i}",) for i in range(40)], "entity string")
     w = resample.multiplicities(e, "entity", 5, 1)
     assert {r.n for r in w.groupBy("replicate").agg(F.sum("w").alias("n")).collect()} == {40}

@@ -28,7 +28,7 @@ def queue(spark):
     return spark.createDataFrame(data, "entity string, pred_high boolean, input_eligible boolean, distance double, spread double")
 
 
-def test_signal_choice_by_capture(dev, plan):
+def test_signal_choice_by_capture(dev):
     m = routing.evaluate_signals(dev, CANDIDATES)
     got = {r.signal: r.false_negative_capture for r in m.collect()}
     assert got == {"distance": 1.0, "spread": 0.0}
@@ -42,7 +42,7 @@ def test_quota_edges(dev, fraction, reviewed, capture, omission_null):
     assert (r.lower_priority_false_omission_rate is None) == omission_null
 
 
-def test_directional_area(dev, plan):
+def test_directional_area(dev):
     m = routing.evaluate_signals(dev, CANDIDATES, "directional_underprediction_area")
     got = {r.signal: r.directional_underprediction_capture_area for r in m.collect()}
     assert got["distance"] > 0.5 > got["spread"]
@@ -54,7 +54,7 @@ def test_uninformative_labels_fall_back(dev):
     assert tuple(got) == ("spread", "benchmark_default_no_false_negatives")
 
 
-def test_routes(queue, plan):
+def test_routes(queue):
     got = {r["entity"]: r for r in rows(routing.route_queue(queue, "distance", 0.25))}
     assert got["Q0"]["route"] == "withhold_review" and got["Q0"]["review_rank"] == 1
     assert got["Q1"]["route"] == "prioritize_testing" and got["Q3"]["route"] == "screen_now"
@@ -67,7 +67,7 @@ def test_quota_counts_eligible_rows_only(queue, fraction, expected):
     assert routing.route_queue(queue, "distance", fraction).where("reviewed").count() == expected
 
 
-def test_ties_do_not_depend_on_input_order(queue, plan):
+def test_ties_do_not_depend_on_input_order(queue):
     tied = queue.withColumn("distance", F.lit(0.5))
     for df in (tied, tied.orderBy(F.desc("entity")).coalesce(1), tied.repartition(4)):
         got = routing.route_queue(df, "distance", 0.25, "low_concern_first").where("reviewed")
@@ -90,14 +90,14 @@ def test_protocol_end_to_end(queue, dev):
         protocol.apply_protocol(queue.unionAll(queue), dev, CANDIDATES, "spread")
 
 
-def test_entity_ranking_rules(spark, plan):
+def test_entity_ranking_rules(spark):
     df = spark.createDataFrame([("a", 0.1, 0.1, 0.2, 0.3, False), ("b", 0.4, 0.2, 0.2, 0.3, False),
                                 ("c", 0.9, 0.3, 0.2, 0.3, False), ("d", -0.5, 0.9, 0.2, 0.3, True)],
                                "entity string, margin_log10 double, block_knn double, similarity_ad double, ensemble_sd double, predicted_high boolean")
     def order(task): return [r.entity for r in ranking.rank_entities(df, task, 1).orderBy("rank").collect()]
     assert order("hazard_omission") == ["a", "b", "c", "d"]
     assert order("general_error") == ["d", "c", "b", "a"]
-    with pytest.raises(Exception, match="integer from 0 to 4"):
+    with pytest.raises(Exception, match="exceeds the 4"):
         ranking.rank_entities(df, "general_error", 5).collect()
     with pytest.raises(ValueError):
         ranking.rank_entities(df, "general_error", 1, "threshold_proximity")
@@ -119,7 +119,7 @@ def test_case_rollup(spark):
         rollup.entity_panel(cases, cut.where("endpoint = 'e1'"), ["s"]).collect()
 
 
-def test_workload_curve(spark, plan):
+def test_workload_curve(spark):
     data = [("e%d" % i, i in (0, 3), i >= 6, float(8 - i)) for i in range(8)]
     df = spark.createDataFrame(data, "entity string, true_high boolean, pred_high boolean, score double")
     curve = ranking.workload_curve(df, "score", policy="low_concern_first").orderBy("k").collect()
@@ -138,7 +138,7 @@ def test_no_misses_is_null_not_zero(spark):
     assert routing.matched_queue(df, "s", {"s": "s"}).first().single_capture is None
 
 
-def test_residual_stage_reviews_as_many_again(spark, plan):
+def test_residual_stage_reviews_as_many_again(spark):
     data = [("e%02d" % i, i % 3 == 0, i >= 12, i % 3 == 0 and i < 12, float(i), float(-i)) for i in range(16)]
     df = spark.createDataFrame(data, "entity string, true_high boolean, pred_high boolean, any_miss boolean, near double, far double")
     second = routing.two_stage_review(df, "near", {"far": "far"})

@@ -22,7 +22,7 @@ def frame(spark, n=400, seed=0):
     return pdf, df.withColumn("x", F.when(~F.isnan("x"), F.col("x")))
 
 
-def test_ranks_and_sums_match_pandas(spark, plan):
+def test_ranks_and_sums_match_pandas(spark):
     pdf, df = frame(spark)
     got = scan.ordered_scan(df, [scan.desc("x"), scan.asc("id")], ["panel"], {"one": F.lit(1), "x": F.coalesce("x", F.lit(0.0))}).toPandas()
     assert len(got) == len(pdf)
@@ -36,7 +36,7 @@ def test_ranks_and_sums_match_pandas(spark, plan):
         assert np.allclose(mine.total_x, want.x.sum())
 
 
-def test_quantiles_are_linear_interpolated(spark, plan):
+def test_quantiles_are_linear_interpolated(spark):
     pdf, df = frame(spark, seed=1)
     got = scan.quantiles(df, "x", {"q10": 0.1, "q50": 0.5, "q100": 1.0}, ["panel"]).toPandas().set_index("panel")
     for key, part in pdf.dropna(subset=["panel"]).groupby("panel"):
@@ -44,7 +44,7 @@ def test_quantiles_are_linear_interpolated(spark, plan):
             assert got.loc[key, name] == pytest.approx(part.x.quantile(q))
 
 
-def test_weighted_quantile_counts_copies(spark, plan):
+def test_weighted_quantile_counts_copies(spark):
     df = spark.createDataFrame([(1.0, 1), (2.0, 3), (10.0, 1)], "x double, w int")
     assert scan.quantiles(df, "x", {"q": 0.75}, (), "w").first()["q"] == pytest.approx(np.quantile([1, 2, 2, 2, 10], 0.75))
 
