@@ -26,6 +26,8 @@ from quotaloom.llm import common
 MAX_LABELLED = 20_000
 BUCKETS = 1 << 18
 FEATURES = 256
+#: terms of fewer fitted documents take no part in the fit, since a machine can only learn single texts from them
+MIN_DOCS = 3
 TERMS = r"[^\p{L}\p{N}]+"
 
 
@@ -40,14 +42,19 @@ def terms(rows: DataFrame, text: str) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: F.Column, label: str = "toxic", text: str = "text", doc_id: str = "doc_id",
-        max_labelled: int = MAX_LABELLED, features: int = FEATURES, factors: int = 4, rounds: int = 60, seed: int = 7) -> Model:
+        max_labelled: int = MAX_LABELLED, features: int = FEATURES, min_docs: int = MIN_DOCS, factors: int = 4, rounds: int = 60, seed: int = 7) -> Model:
     """learn: which label rows may be learnt from, a condition on their id."""
     known = labels.where(learn & F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(
         F.max(F.col(label).cast("double")).alias("_label"))
     some = known.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(some), "_id")
+    held = common.materialize(terms(rows, "_text").select("_id", "_label", F.array_distinct("_terms").alias("_terms")))
+    each = held.select("_id", F.explode("_terms").alias("_term")).where("_term <> ''").distinct()
+    usual = each.groupBy("_term").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_docs).select("_term")
+    kept = each.join(usual, "_term").groupBy("_id").agg(F.collect_list("_term").alias("_terms"))
+    kept = held.select("_id", "_label").distinct().join(kept, "_id", "left").withColumn("_terms", F.coalesce("_terms", F.array().cast("array<string>")))
     hashed = HashingTF(numFeatures=BUCKETS, binary=True, inputCol="_terms", outputCol="_hashed")
-    sample = common.materialize(hashed.transform(terms(rows, "_text")).select("_label", "_hashed"))
+    sample = common.materialize(hashed.transform(kept).select("_label", "_hashed"))
     counts = {r["_label"]: r["count"] for r in sample.groupBy("_label").count().collect()}
     share = counts.get(1.0, 0) / max(1, sum(counts.values()))
     if not 0 < share < 1:

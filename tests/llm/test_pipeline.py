@@ -17,7 +17,8 @@ def corpus(spark, tmp_path_factory):
     texts = [" ".join(words[k * 30:k * 30 + 30]) for k in range(20)]
     texts += [texts[0].replace("w7 ", "other "), texts[1], texts[2] + " " + item, None, "", "shared line of text here now again ok\n" + " ".join(words[900:930]),
               "shared line of text here now again ok\n" + " ".join(words[940:970])]
-    toxic = [f"{' '.join(words[1000 + k:1012 + k])} awful scum" for k in range(0, 200, 2)]
+    texts += [" ".join(f"c{k}x{j}" for j in range(20)) for k in range(150)]
+    toxic = [f"{' '.join(f't{k}x{j}' for j in range(12))} awful scum" for k in range(60)]
     rows = [(k, t, "en", "s", len(t or "")) for k, t in enumerate([*texts, *toxic])]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
     labels = [(k, 1, int(k >= len(texts))) for k in range(len(rows))]
