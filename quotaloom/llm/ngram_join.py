@@ -7,11 +7,12 @@
 3. Two sets as similar as asked share an n-gram among the first |x| - ceil(t |x|) + 1 of each.  Of those n-grams the ones
    that a single class has lead nowhere; n-grams with equal lists of classes are kept once.
 4. The classes that share such an n-gram meet in one group, with their whole sets.  A group stores its sets in a prefix
-   tree and looks each up in it before it is added: a shared path is intersected once for all sets below it, and a subtree
-   is left out when the overlap so far and what remains cannot reach the bound.  Sets that are connected already are not
-   compared again, so a group of copies costs links in proportion to its members and no pairs are listed.
-5. Groups of more than BLOCK classes are dealt into blocks that share a few pivots; a second round then compares what is
-   not in the group's main component with every block, so that no link is lost.
+   tree and looks each of them up: a shared path is intersected once for all sets below it, and a subtree is left out
+   when the overlap so far and what remains cannot reach the bound.  Sets that are connected already are not compared,
+   so a group of copies gives links in proportion to its members and no pairs are listed.
+5. There are two rounds.  In the first each class is in its largest group only; in the second groups that are connected by
+   now are left out, and the others compare what is not in their main component with all they have, so that no link is
+   lost.  Groups of more than BLOCK n-grams are dealt into blocks, which in the first round share a few pivots.
 6. Components of the links, named by their smallest document.
 
 Null and empty texts (and those without words) have an empty set, link with nothing and are their own component, with a
@@ -22,6 +23,7 @@ link like others but never name a component unless all of it is null.
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +34,8 @@ from pyspark.sql import functions as F
 from quotaloom.llm import common
 from quotaloom.operators.setops import components
 
-#: classes that one task compares with each other at once
-BLOCK = 2000
+#: n-grams of the sets that one task compares with each other at once
+BLOCK = 1_000_000
 PIVOTS = 8
 KEY_BITS = 40
 FOUND = "kind string, chunk long, place int, doc_id long, n long, digest binary, token long"
@@ -87,103 +89,120 @@ def runs_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted(keys, np.array(edges, np.uint64))
 
 
-class Node:
-    __slots__ = ("own", "kids", "ends", "low", "high")
-
-    def __init__(self, own: np.ndarray):
-        self.own, self.kids, self.ends, self.low, self.high = own, {}, [], 1 << 60, 0
-
-
 class Tree:
-    """Sets of ordered hashes by their common beginnings; join() links a set with what is in the tree, then adds it."""
-
-    def __init__(self, part: int, whole: int):
-        self.part, self.whole, self.root, self.sets, self.up, self.parts = part, whole, Node(np.zeros(0, np.uint64)), [], [], 0
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
-
-    def similar(self, shared: int, a: int, b: int) -> bool:
-        return self.whole * shared >= self.part * (a + b - shared)
-
-    def unite(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        self.up[max(a, b)] = min(a, b)
-        self.parts -= a != b
-        return a != b
-
-    def join(self, hashes: np.ndarray, like: int | None = None) -> list[tuple[int, int]]:
-        """like: an earlier member known to be connected with this one."""
-        me, size, links = len(self.sets), len(hashes), []
-        self.sets.append(hashes)
-        self.up.append(me)
-        self.parts += 1
-        if like is not None:
-            self.unite(like, me)
-        stack = [(self.root, 0, 0, 0)]
-        while stack and self.parts > 1:
-            node, shared, at, depth = stack.pop()
-            if len(node.own):
-                spots = np.searchsorted(hashes, node.own)
-                shared += int((hashes[np.minimum(spots, size - 1)] == node.own).sum())
-                at = int(np.searchsorted(hashes, node.own[-1], "right"))
-                depth += len(node.own)
-            for other in node.ends:
-                if self.similar(shared, size, depth) and self.unite(other, me):
-                    links.append((other, me))
-            reach = shared + min(size - at, node.high - depth)
-            if (self.part + self.whole) * reach < self.part * (size + node.low):
-                continue
-            for kid in node.kids.values():
-                if (self.part + self.whole) * (shared + min(size - at, kid.high - depth)) >= self.part * (size + kid.low):
-                    if len(kid.kids) or any(self.find(x) != self.find(me) for x in kid.ends):
-                        stack.append((kid, shared, at, depth))
-        self.add(hashes, me)
-        return links
-
-    def add(self, hashes: np.ndarray, me: int) -> None:
-        node, at, size = self.root, 0, len(hashes)
-        while True:
-            node.low, node.high = min(node.low, size), max(node.high, size)
-            rest = hashes[at:]
-            if not len(rest):
-                node.ends.append(me)
-                return
-            kid = node.kids.get(int(rest[0]))
-            if kid is None:
-                kid = node.kids[int(rest[0])] = Node(rest)
-                kid.ends, kid.low, kid.high = [me], size, size
+    """A compact prefix tree of sets, each in order; links() looks every set up in it.
+
+    Nodes are arrays and a lookup goes down level by level, for all nodes of a level at once.  labels: sets with equal
+    labels are connected already; pairs of those are left out.
+    """
+
+    def __init__(self, sets: list[np.ndarray], labels: np.ndarray, part: int, whole: int):
+        self.part, self.whole, self.labels = part, whole, labels
+        self.order = sorted(range(len(sets)), key=lambda k: sets[k].astype(">u8").tobytes())
+        self.sets = [sets[k] for k in self.order]
+        self.labels = labels[self.order]
+        parent, start, stop, owner, self.end = [-1], [0], [0], [0], []
+        path, before = [0], np.zeros(0, np.uint64)
+        for k, own in enumerate(self.sets):
+            length = min(len(before), len(own))
+            differ = np.flatnonzero(before[:length] != own[:length])
+            same, below = int(differ[0]) if len(differ) else length, -1
+            while stop[path[-1]] > same:
+                below = path.pop()
+            if stop[path[-1]] < same:  # the beginning shared with the set before ends inside a node
+                parent.append(path[-1]), start.append(stop[path[-1]]), stop.append(same), owner.append(owner[below])
+                parent[below], start[below] = len(parent) - 1, same
+                path.append(len(parent) - 1)
+            if len(own) > same:
+                parent.append(path[-1]), start.append(same), stop.append(len(own)), owner.append(k)
+                path.append(len(parent) - 1)
+            self.end.append(path[-1])
+            before = own
+        self.parent, self.depth = np.array(parent), np.array(stop)
+        self.width = self.depth - np.array(start)
+        flat = np.concatenate([np.zeros(0, np.uint64), *(self.sets[o][a:b] for o, a, b in zip(owner, start, stop))])
+        names, self.tokens = np.unique(flat, return_inverse=True)
+        self.numbers = [np.searchsorted(names, x) for x in self.sets]
+        self.first = np.cumsum(self.width) - self.width
+        self.last = np.where(self.width > 0, self.tokens[np.minimum(self.first + self.width - 1, max(len(flat) - 1, 0))] if len(flat) else 0, -1)
+        level, self.levels = np.zeros(1, np.int64), []
+        kids = defaultdict(list)
+        for node, up in enumerate(parent):
+            kids[up].append(node)
+        while len(level):
+            level = np.array([x for up in level.tolist() for x in kids[up]], np.int64)
+            self.levels.append(level)
+        self.low, self.high, self.latest = np.full(len(parent), 1 << 60), np.zeros(len(parent), np.int64), np.full(len(parent), -1)
+        sizes = np.array([len(x) for x in self.sets], np.int64)
+        self.at_end = defaultdict(list)
+        for k, node in enumerate(self.end):
+            self.at_end[node].append(k)
+        for f, target, value in ((np.minimum, self.low, sizes), (np.maximum, self.high, sizes), (np.maximum, self.latest, np.arange(len(sizes)))):
+            f.at(target, self.end, value)
+            for level in reversed(self.levels):
+                f.at(target, self.parent[level], target[level])
+        #: the one set that a leaf ends, to leave out leaves that are connected already
+        self.single = np.array([self.at_end[n][0] if len(self.at_end[n]) == 1 and not kids[n] else -1 for n in range(len(parent))])
+
+    def reachable(self, nodes: np.ndarray, shared: np.ndarray, rest: np.ndarray, depth: np.ndarray, size: int) -> np.ndarray:
+        """Whether a set below may still be similar: all that remains on either side could be shared."""
+        most = shared + np.minimum(rest, self.high[nodes] - depth)
+        return (self.part + self.whole) * most >= self.part * (size + self.low[nodes])
+
+    def links(self) -> Iterator[tuple[int, int]]:
+        """Pairs of places in sets, as given, that connect what wasn't connected."""
+        mark = np.zeros(int(self.tokens.max()) + 1 if len(self.tokens) else 1, np.int64)
+        shared = np.zeros(len(self.parent), np.int64)
+        rest = np.zeros(len(self.parent), np.int64)
+        for me, own in enumerate(self.numbers):
+            if (self.labels == self.labels[0]).all():
                 return
-            length = min(len(kid.own), len(rest))
-            differ = np.flatnonzero(kid.own[:length] != rest[:length])
-            common_length = int(differ[0]) if len(differ) else length
-            if common_length < len(kid.own):
-                upper = Node(kid.own[:common_length])
-                upper.low, upper.high = kid.low, kid.high
-                kid.own = kid.own[common_length:]
-                upper.kids[int(kid.own[0])] = kid
-                node.kids[int(rest[0])] = kid = upper
-            node, at = kid, at + common_length
+            size = len(own)
+            mark[own] = 1
+            rest[0] = size
+            alive = np.zeros(len(self.parent), bool)
+            alive[0] = True
+            for level in self.levels:
+                nodes = level[alive[self.parent[level]]]
+                nodes = nodes[self.latest[nodes] > me]
+                up = self.parent[nodes]
+                nodes = nodes[self.reachable(nodes, shared[up], rest[up], self.depth[up], size)]
+                alone = self.single[nodes]
+                nodes = nodes[(alone < 0) | (self.labels[alone] != self.labels[me])]
+                if not len(nodes):
+                    break
+                up = self.parent[nodes]
+                hits = mark[self.tokens[common.spans(self.first[nodes], self.width[nodes])]]
+                shared[nodes] = shared[up] + np.add.reduceat(hits, np.cumsum(self.width[nodes]) - self.width[nodes])
+                rest[nodes] = size - np.searchsorted(own, self.last[nodes], "right")
+                alive[nodes] = True
+                # at a set's end, nothing of it remains: shared is what the two have in common
+                for node in nodes[self.whole * shared[nodes] >= self.part * (size + self.depth[nodes] - shared[nodes])].tolist():
+                    for other in self.at_end.get(node, ()):
+                        if other > me and self.labels[other] != self.labels[me]:
+                            self.labels[self.labels == self.labels[other]] = self.labels[me]
+                            yield self.order[me], self.order[other]
+            mark[own] = 0
 
 
 def tree_links(batches: Iterator[pa.RecordBatch], part: int, whole: int) -> Iterator[pa.RecordBatch]:
-    """Links within each run of rows with equal (part, block); the rows come in that order."""
-    key, tree, digests, firsts = None, None, [], {}
+    """Links within each run of rows with equal (part, block); the rows come in that order, and one run is held at a time."""
+    def of(run: list[tuple]) -> pa.RecordBatch:
+        known = common.Numbering()
+        labels = np.array([known[comp or k] for k, (_, comp, _) in enumerate(run)], np.int64)
+        found = list(Tree([np.frombuffer(x, np.uint64) for _, _, x in run], labels, part, whole).links())
+        return pa.RecordBatch.from_arrays([pa.array([run[k][0].hex() for k in side], pa.string()) for side in (zip(*found) if found else ((), ()))], names=["a", "b"])
+
+    key, run = None, []
     for batch in batches:
-        left, right = [], []
         for own_part, block, digest, comp, hashes in zip(*(c.to_pylist() for c in batch.columns)):
             if (own_part, block) != key:
-                key, tree, digests, firsts = (own_part, block), Tree(part, whole), [], {}
-            found = tree.join(np.frombuffer(hashes, np.uint64), firsts.get(comp) if comp else None)
-            if comp:
-                firsts.setdefault(comp, len(digests))
-            digests.append(digest)
-            for a, b in found:
-                left.append(digests[a].hex())
-                right.append(digests[b].hex())
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string())], names=["a", "b"])
+                if run:
+                    yield of(run)
+                key, run = (own_part, block), []
+            run.append((digest, comp, hashes))
+    if run:
+        yield of(run)
 
 
 def join(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 100), text: str = "text", doc_id: str = "doc_id",
@@ -272,40 +291,36 @@ def join(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 100), t
         dealt = sets.repartition(common.shuffle_width(spark), "part", "block").sortWithinPartitions("part", "block", "comp")
         return dealt.mapInArrow(lambda b: tree_links(b, part, whole), "a string, b string")
 
-    members = found.where("kind = 'token'").groupBy("token", "digest").agg(F.min(F.struct("chunk", "place")).alias("spot"))
-    lists = members.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("digest")).alias("who"))
-    lists = lists.where("size > 1").groupBy("size", "who").agg(F.min("token").alias("token"))
+    members = found.where("kind = 'token'").groupBy("token", "digest", "n").agg(F.min(F.struct("chunk", "place")).alias("spot"))
+    lists = members.groupBy("token").agg(F.count("*").alias("size"), F.sum("n").alias("mass"), F.bit_xor(F.xxhash64("digest")).alias("who"))
+    lists = lists.where("size > 1").groupBy("size", "mass", "who").agg(F.min("token").alias("token"))
     groups = common.materialize(members.join(lists, "token").select(
-        F.col("token").alias("part"), "size", "digest", "spot.chunk", "spot.place"))
-    n_blocks = F.ceil(F.col("size") / block).cast("int")
-    small = groups.withColumn("comp", F.lit(None).cast("string"))
-    dealt = small.withColumn("block", F.pmod(F.xxhash64("digest"), n_blocks).cast("int"))
-    big = groups.where(F.col("size") > block)
-    first = dealt
-    links = None
-    if big.limit(1).count():
-        rank = F.row_number().over(common.window("part", "block", order=F.xxhash64("digest", "part")))
-        pivots = dealt.where(F.col("size") > block).where("block = 0").withColumn("_rank", rank).where(F.col("_rank") <= PIVOTS).drop("_rank")
-        copies = pivots.withColumn("block", F.explode(F.sequence(F.lit(1), n_blocks - 1)))
-        links = common.materialize(linked(first.unionByName(copies)))
-        label = components(links, "a", "b").withColumnRenamed("component", "label")
-        again = big.withColumn("node", F.lower(F.hex("digest"))).join(label, "node", "left")
-        again = again.withColumn("comp", F.coalesce("label", "node")).drop("node", "label")
-        main = again.groupBy("part", "comp").agg(F.count("*").alias("k")).groupBy("part").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
-        again = common.materialize(again.join(main, "part").withColumn("minor", F.col("comp") != F.col("main")).drop("main"))
-        few = again.where("minor").groupBy("part").agg(F.count("*").alias("minors"))
-        again = again.join(few, "part")
-        rows_of, cols_of = n_blocks, F.ceil(F.col("minors") / block).cast("int")
-        # cell (i, j): block i of the group against block j of its minor members
-        i = F.pmod(F.xxhash64("digest"), rows_of).cast("int")
-        j = F.pmod(F.xxhash64("digest", F.lit(1)), cols_of).cast("int")
-        across = again.withColumn("block", F.explode(F.transform(F.sequence(F.lit(0), cols_of - 1), lambda c: i * cols_of + c)))
-        down = again.where("minor").withColumn("block", F.explode(F.transform(F.sequence(F.lit(0), rows_of - 1), lambda r: r * cols_of + j)))
-        columns = ["part", "block", "chunk", "place", "digest", "comp"]
-        second = across.select(*columns).unionByName(down.select(*columns)).distinct()
-        links = links.unionByName(linked(second))
-    else:
-        links = linked(first)
+        F.col("token").alias("part"), "size", F.ceil(F.col("mass") / block).cast("int").alias("blocks"), "digest", "spot.chunk", "spot.place"))
+    columns = ["part", "block", "chunk", "place", "digest", "comp"]
+
+    # first round: each class in the largest of its groups, which connects most of what there is to connect
+    chosen = groups.groupBy("digest").agg(F.max_by(F.struct("part", "blocks", "chunk", "place"), F.struct("size", "part")).alias("to")).select("digest", "to.*")
+    dealt = chosen.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")).withColumn("comp", F.lit(None).cast("string"))
+    rank = F.row_number().over(common.window("part", order=F.xxhash64("digest", "part")))
+    pivots = dealt.where("blocks > 1 and block = 0").withColumn("_rank", rank).where(F.col("_rank") <= PIVOTS).drop("_rank")
+    copies = pivots.withColumn("block", F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)))
+    links = common.materialize(linked(dealt.select(*columns).unionByName(copies.select(*columns))))
+
+    # second round: every group that still holds several components; its cell (i, j) compares block i of all its members
+    # with block j of those outside its main component
+    label = components(links, "a", "b").withColumnRenamed("component", "label")
+    again = groups.withColumn("node", F.lower(F.hex("digest"))).join(label, "node", "left")
+    again = common.materialize(again.withColumn("comp", F.coalesce("label", "node")).drop("node", "label"))
+    sizes = again.groupBy("part", "comp").agg(F.count("*").alias("k")).groupBy("part").agg(
+        F.max_by("comp", F.struct("k", "comp")).alias("main"), F.max("k").alias("most"), F.sum("k").alias("every"))
+    again = again.join(sizes.where("most < every"), "part").withColumn("minor", F.col("comp") != F.col("main"))
+    cells = F.greatest(F.ceil(F.col("blocks") * (F.col("every") - F.col("most")) / F.col("every")), F.lit(1)).cast("int")
+    again = again.withColumn("cells", cells)
+    i = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
+    j = F.pmod(F.xxhash64("digest", F.lit(1)), F.col("cells")).cast("int")
+    across = again.withColumn("block", F.explode(F.transform(F.sequence(F.lit(0), F.col("cells") - 1), lambda c: i * F.col("cells") + c)))
+    down = again.where("minor").withColumn("block", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda r: r * F.col("cells") + j)))
+    links = common.materialize(links.unionByName(linked(across.select(*columns).unionByName(down.select(*columns)).distinct())))
 
     label = components(links, "a", "b").withColumnRenamed("node", "name").withColumnRenamed("component", "label")
     marks = found.where("kind = 'doc'").select("doc_id", F.col("n").alias("n_shingles"), "digest")
