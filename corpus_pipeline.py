@@ -37,9 +37,14 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts that share five-word runs with similarity 0.8 or more."""
     rows = keyed(docs)
-    groups = ngram_join.join(rows, n=5, similarity=(80, 100), doc_id=KEY)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias(KEY)).distinct()
-    return rows.join(kept, KEY, "left_semi").dropDuplicates([KEY]).select(*docs.columns)
+    groups = ngram_join.join(rows, n=5, similarity=(80, 100), doc_id=KEY).select(F.col("doc_id").alias(KEY), "component_id")
+    keys = common.materialize(groups.groupBy(KEY).agg(F.min("component_id").alias("first"), F.count("*").alias("n")))
+    # what goes is little beside what stays, so its keys move to the documents as long as they are small enough for that
+    gone = common.materialize(keys.where(F.col(KEY) != F.col("first")).select(KEY))
+    repeated = common.materialize(keys.where((F.col(KEY) == F.col("first")) & (F.col("n") > 1)).select(KEY))
+    single = rows.join(gone.unionByName(repeated), KEY, "left_anti")
+    once = rows.join(repeated, KEY, "left_semi").dropDuplicates([KEY])
+    return single.unionByName(once).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
