@@ -139,7 +139,7 @@ def matches(texts: list[str], index: Index, filters: list[np.ndarray]) -> Iterat
         for t, k, b, s in zip(*(x[enough].tolist() for x in (text, item, band, shared))):
             e, m = index.edits[k], len(index.items[k][1])
             low = max(0, b * (2 * e + 1))
-            high = (b + 2) * (2 * e + 1)
+            high = max(low, (b + 2) * (2 * e + 1))  # a band before the text starts at its start
             found = aligned_in(texts[t], codes[t], index.items[k][1], low, high, e, m)
             if found:
                 best[t, k].append((found[0], low + found[1], low + found[2], s))

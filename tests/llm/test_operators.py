@@ -323,6 +323,15 @@ def test_regions_are_what_edit_distance_says():
     assert found > 100
 
 
+def test_a_text_that_starts_inside_an_item():
+    item = decontaminate.plain(" ".join(f"word{k}" for k in range(60)))
+    index = decontaminate.Index([(1, item)], 12, 0.05)
+    filters = [np.unpackbits(p[1]).view(bool) for p in index.parts]
+    for cut in (1, 10, 30, 60, 150, 250):
+        found = list(decontaminate.matches([item[cut:]], index, filters))
+        assert bool(found) == (edit_distance(item, item[cut:]) <= index.edits[0])
+
+
 def test_leaks_in_blocks_with_nulls_and_repeats(spark):
     item = "The quick brown fox jumps over the lazy dog and runs far away from the river bank today"
     other = "completely different passage about the weather in the mountains during a very long winter"
