@@ -386,6 +386,33 @@ def test_probabilities_after_a_context_sum_to_one(spark):
     assert language_model.train_and_score(frame(spark, []).withColumn("train", F.lit(True)), "train").count() == 0
 
 
+def test_table_counts_are_not_capped_by_moves():
+    """One draw seats every customer: a frequent dish has the tables it should have, as exact weights and a long plain chain say."""
+    draws, exact = np.random.default_rng(5), language_model.stirling(0.75)
+    for n, weight in ((40, 3.0), (256, 90.0), (256, 0.2)):
+        mass = exact[n] + np.log(weight) * np.arange(1, n + 1)
+        mass = np.exp(mass - mass.max()) / np.exp(mass - mass.max()).sum()
+        mean = (mass * np.arange(1, n + 1)).sum()
+        sd = math.sqrt((mass * np.arange(1, n + 1) ** 2).sum() - mean ** 2)
+        for draw in (language_model.table_counts, language_model.many_tables):
+            got = draw(np.full(4000, n), np.full(4000, weight), 0.75, draws)
+            assert abs(got.mean() - mean) < 4 * sd / math.sqrt(4000) and abs(got.std() / sd - 1) < 0.1, (n, weight, draw)
+    # of very many customers the tables besides the first are Poisson
+    many = language_model.table_counts(np.full(300, 10**8), np.full(300, 3000.0), 0.75, draws)
+    assert abs(many.mean() - 4001) < 4 * math.sqrt(4000 / 300)
+    assert (language_model.table_counts(np.array([1, 2, 300, 10**7]), np.full(4, 1e-290), 0.75, draws) == 1).all()
+    customers, prior, restaurant = np.array([60, 25, 8, 2, 1]), np.array([0.3, 0.3, 0.1, 0.01, 0.01]), np.zeros(5, np.int64)
+    plain = language_model.Seating(customers, restaurant, prior, np.zeros(1, np.int64), 0.6, 1.0, 3)
+    tables, ours, chain = np.ones(5), [], []
+    for k in range(6000):
+        tables = language_model.table_counts(customers, 0.6 * draws.standard_gamma(1.0 / 0.6 + tables.sum()) * prior, 0.6, draws)
+        ours.append(tables)
+        for _ in range(6):
+            plain.step()
+        chain.append(plain.tables.copy())
+    assert np.allclose(np.mean(ours[500:], axis=0), np.mean(chain[500:], axis=0), rtol=0.06)
+
+
 def test_gibbs_steps_keep_the_seating_whole():
     random_state = np.random.default_rng(1)
     customers = random_state.integers(1, 30, 200)
