@@ -114,7 +114,7 @@ def hierarchical_bootstrap(
 ) -> DataFrame:
     """(replicate, group, metric, value): fits are redrawn first, then entities within each drawn fit.
 
-    The review flags are fixed, so every metric is additive and weights replace copies.
+    The review flags are fixed, so every metric is additive and weights of flag patterns replace copies.
     The same draws serve all groups, which keeps their differences paired.
     """
     seeds = reviewed.select(seed_key).distinct()
@@ -122,9 +122,15 @@ def hierarchical_bootstrap(
     slots = replicates(numbered, reps).withColumn("slot", F.col("_i"))
     pick = (F.floor(unit_draw(F.lit(f"{seed}-fits"), F.col("replicate"), F.col("slot")) * F.col("_n")) + 1).alias("_i")
     drawn = slots.select("replicate", "slot", pick).join(numbered.select("_i", seed_key), "_i").drop("_i")
-    people = reviewed.select(seed_key, entity).distinct()
-    weights = multiplicities(people, entity, reps, seed, [seed_key], drawn, ["slot"])
-    rows = reviewed.join(weights, [seed_key, entity])
+    # all that an entity adds to the sums, in all groups; there are few such patterns, so draws meet them and not the rows
+    flags = F.struct(*group, "true_high", "pred_high", "reviewed")
+    people = reviewed.groupBy(seed_key, entity).agg(F.sort_array(F.collect_list(flags)).alias("_pattern"))
+    indexed = materialize(ordered_scan(people, [asc(F.col(entity).cast("string"))], [seed_key], rank="_i", total="_n").drop(entity))
+    slotted = indexed.select(seed_key, "_i", "_n").join(drawn, seed_key)
+    u = unit_draw(F.lit(str(seed)), F.col("replicate"), F.col("slot"), F.col("_i"))
+    hits = slotted.select("replicate", "slot", seed_key, (F.floor(u * F.col("_n")) + 1).alias("_i"))
+    counts = hits.join(indexed.drop("_n"), [seed_key, "_i"]).groupBy("replicate", "slot", "_pattern").agg(F.count("*").alias("w"))
+    rows = counts.select("replicate", "slot", "w", F.explode("_pattern").alias("_f")).select("replicate", "slot", "w", "_f.*")
     th, low, rev, w = F.col("true_high"), ~F.col("pred_high"), F.col("reviewed"), F.col("w")
     def total(cond: Column) -> Column: return F.coalesce(F.sum(F.when(cond, w)), F.lit(0))
     keys = ["replicate", "slot", *group]

@@ -70,7 +70,7 @@ def split_panels(spark: SparkSession, sf: str) -> DataFrame:
 def hierarchical_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     long = ranking.melt_scores(split_panels(spark, sf), METHODS)
     reviewed = ranking.review_queue(long, "score", 0.25, panel=["split", "method"], policy="low_concern_first")
-    return rounded(resample.hierarchical_deltas(resample.hierarchical_bootstrap(reviewed, "split", 20), "first"))
+    return rounded(resample.hierarchical_deltas(resample.hierarchical_bootstrap(reviewed, "split", 2000), "first"))
 
 
 @query("macro_bootstrap")
@@ -86,7 +86,7 @@ def meta_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("selection_study")
 def selection_study(spark: SparkSession, sf: str) -> DataFrame:
-    out = resample.selection_study(panel(spark, sf), METHODS, 10, 60, "second")
+    out = resample.selection_study(panel(spark, sf), METHODS, 100, 60, "second")
     return rounded(out)
 
 

@@ -1,5 +1,7 @@
 """Metrics, conformal intervals, risk score, distances: fixtures X13-X23 and brute force."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -160,6 +162,29 @@ def test_multiplicities_sum_to_the_panel(spark):
     assert {r.n for r in w.groupBy("replicate").agg(F.sum("w").alias("n")).collect()} == {40}
 
 
+def test_hierarchical_bootstrap_runs_the_references_replicates(spark):
+    """2,000 draws, as in the reference; a fit that is drawn twice counts twice, and a replicate is brute force from its draws."""
+    from quotaloom.plans import catalog
+
+    got = catalog.QUERIES["hierarchical_bootstrap"](spark, "/root/testdata/sf0.001").collect()
+    assert got and max(r.n_values for r in got) == 2000 and all(r.ci_lower <= r.median <= r.ci_upper for r in got)
+    data = [(s, f"e{i}", m, (i * 3 + j) % 4 < 2, (i + j) % 3 == 0, (i * k) % 2 == 0) for j, s in enumerate("FO") for i in range(12) for k, m in ((1, "a"), (3, "b"))]
+    df = spark.createDataFrame(data, "split string, entity string, method string, true_high boolean, pred_high boolean, reviewed boolean")
+    values = {(r.replicate, r.method): r.value for r in resample.hierarchical_bootstrap(df, "split", 6).where("metric = 'false_negative_capture'").collect()}
+    def u(*parts): return int(hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()[:13], 16) / 2 ** 52
+    names = sorted({f"e{i}" for i in range(12)})
+    for rep in range(6):
+        for method in "ab":
+            rates = []
+            for slot in (1, 2):
+                split = "FO"[int(u("42-fits", rep, slot) * 2)]
+                own = {e: (t, p, r) for s, e, m, t, p, r in data if s == split and m == method}
+                picked = [own[names[int(u(42, rep, slot, i + 1) * 12)]] for i in range(12)]
+                missed = [r for t, p, r in picked if t and not p]
+                rates += [sum(missed) / len(missed)] if missed else []
+            assert values[rep, method] == (pytest.approx(sum(rates) / len(rates)) if rates else None)
+
+
 def test_meta_bootstrap_resamples_whole_clusters(spark):
     data = [(f"c{i}", f"g{i % 4}", float(i), float((i * 7) % 12), float(i) / 12 + (i % 3) * 0.1) for i in range(12)]
     df = spark.createDataFrame(data, "case_id string, entity string, a double, b double, r double")
