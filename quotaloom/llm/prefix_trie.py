@@ -26,6 +26,8 @@ from quotaloom.session import materialize
 LIMBS = ("p0", "p1", "p2", "p3")
 #: members listed in one row; the lists of a sequence are hashed one after the other
 LIST_BITS = 16
+#: a key that has more than one row in so many is common; there are fewer such keys than this
+HOT_SHARE = 1000
 
 
 def _limbs(digest: Column) -> list[Column]:
@@ -130,6 +132,17 @@ def _ends(ends: DataFrame) -> DataFrame:
     return sorted_lists.mapInArrow(digests, "prefix binary, ends_sha256 string")
 
 
+def _owners(above: DataFrame, owners: DataFrame) -> DataFrame:
+    """``above`` with the owner of each ``up``.  An ``up`` that more than a thousandth of all rows share is one of under
+    HOT_SHARE, so these few owners are sent to the rows instead."""
+    above = materialize(above)
+    total = above.agg(F.count("*").alias("total")).select("total").scalar()
+    common = above.groupBy("up").agg(F.count("*").alias("often")).where(F.col("often") * HOT_SHARE > total)
+    sent = above.join(F.broadcast(materialize(owners.join(common.select("up"), "up"))), "up", "left")
+    rest = sent.where("owner is null").drop("owner").join(owners, "up")
+    return sent.where("owner is not null").unionByName(rest)
+
+
 def trie(paths: DataFrame) -> DataFrame:
     """One row for each node: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
     paths = materialize(paths)
@@ -162,7 +175,7 @@ def trie(paths: DataFrame) -> DataFrame:
     # where a path leaves another owner's: the first node that it owns, and the owner of the node above
     tops = steps.where("depth = owns_from").select("conv_id", "prefix")
     above = steps.where("depth = owns_from - 1").select("conv_id", F.col("prefix").alias("up"))
-    joints = above.join(nodes.select(F.col("prefix").alias("up"), "owner"), "up").join(tops, "conv_id").select("prefix", F.col("owner").alias("parent"))
+    joints = _owners(above, nodes.select(F.col("prefix").alias("up"), "owner")).join(tops, "conv_id").select("prefix", F.col("owner").alias("parent"))
     out = sums.join(joints, "prefix", "left").join(_ends(ends.select("prefix", "conv_id")), "prefix", "left")
     nobody = F.lit(hashlib.sha256(b"").hexdigest())
     return out.select(
