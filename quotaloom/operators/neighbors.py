@@ -1,16 +1,19 @@
-"""Exact nearest-neighbour joins, tiled so that no side ever sits in one task.
-
-Queries are hashed into tiles of ``QUERY_TILE`` rows and training rows into tiles of
-``TRAIN_TILE`` rows; every tile pair is one group of an Arrow co-group.  Inside it a
-NumPy kernel fills the small distance matrix and only the k best per query leave the
-task, never the pairs.  A second, bounded step merges the k best of all tiles.  The
-result is exact, memory per task is fixed, and a hot equality key is spread over its
-tiles like any other rows.
+"""Exact nearest-neighbour joins through an index of cells.
+
+Training rows are dealt to cells, each described by one box (see :mod:`quotaloom.operators.kernels`).  A query looks first into the
+cells that seem nearest, as many as hold a few times k rows; the k-th distance found there is its radius.  Then it visits every other
+cell whose lower bound is within that radius, and no more: what is left out can't be among the k nearest.  Cells are only as good as
+the data: rows that lie in groups or vary in few ways are found in few cells, rows spread evenly over many dimensions in all.
+
+A cell and the queries that visit it are cut into tiles of ``TRAIN_TILE`` and ``QUERY_TILE`` rows; every tile pair is one group of an
+Arrow co-group.  Only the k best of a query leave a task, never the pairs.  Pivots and boxes are tables, sent to the tiles of their
+key, so nothing is collected on the driver.  The number of cells of a key is bounded, and so is what a task holds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +21,30 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quotaloom.operators import kernels
+from quotaloom.operators.kernels import Kernel
 from quotaloom.operators.scan import first_rows
+from quotaloom.session import materialize
 
 QUERY_TILE = 4096
 TRAIN_TILE = 8192
+#: pivots of one key: half the square root of its rows, up to this many
+MAX_PIVOTS = 1024
+#: rows, in multiples of k, that the cells hold in which a query looks first
+FIRST_LOOK = 8
+#: share of a distance and of the longest row by which rounding may err
+SLACK = 1e-7
+
+euclidean = kernels.Euclidean({"all": ["vector"]})
+cosine = kernels.Cosine()
+tanimoto = kernels.Tanimoto()
+nan_euclidean = kernels.NanEuclidean()
+gower = kernels.Gower()
 
-#: kernel(query arrays, train arrays) -> {variant: distance matrix}; NaN means not comparable
-Kernel = Callable[[Mapping[str, np.ndarray], Mapping[str, np.ndarray]], Mapping[str, np.ndarray]]
+
+def block_subsets(subsets: Mapping[str, Sequence[str]]) -> Kernel:
+    """Squared distance is additive over blocks: each block once, every subset is a sum."""
+    return kernels.Euclidean(subsets)
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -42,105 +62,89 @@ def _arrays(table: pa.Table, columns: Sequence[str]) -> dict[str, np.ndarray]:
     return {c: _matrix(table.column(c)) for c in columns}
 
 
-def euclidean(q: Mapping[str, np.ndarray], t: Mapping[str, np.ndarray]) -> dict[str, np.ndarray]:
-    return {"all": np.sqrt(_squared(q["vector"], t["vector"]))}
-
+def _nullable(table: pa.Table) -> pa.Table:
+    """List columns whose elements may be null, as a schema given as text has them."""
+    return table.cast(pa.schema([(f.name, pa.list_(f.type.value_type) if pa.types.is_list(f.type) else f.type) for f in table.schema]))
 
-def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    a, b = a.astype(float), b.astype(float)
-    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * a @ b.T, 0.0)
 
+def _tiles(rows: Column, tile: int) -> Column:
+    return F.greatest(F.lit(1), F.ceil(rows / tile)).cast("int")
 
-def cosine(q: Mapping[str, np.ndarray], t: Mapping[str, np.ndarray]) -> dict[str, np.ndarray]:
-    a, b = q["vector"].astype(float), t["vector"].astype(float)
-    norms = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
-    return {"all": 1.0 - np.divide(a @ b.T, norms, out=np.zeros_like(norms), where=norms > 0)}
 
+def _tile_of(key: str, tiles: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.col(tiles)).cast("int")
 
-def tanimoto(q: Mapping[str, np.ndarray], t: Mapping[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """1 - |a and b| / |a or b| on 64-bit words; two empty sets are not similar."""
-    def unpack(words: np.ndarray) -> np.ndarray:
-        raw = np.ascontiguousarray(words.astype(np.int64)).view(np.uint8).reshape(len(words), -1)
-        return np.unpackbits(raw, axis=1).astype(np.float32)
-    a, b = unpack(q["words"]), unpack(t["words"])
-    both = (a @ b.T).astype(float)
-    either = a.sum(1).astype(float)[:, None] + b.sum(1).astype(float)[None, :] - both
-    return {"all": 1.0 - np.divide(both, either, out=np.zeros_like(both), where=either > 0)}
 
+@dataclass(frozen=True)
+class Search:
+    """Neighbours found, and what it took: for each key and cell the queries that visited it and the rows it holds."""
 
-def nan_euclidean(q: Mapping[str, np.ndarray], t: Mapping[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Distance over jointly observed columns, scaled up by the share observed."""
-    a, b = q["vector"].astype(float), t["vector"].astype(float)
-    ma, mb = np.isfinite(a).astype(float), np.isfinite(b).astype(float)
-    a, b = np.where(ma > 0, a, 0.0), np.where(mb > 0, b, 0.0)
-    squared = np.maximum((a * a) @ mb.T + ma @ (b * b).T - 2.0 * a @ b.T, 0.0)
-    seen = ma @ mb.T
-    scaled = np.divide(squared * a.shape[1], seen, out=np.full_like(squared, np.nan), where=seen > 0)
-    return {"all": np.sqrt(scaled)}
+    found: DataFrame
+    visits: DataFrame
 
+    def compared(self) -> int:
+        """Distances that were measured."""
+        return self.visits.agg(F.coalesce(F.sum(F.col("queries") * F.col("rows")), F.lit(0)).cast("long")).first()[0]
 
-def gower(q: Mapping[str, np.ndarray], t: Mapping[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Mean over jointly observed fields of range-scaled gaps (capped at 1) and category mismatches."""
-    shape = (len(q["vector"]), len(t["vector"]))
-    total, seen = np.zeros(shape), np.zeros(shape)
-    for j in range(q["vector"].shape[1]):
-        gap = np.abs(q["vector"][:, j].astype(float)[:, None] - t["vector"][:, j].astype(float)[None, :])
-        ok = np.isfinite(gap)
-        total += np.where(ok, np.minimum(gap, 1.0), 0.0)
-        seen += ok
-    for j in range(q["codes"].shape[1] if q["codes"].size and t["codes"].size else 0):
-        a, b = q["codes"][:, j][:, None], t["codes"][:, j][None, :]
-        ok = (a >= 0) & (b >= 0)
-        total += ok & (a != b)
-        seen += ok
-    return {"all": np.divide(total, seen, out=np.full(shape, np.nan), where=seen > 0)}
 
+def _deal(sides: Sequence[DataFrame], keys: Sequence[str], columns: Sequence[str], tile: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of the first side in tiles, and the second side sent to each tile of its key."""
+    left, right = sides
+    sizes = left.groupBy(*keys).agg(_tiles(F.count("*"), tile).alias("tiles"))
+    cut = left.join(sizes, list(keys)).withColumn("tile", _tile_of(columns[0], "tiles")).drop("tiles")
+    sent = right.join(sizes, list(keys)).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).drop("tiles")
+    # names of its own for each side: both may come from the same table
+    return tuple(df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (cut, sent))
 
-def block_subsets(subsets: Mapping[str, Sequence[str]]) -> Kernel:
-    """Squared distance is additive over blocks: each block once, every subset is a sum."""
-    blocks = list(dict.fromkeys(b for names in subsets.values() for b in names))
 
-    def kernel(q, t):
-        parts = {b: _squared(q[b], t[b]) for b in blocks}
-        return {name: np.sqrt(sum(parts[b] for b in names)) for name, names in subsets.items()}
-    return kernel
-
-
-def _tiles(rows: int, tile: int) -> int:
-    return max(1, -(-rows // tile))
-
-
-def nearest(
-    query: DataFrame, train: DataFrame, k: int, kernel: Kernel, features: Sequence[str],
-    query_id: str = "case_id", train_id: str = "case_id", group: str | None = None, on: str | None = None,
-    exclude_self: bool = False, query_tile: int = QUERY_TILE, train_tile: int = TRAIN_TILE,
-) -> DataFrame:
-    """(query_id, variant, neighbor_rank, neighbor_id, distance) of the k nearest training rows.
+def index(train: DataFrame, kernel: Kernel, features: Sequence[str], train_tile: int = TRAIN_TILE) -> tuple[DataFrame, DataFrame]:
+    """Members (``train`` with its ``cell``) and cells (on, cell, rows, box) of prepared rows (on, rid, tid, features)."""
+    columns = list(features)
+    counted = train.groupBy("on").agg(F.count("*").alias("n"))
+    draw = Window.partitionBy("on").orderBy(F.xxhash64(F.lit("pivot"), "rid"), "rid")
+    # at most MAX_PIVOTS rows of a key leave a task
+    pivots = train.select("on", "rid", *columns).withColumn("no", F.row_number().over(draw)).where(F.col("no") <= MAX_PIVOTS)
+    pivots = pivots.join(counted, "on").where(F.col("no") <= F.ceil(F.sqrt("n") / 2)).select("on", "no", *columns)
+    cut, sent = _deal([train, pivots], ["on"], ["rid"], train_tile)
+    schema = ", ".join(f"{name} {kind}" for name, kind in train.dtypes)
 
-    With ``group`` the neighbours are the k groups of smallest minimum distance.  A
-    tile may drop every group beyond its own k best: a group of the global top k is
-    among the k best in the tile that holds its closest row.  ``on`` restricts
-    neighbours to an equal key.  Ties go to the smaller neighbour id.
-    """
-    n_query, n_train = query.count(), train.count()
-    q_tiles, t_tiles = _tiles(n_query, query_tile), _tiles(n_train, train_tile)
-    label = F.col(group if group else train_id).cast("string")
-    key = (F.coalesce(F.col(on).cast("string"), F.lit("__none__")) if on else F.lit(""))
-    known = F.col(on).isNotNull() if on else F.lit(True)
-    for name, kind in query.select(*features).dtypes:
-        if kind.startswith("array"):  # a NULL vector has no neighbours and is none
-            known = known & F.col(name).isNotNull()
-    # aliases give each side its own columns: both may come from the same table
-    inputs = [F.col(f).alias(f) for f in features]
-    q = query.where(known).select(
-        F.col(query_id).cast("string").alias("qid"), key.alias("on"), *inputs,
-        F.pmod(F.xxhash64(F.col(query_id).cast("string")), F.lit(q_tiles)).cast("int").alias("qt"),
-        F.explode(F.sequence(F.lit(0), F.lit(t_tiles - 1))).alias("tt"))
-    t = train.where(known).select(
-        label.alias("tid"), F.col(train_id).cast("string").alias("rid"), key.alias("on"), *inputs,
-        F.pmod(F.xxhash64(F.col(train_id).cast("string")), F.lit(t_tiles)).cast("int").alias("tt"),
-        F.explode(F.sequence(F.lit(0), F.lit(q_tiles - 1))).alias("qt"))
-    columns, grouped = list(features), group is not None
+    def place(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = left.drop_columns(["tile"]), right.sort_by("no")
+        cells, boxes = np.zeros(0, np.int64), [None] * left.num_rows
+        if left.num_rows and right.num_rows:
+            rows, known = _arrays(left, columns), _arrays(right, columns)
+            cells = kernel.cells(rows, known)
+            # the first row of each cell in this tile carries the box of the cell's rows in it
+            firsts = {c: i for i, c in reversed(list(enumerate(cells.tolist())))}
+            for name, n, box in zip(*kernel.boxes(rows, cells, known)):
+                boxes[firsts[int(name)]] = [int(n), *box.tolist()]
+        return _nullable(left).append_column("cell", pa.array(cells, pa.int64())).append_column("box", pa.array(boxes, pa.list_(pa.int64())))
+
+    placed = materialize(cut.groupBy("on", "tile").cogroup(sent.groupBy("on", "tile")).applyInArrow(place, f"{schema}, cell long, box array<long>"))
+
+    def merged(parts: pa.Table) -> pa.Table:
+        """One box a cell; a tile gives a cell one part at most."""
+        boxes = _matrix(parts.column("box"))
+        return pa.table({"on": parts.column("on").slice(0, 1), "cell": parts.column("cell").slice(0, 1),
+                         "rows": pa.array([int(boxes[:, 0].sum())], pa.int64()),
+                         "box": pa.array([kernel.merge(np.ascontiguousarray(boxes[:, 1:])).tolist()], pa.list_(pa.int64()))})
+    boxes = placed.where("box is not null").select("on", "cell", "box").groupBy("on", "cell").applyInArrow(
+        merged, "on string, cell long, rows long, box array<long>")
+    return placed.drop("box"), materialize(boxes)
+
+
+def _visit(pairs: DataFrame, members: DataFrame, cells: DataFrame, k: int, kernel: Kernel, columns: list[str], grouped: bool,
+           exclude_self: bool, query_tile: int, train_tile: int) -> tuple[DataFrame, DataFrame]:
+    """The k best of each query in each tile of the cells it visits, and the sizes of these cells."""
+    met = pairs.groupBy("on", "cell").agg(F.count("*").alias("queries")).join(cells.select("on", "cell", "rows"), ["on", "cell"])
+    met = met.select("*", _tiles(F.col("queries"), query_tile).alias("qs"), _tiles(F.col("rows"), train_tile).alias("ts"))
+
+    def every(tiles: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(tiles) - 1))
+    q = pairs.join(met.drop("queries", "rows"), ["on", "cell"]).select(
+        "on", "cell", "qid", *columns, _tile_of("qid", "qs").alias("qt"), every("ts").alias("tt"))
+    t = members.join(met.drop("queries", "rows"), ["on", "cell"]).select(
+        "on", "cell", "tid", "rid", *columns, _tile_of("rid", "ts").alias("tt"), every("qs").alias("qt"))
 
     def tile(left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {"qid": [], "variant": [], "neighbor_id": [], "distance": []}
@@ -177,14 +181,98 @@ def nearest(
             "neighbor_id": pa.array(out["neighbor_id"], pa.string()),
             "distance": pa.array(out["distance"], pa.float64())})
 
-    best = q.groupBy("on", "qt", "tt").cogroup(t.groupBy("on", "qt", "tt")).applyInArrow(
-        tile, "qid string, variant string, neighbor_id string, distance double")
-    if grouped and t_tiles > 1:
-        best = best.groupBy("qid", "variant", "neighbor_id").agg(F.min("distance").alias("distance"))
-    # at most k rows per tile and query reach this window
+    keys = ["on", "cell", "qt", "tt"]
+    q, t = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (q, t))
+    best = q.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInArrow(tile, "qid string, variant string, neighbor_id string, distance double")
+    return best, met.select("on", "cell", "queries", "rows")
+
+
+def _best(found: DataFrame, k: int, grouped: bool) -> DataFrame:
+    """A tile may drop every group beyond its own k best: one of the global k is among them where its closest row lies."""
+    if grouped:
+        found = found.groupBy("qid", "variant", "neighbor_id").agg(F.min("distance").alias("distance"))
     w = Window.partitionBy("qid", "variant").orderBy("distance", "neighbor_id")
-    ranked = best.withColumn("neighbor_rank", F.row_number().over(w)).where(F.col("neighbor_rank") <= k)
-    return ranked.withColumnRenamed("qid", query_id)
+    return found.withColumn("neighbor_rank", F.row_number().over(w)).where(F.col("neighbor_rank") <= k)
+
+
+def search(
+    query: DataFrame, train: DataFrame, k: int, kernel: Kernel, features: Sequence[str],
+    query_id: str = "case_id", train_id: str = "case_id", group: str | None = None, on: str | None = None,
+    exclude_self: bool = False, query_tile: int = QUERY_TILE, train_tile: int = TRAIN_TILE,
+) -> Search:
+    """(query_id, variant, neighbor_rank, neighbor_id, distance) of the k nearest training rows, and the cells visited.
+
+    With ``group`` the neighbours are the k groups of smallest minimum distance.  ``on`` restricts neighbours to an equal
+    key; rows without a key, and rows without a vector, have no neighbours and are none.  Ties go to the smaller neighbour id.
+    """
+    columns, grouped = list(features), group is not None
+    label = F.col(group if group else train_id).cast("string")
+
+    def prepared(df: DataFrame, *ids: Column) -> DataFrame:
+        known = F.col(on).isNotNull() if on else F.lit(True)
+        for name, kind in df.select(*features).dtypes:
+            if kind.startswith("array"):
+                known = known & F.col(name).isNotNull()
+        # aliases give each side its own columns: both may come from the same table
+        return df.where(known).select(*ids, (F.col(on).cast("string") if on else F.lit("")).alias("on"), *[F.col(f).alias(f) for f in features])
+    q = prepared(query, F.col(query_id).cast("string").alias("qid"))
+    members, cells = index(prepared(train, label.alias("tid"), F.col(train_id).cast("string").alias("rid")), kernel, features, train_tile)
+    radii = [f"r{i}" for i in range(len(kernel.variants))]
+    schema = ", ".join(f"{name} {kind}" for name, kind in q.dtypes)
+
+    def looked_up(rows: DataFrame, choose: object) -> DataFrame:
+        cut, sent = _deal([rows, cells], ["on"], ["qid"], query_tile)
+
+        def choice(left: pa.Table, right: pa.Table) -> pa.Table:
+            names, picked = [c for c in left.column_names if c in ("qid", "on", *columns)], np.zeros((left.num_rows, right.num_rows), bool)
+            if left.num_rows and right.num_rows:
+                right = right.sort_by("cell")
+                rows = _arrays(left, columns)
+                bounds, near = kernel.bounds(rows, _matrix(right.column("box")))
+                picked = choose(left, right, bounds, near)
+            at, cell = np.nonzero(picked)
+            visited = right.column("cell").to_numpy()[cell] if right.num_rows else np.zeros(0, np.int64)
+            return _nullable(left.select(names).take(pa.array(at, pa.int64()))).append_column("cell", pa.array(visited, pa.int64()))
+        return materialize(cut.groupBy("on", "tile").cogroup(sent.groupBy("on", "tile")).applyInArrow(choice, f"{schema}, cell long"))
+
+    def first_look(left: pa.Table, right: pa.Table, bounds: Mapping[str, np.ndarray], near: np.ndarray) -> np.ndarray:
+        size = right.column("rows").to_numpy()
+        order = np.argsort(np.where(np.isfinite(near), near, np.inf), axis=1, kind="stable")
+        held = np.cumsum(size[order], axis=1)
+        taken = (held - size[order]) < FIRST_LOOK * k
+        picked = np.zeros_like(taken)
+        np.put_along_axis(picked, order, taken, axis=1)
+        return picked & np.isfinite(next(iter(bounds.values())))
+
+    def within(left: pa.Table, right: pa.Table, bounds: Mapping[str, np.ndarray], near: np.ndarray) -> np.ndarray:
+        picked = np.zeros(near.shape, bool)
+        for name, r in zip(kernel.variants, radii):
+            radius = np.array([np.inf if x is None else x for x in left.column(r).to_pylist()])[:, None]
+            bound = bounds[name]
+            picked |= np.isfinite(bound) & (bound * (1 - SLACK) - SLACK <= radius)
+        cells_at = {c: j for j, c in enumerate(right.column("cell").to_pylist())}
+        for i, seen in enumerate(left.column("seen").to_pylist()):
+            picked[i, [cells_at[c] for c in seen or ()]] = False
+        return picked
+
+    options = (k, kernel, columns, grouped, exclude_self, query_tile, train_tile)
+    pairs = looked_up(q, first_look)
+    best, met = _visit(pairs, members, cells, *options)
+    best = materialize(_best(best, k, grouped).drop("neighbor_rank"))
+    # a variant that has no k neighbours yet has no radius
+    reach = best.groupBy("qid").agg(*[
+        F.when(F.count_if(F.col("variant") == v) >= k, F.max(F.when(F.col("variant") == v, F.col("distance")))).alias(r)
+        for v, r in zip(kernel.variants, radii)])
+    seen = pairs.groupBy("qid").agg(F.collect_list("cell").alias("seen"))
+    more = looked_up(q.join(reach, "qid", "left").join(seen, "qid", "left"), within)
+    rest, also = _visit(more, members, cells, *options)
+    ranked = _best(best.unionByName(rest), k, grouped).withColumnRenamed("qid", query_id)
+    return Search(ranked, met.unionByName(also))
+
+
+def nearest(query: DataFrame, train: DataFrame, k: int, kernel: Kernel, features: Sequence[str], *args: object, **options: object) -> DataFrame:
+    """The rows that :func:`search` finds."""
+    return search(query, train, k, kernel, features, *args, **options).found
 
 
 def mean_distance(
