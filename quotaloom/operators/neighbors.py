@@ -5,7 +5,7 @@ cells that seem nearest, as many as hold a few times k rows; the k-th distance f
 cell whose lower bound is within that radius, and no more: what is left out can't be among the k nearest.  Cells are only as good as
 the data: rows that lie in groups or vary in few ways are found in few cells, rows spread evenly over many dimensions in all.
 
-A cell and the queries that visit it are cut into tiles of ``TRAIN_TILE`` and ``QUERY_TILE`` rows; every tile pair is one group of an
+Keys of up to ``LEAF`` rows are one cell.  A cell and the queries that visit it are cut into tiles of ``TRAIN_TILE`` and ``QUERY_TILE`` rows; every tile pair is one group of an
 Arrow co-group.  Only the k best of a query leave a task, never the pairs.  Pivots and boxes are tables, sent to the tiles of their
 key, so nothing is collected on the driver.  The number of cells of a key is bounded, and so is what a task holds.
 """
@@ -30,6 +30,8 @@ QUERY_TILE = 4096
 TRAIN_TILE = 8192
 #: pivots of one key: half the square root of its rows, up to this many
 MAX_PIVOTS = 1024
+#: rows of a key up to which it is one cell: their distances are measured faster than they are looked up
+LEAF = 2048
 #: rows, in multiples of k, that the cells hold in which a query looks first
 FIRST_LOOK = 8
 #: share of a distance and of the longest row by which rounding may err
@@ -87,25 +89,24 @@ class Search:
         return self.visits.agg(F.coalesce(F.sum(F.col("queries") * F.col("rows")), F.lit(0)).cast("long")).first()[0]
 
 
-def _deal(sides: Sequence[DataFrame], keys: Sequence[str], columns: Sequence[str], tile: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of the first side in tiles, and the second side sent to each tile of its key."""
-    left, right = sides
-    sizes = left.groupBy(*keys).agg(_tiles(F.count("*"), tile).alias("tiles"))
-    cut = left.join(sizes, list(keys)).withColumn("tile", _tile_of(columns[0], "tiles")).drop("tiles")
-    sent = right.join(sizes, list(keys)).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).drop("tiles")
+def _deal(rows: DataFrame, sent: DataFrame, sizes: DataFrame, key: str, tile: int) -> tuple[DataFrame, DataFrame]:
+    """Rows in tiles of their ``on``, of which ``sizes`` has the number of rows, and another table sent to each tile."""
+    tiles = sizes.select("on", _tiles(F.col("n"), tile).alias("tiles"))
+    cut = rows.join(tiles, "on").withColumn("tile", _tile_of(key, "tiles")).drop("tiles")
+    sent = sent.join(tiles, "on").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).drop("tiles")
     # names of its own for each side: both may come from the same table
     return tuple(df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (cut, sent))
 
 
-def index(train: DataFrame, kernel: Kernel, features: Sequence[str], train_tile: int = TRAIN_TILE) -> tuple[DataFrame, DataFrame]:
+def index(train: DataFrame, counted: DataFrame, kernel: Kernel, features: Sequence[str], train_tile: int, leaf: int) -> tuple[DataFrame, DataFrame]:
     """Members (``train`` with its ``cell``) and cells (on, cell, rows, box) of prepared rows (on, rid, tid, features)."""
     columns = list(features)
-    counted = train.groupBy("on").agg(F.count("*").alias("n"))
+    several = F.when(F.col("n") > leaf, F.ceil(F.sqrt("n") / 2)).otherwise(1)
     draw = Window.partitionBy("on").orderBy(F.xxhash64(F.lit("pivot"), "rid"), "rid")
     # at most MAX_PIVOTS rows of a key leave a task
     pivots = train.select("on", "rid", *columns).withColumn("no", F.row_number().over(draw)).where(F.col("no") <= MAX_PIVOTS)
-    pivots = pivots.join(counted, "on").where(F.col("no") <= F.ceil(F.sqrt("n") / 2)).select("on", "no", *columns)
-    cut, sent = _deal([train, pivots], ["on"], ["rid"], train_tile)
+    pivots = pivots.join(counted, "on").where(F.col("no") <= several).select("on", "no", *columns)
+    cut, sent = _deal(train, pivots, counted, "rid", train_tile)
     schema = ", ".join(f"{name} {kind}" for name, kind in train.dtypes)
 
     def place(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -198,7 +199,7 @@ def _best(found: DataFrame, k: int, grouped: bool) -> DataFrame:
 def search(
     query: DataFrame, train: DataFrame, k: int, kernel: Kernel, features: Sequence[str],
     query_id: str = "case_id", train_id: str = "case_id", group: str | None = None, on: str | None = None,
-    exclude_self: bool = False, query_tile: int = QUERY_TILE, train_tile: int = TRAIN_TILE,
+    exclude_self: bool = False, query_tile: int = QUERY_TILE, train_tile: int = TRAIN_TILE, leaf: int = LEAF,
 ) -> Search:
     """(query_id, variant, neighbor_rank, neighbor_id, distance) of the k nearest training rows, and the cells visited.
 
@@ -216,12 +217,20 @@ def search(
         # aliases give each side its own columns: both may come from the same table
         return df.where(known).select(*ids, (F.col(on).cast("string") if on else F.lit("")).alias("on"), *[F.col(f).alias(f) for f in features])
     q = prepared(query, F.col(query_id).cast("string").alias("qid"))
-    members, cells = index(prepared(train, label.alias("tid"), F.col(train_id).cast("string").alias("rid")), kernel, features, train_tile)
+    t = prepared(train, label.alias("tid"), F.col(train_id).cast("string").alias("rid"))
+    counted = materialize(t.groupBy("on").agg(F.count("*").alias("n")))
+    options = (k, kernel, columns, grouped, exclude_self, query_tile, train_tile)
+    if (counted.agg(F.max("n")).first()[0] or 0) <= leaf:  # nothing to look up: each key is one cell
+        one = F.lit(0).cast("long").alias("cell")
+        best, met = _visit(q.select("*", one), t.select("*", one), counted.select("on", one, F.col("n").alias("rows")), *options)
+        return Search(_best(best, k, grouped).withColumnRenamed("qid", query_id), met)
+    members, cells = index(t, counted, kernel, features, train_tile, leaf)
+    asked = materialize(q.groupBy("on").agg(F.count("*").alias("n")))
     radii = [f"r{i}" for i in range(len(kernel.variants))]
     schema = ", ".join(f"{name} {kind}" for name, kind in q.dtypes)
 
     def looked_up(rows: DataFrame, choose: object) -> DataFrame:
-        cut, sent = _deal([rows, cells], ["on"], ["qid"], query_tile)
+        cut, sent = _deal(rows, cells, asked, "qid", query_tile)
 
         def choice(left: pa.Table, right: pa.Table) -> pa.Table:
             names, picked = [c for c in left.column_names if c in ("qid", "on", *columns)], np.zeros((left.num_rows, right.num_rows), bool)
@@ -255,7 +264,6 @@ def search(
             picked[i, [cells_at[c] for c in seen or ()]] = False
         return picked
 
-    options = (k, kernel, columns, grouped, exclude_self, query_tile, train_tile)
     pairs = looked_up(q, first_look)
     best, met = _visit(pairs, members, cells, *options)
     best = materialize(_best(best, k, grouped).drop("neighbor_rank"))

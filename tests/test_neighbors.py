@@ -54,12 +54,13 @@ def test_clusters_are_found_in_few_cells(spark, kernel, most):
     rng = np.random.default_rng(1)
     centers = rng.normal(size=(40, 24))
     q, t = clusters(rng, 150, 24, centers, 0.02), clusters(rng, 2500, 24, centers, 0.02)
-    s = neighbors.search(frame(spark, ids("q", 150), vector=q), frame(spark, ids("t", 2500), vector=t), 5, kernel, ["vector"])
+    s = neighbors.search(frame(spark, ids("q", 150), vector=q), frame(spark, ids("t", 2500), vector=t), 5, kernel, ["vector"])  # over LEAF rows
     check(s.found, nearest_of(kernel, {"vector": q}, {"vector": t}, ids("q", 150), ids("t", 2500), 5))
     assert s.compared() < most * 150 * 2500
 
 
-def test_groups_keys_repeats_and_zero_rows(spark):
+@pytest.mark.parametrize("leaf", [0, 100, neighbors.LEAF])
+def test_groups_keys_repeats_and_zero_rows(spark, leaf):
     rng = np.random.default_rng(2)
     t = rng.normal(size=(300, 3))
     t[:40] = t[0]
@@ -68,9 +69,9 @@ def test_groups_keys_repeats_and_zero_rows(spark):
     keys = [f"e{x}" for x in rng.integers(0, 3, 300)]
     rows = frame(spark, ids("t", 300), vector=t, g=groups, e=keys)
     for kernel in (neighbors.euclidean, neighbors.cosine):
-        s = neighbors.search(rows, rows, 4, kernel, ["vector"], group="g", query_tile=37, train_tile=11)
+        s = neighbors.search(rows, rows, 4, kernel, ["vector"], group="g", query_tile=37, train_tile=11, leaf=leaf)
         check(s.found, nearest_of(kernel, {"vector": t}, {"vector": t}, ids("t", 300), ids("t", 300), 4, groups))
-        s = neighbors.search(rows, rows, 4, kernel, ["vector"], on="e", exclude_self=True)
+        s = neighbors.search(rows, rows, 4, kernel, ["vector"], on="e", exclude_self=True, leaf=leaf)
         expected = {}
         for e in set(keys):
             at = [i for i, x in enumerate(keys) if x == e]
@@ -84,7 +85,7 @@ def test_block_subsets_of_unequal_width(spark):
     q = {"b1": rng.normal(size=(40, 2)), "b2": rng.normal(size=(40, 5))}
     t = {"b1": rng.normal(size=(400, 2)), "b2": rng.normal(size=(400, 5))}
     kernel = neighbors.block_subsets({"both": ("b1", "b2"), "first": ("b1",), "second": ("b2",)})
-    s = neighbors.search(frame(spark, ids("q", 40), **q), frame(spark, ids("t", 400), **t), 6, kernel, ["b1", "b2"])
+    s = neighbors.search(frame(spark, ids("q", 40), **q), frame(spark, ids("t", 400), **t), 6, kernel, ["b1", "b2"], leaf=0)
     check(s.found, nearest_of(kernel, q, t, ids("q", 40), ids("t", 400), 6))
 
 
@@ -109,7 +110,7 @@ def test_sparse_bits(spark):
         bits[:3] = False
         return np.packbits(bits, axis=1, bitorder="little").view(np.int64)
     q, t = {"words": draw(60)}, {"words": draw(2000)}
-    s = neighbors.search(frame(spark, ids("q", 60), **q), frame(spark, ids("t", 2000), **t), 3, neighbors.tanimoto, ["words"])
+    s = neighbors.search(frame(spark, ids("q", 60), **q), frame(spark, ids("t", 2000), **t), 3, neighbors.tanimoto, ["words"], leaf=0)
     check(s.found, nearest_of(neighbors.tanimoto, q, t, ids("q", 60), ids("t", 2000), 3))
     assert s.compared() < 0.5 * 60 * 2000
 
