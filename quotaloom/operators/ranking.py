@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotaloom.functions.numeric import rate_of, review_count, safe_rate
-from quotaloom.operators.scan import Key, asc, attach_small, desc, ordered_scan, quantiles
+from quotaloom.operators.scan import Key, asc, attach_small, desc, flag_first, ordered_scan, quantiles
 
 POLICIES = ("all_queue", "low_concern_first")
 
@@ -53,9 +53,9 @@ def queue_order(
     if isinstance(policy, str):
         if policy not in POLICIES:
             raise ValueError(f"Unknown review policy: {policy}")
-        lead = [asc(F.col(pred_high).cast("int"))] if policy == "low_concern_first" else []
+        lead = [Key(F.col(pred_high).cast("int"), discrete=True)] if policy == "low_concern_first" else []
     else:
-        lead = [asc(F.when(policy, F.col(pred_high).cast("int")).otherwise(F.lit(0)))]
+        lead = [Key(F.when(policy, F.col(pred_high).cast("int")).otherwise(F.lit(0)), discrete=True)]
     value = F.when(~F.isnan(F.col(score).cast("double")), F.col(score).cast("double"))
     return [*lead, Key(value, not ascending), asc(F.col(entity).cast("string"))]
 
@@ -70,6 +70,14 @@ def review_queue(
     return ranked.withColumn("reviewed", F.col("review_rank") <= quota)
 
 
+def review_flags(
+    df: DataFrame, score: str, fraction: float, entity: str = "entity", panel: Sequence[str] = (),
+    policy: str | Column = "all_queue", pred_high: str = "pred_high", min_one: bool = False,
+) -> DataFrame:
+    """``reviewed`` as in :func:`review_queue`, without ranks: the cut-off of a panel is found from its order keys alone."""
+    return flag_first(df, queue_order(score, entity, policy, pred_high), panel, {"reviewed": review_count(F.col("_n"), fraction, min_one)})
+
+
 def rank_entities(
     entities: DataFrame, task: str, count: int, rule: str | None = None, entity: str = "entity",
     pred_high: str = "predicted_high",
@@ -180,7 +188,8 @@ def risk_coverage(
     df: DataFrame, error: str, score: str, case_id: str = "case_id", panel: Sequence[str] = ()
 ) -> DataFrame:
     """Mean error of the i most trusted rows, for every i (ascending score)."""
-    scan = ordered_scan(df, [asc(F.col(score).cast("double")), asc(F.col(case_id).cast("string"))], panel,
+    rows = df.select(*dict.fromkeys([*panel, case_id, score, error]))
+    scan = ordered_scan(rows, [asc(F.col(score).cast("double")), asc(F.col(case_id).cast("string"))], panel,
                         {"error": F.col(error).cast("double")})
     return scan.select(*panel, case_id, "rank", "panel_rows",
                        (F.col("rank") / F.col("panel_rows")).alias("coverage"),
@@ -225,10 +234,9 @@ def top_fraction(
     flag: str = "selected", rounding: str = "rint", min_one: bool = True,
 ) -> DataFrame:
     """Flag the top rows by score: ``rint`` or ``ceil`` of the fraction, at least one."""
-    scan = ordered_scan(df, [desc(F.col(score).cast("double")), asc(F.col(case_id).cast("string"))], panel,
-                        rank="_rank", total="_n")
     share = F.col("_n") * F.lit(float(fraction))
     size = F.ceil(share) if rounding == "ceil" else F.rint(share)
     if min_one:
         size = F.greatest(F.lit(1), size)
-    return scan.withColumn(flag, F.col("_rank") <= size).drop("_rank", "_n")
+    order = [desc(F.col(score).cast("double")), asc(F.col(case_id).cast("string"))]
+    return flag_first(df, order, panel, {flag: F.least(F.col("_n"), size)})

@@ -12,8 +12,9 @@ from quotaloom.operators import rollup
 from quotaloom.operators.metrics import (
     mean_sd, omission_metrics, random_reference, screening_action, workload_metrics)
 from quotaloom.operators.ranking import (
-    aurc, loss_capture, melt_scores, queue_order, review_queue, risk_coverage)
-from quotaloom.operators.scan import asc, attach_small, first_rows, ordered_scan, quantiles
+    aurc, loss_capture, melt_scores, queue_order, review_flags, review_queue, risk_coverage)
+from quotaloom.operators.scan import Key, asc, attach_small, cut_offs, first_rows, not_after, ordered_scan, quantiles
+from quotaloom.session import materialize
 
 #: fixed values: objectives and their ordering (column, descending), missing last
 OBJECTIVES: dict[str, tuple[tuple[str, bool], ...]] = {
@@ -54,6 +55,9 @@ def evaluate_signals(
     panel = list(panel)
     needs_error = objective in ("largest_error_capture", "overall_error_ranking")
     rows = development
+    if objective != "directional_underprediction_area":
+        used = [*panel, entity, "true_high", "pred_high", *([y_true, y_pred] if needs_error else []), *candidates.values()]
+        rows = materialize(development.select(*dict.fromkeys(c for c in used if c in development.columns)))
     if needs_error:
         rows = rows.withColumn("_error", F.abs(F.col(y_true) - F.col(y_pred)))
         rows = attach_small(rows, quantiles(rows, "_error", {"_limit": error_level}, panel), panel)
@@ -64,7 +68,7 @@ def evaluate_signals(
         return capture.withColumnsRenamed({
             "capture_area": "directional_underprediction_capture_area",
             "capture": "directional_underprediction_capture"})
-    reviewed = review_queue(long, "score", fraction, entity, keys, policy)
+    reviewed = review_flags(long, "score", fraction, entity, keys, policy)
     if not needs_error:
         return omission_metrics(reviewed, keys)
     large = F.col("_error") >= F.col("_limit")
@@ -178,18 +182,17 @@ def matched_queue(
 ) -> DataFrame:
     """Single, second and combined stages of every method at the same review count."""
     panel = list(panel)
-    keep = panel_df.withColumn("_miss", F.col("true_high") & ~F.col("pred_high"))
-    base = review_queue(keep, first, fraction, entity, panel, "low_concern_first").drop("review_rank", "panel_rows")
-    base = base.withColumnRenamed("reviewed", "first")
+    keep = materialize(panel_df.select(*panel, entity, "pred_high", (F.col("true_high") & ~F.col("pred_high")).alias("_miss"),
+                                       *dict.fromkeys([first, *scores.values()])))
+    base = materialize(review_flags(keep, first, fraction, entity, panel, "low_concern_first").withColumnRenamed("reviewed", "first"))
     long = melt_scores(base, scores)
     key = [*panel, "method"]
-    single = review_queue(long, "score", fraction, entity, key, "low_concern_first").withColumnRenamed(
-        "reviewed", "single").drop("review_rank", "panel_rows")
     residual = ~F.col("pred_high") & ~F.col("first")
-    order = [asc((~residual).cast("int")), *queue_order("score", entity)]
-    staged = ordered_scan(single, order, key, {"res": residual.cast("long")}, rank="_r", total="_n")
-    extra = F.least(review_count(F.col("_n"), fraction), F.col("total_res"))
-    staged = staged.withColumn("second", residual & (F.col("_r") <= extra))
+    single = review_flags(long, "score", fraction, entity, key, "low_concern_first").withColumnRenamed("reviewed", "single")
+    order = [Key((~residual).cast("int"), discrete=True), *queue_order("score", entity)]
+    extra = F.least(review_count(F.col("_n"), fraction), F.col("_res"))
+    cuts = cut_offs(long, order, key, {"_second": extra}, {"_res": residual.cast("long")})
+    staged = attach_small(single, cuts, key).withColumn("second", residual & not_after(order, "_second"))
     miss, low = F.col("_miss"), ~F.col("pred_high")
     combined = F.col("first") | F.col("second")
     wide = staged.groupBy(*key).agg(
@@ -218,10 +221,9 @@ def disagreement(
 ) -> DataFrame:
     """Which of two methods rescues each baseline miss under the low-first policy."""
     (a, a_col), (b, b_col) = first, second
-    rows = panel_df
+    rows = materialize(panel_df)
     for name, col in ((a, a_col), (b, b_col)):
-        rows = review_queue(rows, col, fraction, entity, panel, "low_concern_first").drop(
-            "review_rank", "panel_rows").withColumnRenamed("reviewed", f"reviewed_{name}")
+        rows = review_flags(rows, col, fraction, entity, panel, "low_concern_first").withColumnRenamed("reviewed", f"reviewed_{name}")
     ra, rb, m = F.col(f"reviewed_{a}"), F.col(f"reviewed_{b}"), F.col(miss)
     return rows.withColumn("disagreement_category", (
         F.when(~m, "not_baseline_false_negative").when(ra & rb, "both_rescued")
@@ -255,7 +257,7 @@ def fixed_workload(
 ) -> DataFrame:
     """All methods at all burdens: one ordering per method, burdens are read off its ranks."""
     key = [*panel, "method"]
-    long = melt_scores(panel_df, scores)
+    long = melt_scores(panel_df.select(*panel, entity, "true_high", "pred_high", *dict.fromkeys(scores.values())), scores)
     scan = ordered_scan(long, queue_order("score", entity, policy), key, rank="_r", total="_n")
     grid = scan.select("*", F.explode(F.array(*[F.lit(float(f)) for f in fractions])).alias("fraction"))
     grid = grid.withColumn("reviewed", F.col("_r") <= review_count(F.col("_n"), F.col("fraction"), min_one))
@@ -268,9 +270,10 @@ def decision_baselines(
 ) -> DataFrame:
     """Every method under both queue policies plus the closed-form random review."""
     policies = F.explode(F.array(F.lit("all_queue"), F.lit("low_concern_first"))).alias("policy")
+    panel_df = materialize(panel_df.select(*panel, entity, "true_high", "pred_high", *dict.fromkeys(scores.values())))
     long = melt_scores(panel_df, scores).select("*", policies)
     key = [*panel, "policy", "method"]
-    reviewed = review_queue(long, "score", fraction, entity, key, F.col("policy") == "low_concern_first")
+    reviewed = review_flags(long, "score", fraction, entity, key, F.col("policy") == "low_concern_first")
     methods = omission_metrics(reviewed, key)
     methods = methods.withColumn("rescued_false_negative", F.col("rescued_false_negative").cast("double"))
     random = random_reference(panel_df, fraction, panel).drop("low_capture").select(
@@ -290,6 +293,6 @@ def frozen_evaluation(
     entities = rows.groupBy(*panel, "entity").agg(
         F.bool_or(F.col("true_value") <= F.col("cutoff")).alias("true_high"),
         F.bool_or(F.col("pred_value") <= F.col("cutoff")).alias("pred_high"), F.max(score).alias(score))
-    per = omission_metrics(review_queue(entities, score, fraction, panel=panel, policy="low_concern_first"), panel)
+    per = omission_metrics(review_flags(materialize(entities), score, fraction, panel=panel, policy="low_concern_first"), panel)
     return mean_sd(per.withColumn("dataset", F.lit(dataset)), ["dataset"],
                    ["false_negative_capture", "lower_priority_false_omission_rate"])

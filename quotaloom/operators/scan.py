@@ -23,10 +23,11 @@ HOT_GROUP_ROWS = 1_000_000
 
 @dataclass(frozen=True)
 class Key:
-    """One ordering key; NULL always sorts last."""
+    """One ordering key; NULL always sorts last.  ``discrete`` keys have few values, each counted by itself."""
 
     expr: Column
     descending: bool = False
+    discrete: bool = False
 
     def sort(self, name: str) -> Column:
         col = F.col(name)
@@ -103,6 +104,86 @@ def ordered_scan(
     )
 
 
+#: cells of a number for each factor of e; a double spans about 1,450 such factors on either side of zero
+CELLS = 4096
+#: leading characters of a text key (of a digest in hexadecimal: 65,536 cells)
+TEXT_CELL = 4
+
+
+def _cell(key: Column, kind: str) -> Column:
+    """A coarse value that never falls where the key rises; numbers of one cell differ by a 4,096th at most."""
+    if kind == "string":
+        return F.substring(key, 1, TEXT_CELL)
+    if kind in ("boolean", "date", "timestamp") or kind.startswith(("array", "struct", "map", "binary")):
+        return F.lit(0).cast("long")
+    x = key.cast("double")
+    size = F.lit(4_000_000) + F.floor(F.ln(F.least(F.abs(x), F.lit(1.7e308))) * CELLS)
+    return F.when(x.isNull(), F.lit(None)).when(F.isnan(x), 1 << 40).when(x > 0, size).when(x < 0, -size).otherwise(0).cast("long")
+
+
+def cut_offs(df: DataFrame, order: Sequence[Key], panel: Sequence[str], ranks: Mapping[str, Column],
+             totals: Mapping[str, Column] | None = None, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+    """The row at each rank, as a struct of its order keys, one row per panel with the number of rows ``_n``.
+
+    ``ranks`` are made of ``_n`` and of the sums over the panel named in ``totals``; rank 0 has no row.  Only order keys are read: a histogram of coarse keys finds the cell in
+    which a rank lies, and only the rows of that cell are put in order.  ``order`` must be total.
+    """
+    names = [f"_key{i}" for i in range(len(order))]
+    group = F.struct(*[F.col(c).alias(f"p{i}") for i, c in enumerate(panel)]) if panel else F.lit(0)
+    totals = dict(totals or {})
+    keyed = materialize(df.select(group.alias("_p"), *[k.expr.alias(n) for n, k in zip(names, order)], *[c.alias(n) for n, c in totals.items()]))
+    kinds, cells = dict(keyed.dtypes), {}
+    for key, name in zip(order, names):
+        cells[f"_cell{name[4:]}"] = (F.col(name) if key.discrete else _cell(F.col(name), kinds[name]), key)
+        if not key.discrete:
+            break
+    placed = keyed.select("*", *[c.alias(n) for n, (c, _) in cells.items()])
+    counts = placed.groupBy("_p", *cells).agg(F.count("*").alias("_rows"), *[F.sum(n).alias(n) for n in totals])
+    whole = Window.partitionBy("_p")
+    before = whole.orderBy(*[Key(F.col(n), k.descending).sort(n) for n, (_, k) in cells.items()]).rowsBetween(Window.unboundedPreceding, -1)
+    counts = materialize(counts.select("*", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"), F.sum("_rows").over(whole).alias("_n"),
+                                       *[F.sum(n).over(whole).alias(f"_total{n}") for n in totals]).drop(*totals).withColumnsRenamed({f"_total{n}": n for n in totals}))
+    wanted = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), r.cast("long").alias("rank")) for n, r in ranks.items()]))
+    at = counts.select("*", wanted.alias("_w")).where((F.col("_w.rank") > F.col("_before")) & (F.col("_w.rank") <= F.col("_before") + F.col("_rows")))
+    at = at.select(*[F.col(c).alias(f"_at{c}") for c in ("_p", *cells)], F.col("_w.name").alias("_name"), (F.col("_w.rank") - F.col("_before")).alias("_need"),
+                   F.col("_rows").alias("_at_rows"))
+    same = F.col("_p") == F.col("_at_p")
+    for c in cells:
+        same = same & F.col(c).eqNullSafe(F.col(f"_at{c}"))
+    inside = placed.join(at, same).select("_p", "_name", "_need", *names)
+    keys = [Key(F.col(n), k.descending) for n, k in zip(names, order)]
+    if (at.agg(F.max("_at_rows")).first()[0] or 0) > hot_rows:  # a cell of ties or of very near values
+        ranked = ordered_scan(inside, keys, ["_p", "_name"], rank="_rank", total="_inside")
+    else:
+        within = Window.partitionBy("_p", "_name").orderBy(*[k.sort(n) for n, k in zip(names, keys)])
+        ranked = inside.withColumn("_rank", F.row_number().over(within))
+    cut = F.struct(*names)
+    found = ranked.where("_rank = _need").groupBy("_p").agg(*[F.max(F.when(F.col("_name") == n, cut)).alias(n) for n in ranks])
+    sizes = counts.groupBy("_p").agg(F.max("_n").alias("_n"))
+    return materialize(sizes.join(found, "_p", "left").select(*[F.col(f"_p.p{i}").alias(c) for i, c in enumerate(panel)], "_n", *ranks))
+
+
+def not_after(order: Sequence[Key], cut: str) -> Column:
+    """Whether a row stands at or before the row whose order keys are in the struct ``cut``; false without one."""
+    out = F.lit(True)
+    for i, key in reversed(list(enumerate(order))):
+        at = F.col(f"{cut}._key{i}")
+        ahead = F.when(key.expr.isNull(), False).when(at.isNull(), True).otherwise(key.expr > at if key.descending else key.expr < at)
+        out = ahead | (key.expr.eqNullSafe(at) & out)
+    return F.when(F.col(cut).isNull(), False).otherwise(out)
+
+
+def flag_first(df: DataFrame, order: Sequence[Key], panel: Sequence[str], ranks: Mapping[str, Column],
+               totals: Mapping[str, Column] | None = None) -> DataFrame:
+    """For each entry of ``ranks`` whether a row is among the first so many of its panel.
+
+    The rows themselves are neither sorted nor written, but read twice: write down what is dear to compute before.
+    """
+    cuts = cut_offs(df, order, panel, {f"_cut_{n}": r for n, r in ranks.items()}, totals)
+    marked = attach_small(df, cuts, panel)
+    return marked.select(*df.columns, *[not_after(order, f"_cut_{n}").alias(n) for n in ranks])
+
+
 def quantiles(
     df: DataFrame, value: str, levels: Mapping[str, float], panel: Sequence[str] = (),
     weight: str | None = None,

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotaloom.operators.scan import Key, asc, attach_small, desc, hash_key, ordered_scan
+from quotaloom.operators.scan import Key, asc, attach_small, desc, flag_first, hash_key, ordered_scan
 
 MISSING_GROUP = "__missing_group__"
 
@@ -21,24 +21,25 @@ def _at_least_one(share: Column) -> Column:
     return F.greatest(F.lit(1.0), F.rint(share))
 
 
+def _hashed(seed: int | str, case_id: str) -> list[Key]:
+    return [asc(hash_key(seed, case_id)), asc(F.col(case_id).cast("string"))]
+
+
 def _calibrate(rest: DataFrame, case_id: str, seed: int, fraction: float) -> DataFrame:
     """Row-level calibration draw from the rows left after the test set."""
-    scan = ordered_scan(rest, [asc(hash_key(f"{seed}-calibration", case_id)), asc(F.col(case_id).cast("string"))],
-                        rank="_r", total="_n")
-    part = F.when(F.col("_r") <= _at_least_one(F.col("_n") * fraction), "calibration").otherwise("train")
-    return scan.withColumn("partition", part).drop("_r", "_n")
+    first = flag_first(rest, _hashed(f"{seed}-calibration", case_id), (), {"_first": _at_least_one(F.col("_n") * fraction)})
+    return first.withColumn("partition", F.when(F.col("_first"), "calibration").otherwise("train")).drop("_first")
 
 
 def random_split(
     df: DataFrame, case_id: str, seed: int = 42, test: float = 0.2, calibration: float = 0.125
 ) -> DataFrame:
     """Exact-size row split: one hash order, its head is test, the next stretch calibration."""
-    scan = ordered_scan(df, [asc(hash_key(seed, case_id)), asc(F.col(case_id).cast("string"))], rank="_r", total="_n")
-    n_test = _at_least_one(F.col("_n") * test)
+    n_test = F.least(F.col("_n"), _at_least_one(F.col("_n") * test))
     n_cal = _at_least_one((F.col("_n") - n_test) * calibration)
-    part = (F.when(F.col("_r") <= n_test, "test").when(F.col("_r") <= n_test + n_cal, "calibration")
-            .otherwise("train"))
-    return scan.withColumn("partition", part).drop("_r", "_n")
+    first = flag_first(df, _hashed(seed, case_id), (), {"_test": n_test, "_more": F.least(F.col("_n"), n_test + n_cal)})
+    part = F.when(F.col("_test"), "test").when(F.col("_more"), "calibration").otherwise("train")
+    return first.withColumn("partition", part).drop("_test", "_more")
 
 
 def group_order(df: DataFrame, group: str, seed: int | str) -> DataFrame:
@@ -136,10 +137,9 @@ def time_split(
     df: DataFrame, year: str, case_id: str, seed: int = 42, holdout: float = 0.2, calibration: float = 0.125
 ) -> DataFrame:
     """The last rows by year are the test set; rows without a year sort last."""
-    scan = ordered_scan(df, [Key(F.col(year).cast("double")), asc(F.col(case_id).cast("string"))],
-                        rank="_r", total="_n")
-    late = F.col("_r") > F.col("_n") - _at_least_one(F.col("_n") * holdout)
-    rows = scan.withColumn("_late", late).drop("_r", "_n")
+    order = [Key(F.col(year).cast("double")), asc(F.col(case_id).cast("string"))]
+    early = flag_first(df, order, (), {"_early": F.col("_n") - _at_least_one(F.col("_n") * holdout)})
+    rows = early.withColumn("_late", ~F.col("_early")).drop("_early")
     test = rows.where("_late").drop("_late").withColumn("partition", F.lit("test"))
     return test.unionByName(_calibrate(rows.where(~F.col("_late")).drop("_late"), case_id, seed, calibration))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quotaloom.operators import metrics, ranking, rollup, routing
 from quotaloom.plans.registry import query
 from quotaloom.plans.testbed import CASES, CUTOFFS, PANEL, SCORES, cases, rounded
+from quotaloom.session import materialize
 
 
 def n(cond: str) -> str:
@@ -107,7 +108,7 @@ OMISSION = f"""{n('true')} AS n_entities, {n('reviewed')} AS review_n, {n('NOT p
 
 @query("omission_metrics", f"WITH {CASES}, {QUEUE} SELECT {OMISSION} FROM reviewed")
 def omission_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    reviewed = ranking.review_queue(panel(spark, sf), "s1", 0.25, policy="low_concern_first")
+    reviewed = ranking.review_flags(materialize(panel(spark, sf)), "s1", 0.25, policy="low_concern_first")
     return rounded(metrics.omission_metrics(reviewed))
 
 
@@ -422,7 +423,7 @@ q AS (SELECT *, row_number() OVER (PARTITION BY threshold ORDER BY pred_high, s1
 SELECT threshold, {OMISSION} FROM q GROUP BY threshold""")
 def absolute_thresholds(spark: SparkSession, sf: str) -> DataFrame:
     rows = rollup.absolute_panel(cases(spark, sf), [3.5, 4.0, 4.3], scores=["s1"])
-    reviewed = ranking.review_queue(rows, "s1", 0.25, panel=["threshold"], policy="low_concern_first")
+    reviewed = ranking.review_flags(materialize(rows), "s1", 0.25, panel=["threshold"], policy="low_concern_first")
     return rounded(metrics.omission_metrics(reviewed, ["threshold"]))
 
 
@@ -449,7 +450,7 @@ SELECT CASE WHEN pred_high AND reviewed THEN 'prioritize_testing' WHEN pred_high
        count(*) AS n_entities, round(sqrt(avg(abs_error * abs_error)), 6) AS rmse,
        round(avg(true_high::INT), 6) AS high_fraction FROM reviewed GROUP BY ALL""")
 def action_decision_map(spark: SparkSession, sf: str) -> DataFrame:
-    queue = ranking.review_queue(panel(spark, sf), "s1", 0.25, policy="low_concern_first")
+    queue = ranking.review_flags(materialize(panel(spark, sf)), "s1", 0.25, policy="low_concern_first")
     return rounded(routing.action_map(queue, "abs_error"))
 
 
@@ -464,7 +465,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY level ORDER BY pred_high, s1 DES
 SELECT level, {OMISSION} FROM r GROUP BY level""")
 def concern_threshold_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
     rows = rollup.cutoff_sensitivity(cases(spark, sf), (0.1, 0.25, 0.5), ["s1"])
-    reviewed = ranking.review_queue(rows, "s1", 0.25, panel=["level"], policy="low_concern_first")
+    reviewed = ranking.review_flags(materialize(rows), "s1", 0.25, panel=["level"], policy="low_concern_first")
     return rounded(metrics.omission_metrics(reviewed, ["level"]))
 
 

@@ -1,11 +1,15 @@
 """The skew-safe order statistics against brute force, on both plans."""
 
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quotaloom.operators import scan
+from quotaloom.operators import ranking, scan, splits
+from quotaloom.operators.scan import Key
+from quotaloom.session import materialize
 
 
 def frame(spark, n=400, seed=0):
@@ -79,3 +83,35 @@ def test_small_inputs_run_without_a_job_and_large_ones_are_range_partitioned(spa
     finally:
         spark.conf.unset("spark.quotaloom.smallBytes")
     assert "_range" in text
+
+
+@pytest.mark.parametrize("hot_rows", [0, 10 ** 6])
+def test_cut_offs_are_the_rows_at_their_ranks(spark, hot_rows):
+    rng = random.Random(4)
+    values = [None, -3.5, 0.0, 1e-9, 1e300, float("nan"), 7.0, 7.0, 7.0, *[rng.uniform(-5, 5) for _ in range(60)]]
+    rows = [(p, rng.random() < 0.3, v, f"{k:03d}") for p in (None, "a", "b") for k, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "p string, lead boolean, v double, id string")
+    for descending in (False, True):
+        order = [Key(F.col("lead").cast("int"), discrete=True), Key(F.col("v"), descending), Key(F.col("id"))]
+        ranks = {"few": F.lit(3), "none": F.lit(0), "most": F.col("_n") - 2, "leading": F.col("_low")}
+        cuts = scan.cut_offs(df, order, ["p"], ranks, {"_low": (~F.col("lead")).cast("long")}, hot_rows)
+        ranked = scan.ordered_scan(df, order, ["p"]).select("p", "rank", "id", "lead").collect()
+        at = {(r.p, r.rank): r.id for r in ranked}
+        for r in cuts.collect():
+            low = sum(x.p == r.p and not x.lead for x in ranked)
+            assert r.none is None and r._n == len(values) and r.few._key2 == at[r.p, 3] and r.most._key2 == at[r.p, len(values) - 2]
+            assert r.leading._key2 == at[r.p, low]
+        flagged = scan.flag_first(df, order, ["p"], {"first": F.lit(5)})
+        assert {(r.p, r.id) for r in flagged.where("first").collect()} == {(p, i) for (p, k), i in at.items() if k <= 5}
+        assert flagged.columns == [*df.columns, "first"]
+
+
+def test_a_cut_off_neither_writes_nor_sorts_wide_columns(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(scan, "materialize", lambda df: written.append(df.columns) or materialize(df))
+    df = spark.createDataFrame([(str(k), "wide" * 50, float(k % 7)) for k in range(200)], "case_id string, wide string, study_year double")
+    for split in (splits.random_split(df, "case_id"), splits.time_split(df, "study_year", "case_id"),
+                  ranking.top_fraction(df, "study_year", 0.1, "case_id")):
+        plan = split._jdf.queryExecution().optimizedPlan().toString()
+        assert "Sort" not in plan and "RepartitionByExpression" not in plan and split.count() == 200
+    assert written and not any("wide" in columns for columns in written)
