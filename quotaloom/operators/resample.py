@@ -2,22 +2,23 @@
 
 A replicate draws n row indices floor(n * u) with u from sha-256(seed|replicate|i), so
 the draws are exact multinomials, repeatable anywhere and computed where the rows are.
-Weights stand for copies wherever a metric is additive; copies are only written out
-for quotas, which count them.
+Weights stand for copies: sums are weighted, and a quota, which counts copies, takes of each row the weight that still
+fits before it (:func:`quota_weights`).  No copy is written out and no replicate is sorted.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotaloom.functions.numeric import safe_rate, unit_draw
+from quotaloom.functions.numeric import review_count, safe_rate, unit_draw
 from quotaloom.operators.metrics import _join_panels, omission_metrics, random_reference, spearman
-from quotaloom.operators.ranking import melt_scores, review_queue
-from quotaloom.operators.scan import asc, ordered_scan, quantiles
+from quotaloom.operators.ranking import melt_scores, queue_order
+from quotaloom.operators.scan import asc, attach_small, ordered_scan, quantiles
 from quotaloom.session import materialize
 
 INTERVAL = {"ci_lower": 0.025, "median": 0.5, "ci_upper": 0.975}
@@ -36,19 +37,62 @@ def multiplicities(
     ``slots`` replaces the plain replicate numbers by rows of (replicate, slot keys,
     panel keys), each resampling the panel it names.
     """
-    keys = ["replicate", *slot_keys]
     indexed = ordered_scan(entities.select(*panel, entity), [asc(F.col(entity).cast("string"))], panel, rank="_i", total="_n")
+    hits = weights_by_index(indexed, reps, seed, panel, slots, slot_keys)
+    return hits.join(indexed.drop("_n"), [*panel, "_i"]).select("replicate", *slot_keys, *panel, entity, "w")
+
+
+def weights_by_index(
+    indexed: DataFrame, reps: int, seed: int | str, panel: Sequence[str] = (), slots: DataFrame | None = None, slot_keys: Sequence[str] = (),
+) -> DataFrame:
+    """(replicate, panel, _i, w) of entities numbered from 1 (``_i`` of ``_n``): only numbers are drawn and shuffled."""
+    keys = ["replicate", *slot_keys]
     rows = replicates(indexed, reps) if slots is None else indexed.join(slots, list(panel))
     u = unit_draw(F.lit(str(seed)), *[F.col(k) for k in keys], F.col("_i"))
-    hits = rows.select(*keys, *panel, (F.floor(u * F.col("_n")) + 1).alias("_i")).groupBy(*keys, *panel, "_i").agg(
-        F.count("*").alias("w"))
-    return hits.join(indexed.drop("_n"), [*panel, "_i"]).select(*keys, *panel, entity, "w")
+    return rows.select(*keys, *panel, (F.floor(u * F.col("_n")) + 1).alias("_i")).groupBy(*keys, *panel, "_i").agg(F.count("*").alias("w"))
 
 
-def copies(df: DataFrame, weights: DataFrame, on: Sequence[str]) -> DataFrame:
-    """One row per drawn copy; ``copy`` tells them apart."""
-    return df.join(weights, list(on)).select(
-        "*", F.explode(F.sequence(F.lit(1), F.col("w").cast("int"))).alias("copy")).drop("w")
+def quota_weights(
+    rows: DataFrame, keys: Sequence[str], place: str, size: int, weight: str, quota: Column, name: str = "reviewed",
+) -> DataFrame:
+    """``rows`` with the part of their weight that is within the first ``quota`` of their key, in the order of ``place``.
+
+    ``place`` numbers the rows of a key from 1 in one order for all replicates, ``size`` is the largest number, and ``quota``
+    is made of ``_total``, the key's weight.  Weights are added up over about sqrt(size) stretches of places; of each key
+    only the stretch in which the quota ends is put in order, the others are wholly within or beyond.  ``rows`` are read
+    three times, so they should be written or cheap.
+    """
+    keys = list(keys)
+    stretch = F.floor((F.col(place) - 1) / F.lit(max(1, math.isqrt(max(1, size))))).cast("int")
+    sums = rows.groupBy(*keys, stretch.alias("_stretch")).agg(F.sum(weight).alias("_w"))
+    whole = Window.partitionBy(*keys)
+    upto = whole.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, 0)
+    ends = sums.select(*keys, "_stretch", "_w", F.sum("_w").over(upto).alias("_upto"), F.sum("_w").over(whole).alias("_total"))
+    ends = ends.withColumn("_quota", quota.cast("long"))
+    ends = materialize(ends.groupBy(*keys).agg(
+        F.min(F.when(F.col("_upto") >= F.col("_quota"), F.col("_stretch"))).alias("_end"),
+        F.max(F.when(F.col("_upto") < F.col("_quota"), F.col("_upto"))).alias("_before"), F.max("_quota").alias("_quota")))
+    marked = attach_small(rows.withColumn("_stretch", stretch), ends, keys)
+    inside = F.col("_stretch") == F.col("_end")
+    ahead = Window.partitionBy(*keys).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("_quota") - F.coalesce("_before", F.lit(0)) - F.coalesce(F.sum(weight).over(ahead), F.lit(0))
+    partly = marked.where(inside).withColumn(name, F.greatest(F.lit(0), F.least(F.col(weight), left)))
+    rest = marked.where(~inside | F.col("_end").isNull()).withColumn(
+        name, F.when(F.col("_end").isNull() | (F.col("_stretch") < F.col("_end")), F.col(weight)).otherwise(0))
+    return partly.unionByName(rest).select(*rows.columns, F.col(name).cast("long").alias(name))
+
+
+def weighted_omission(rows: DataFrame, keys: Sequence[str], weight: str = "w", reviewed: str = "reviewed") -> DataFrame:
+    """The omission rates of weighted rows of which ``reviewed`` was looked at."""
+    th, low = F.col("true_high"), ~F.col("pred_high")
+
+    def total(cond: Column, column: Column) -> Column:
+        return F.coalesce(F.sum(F.when(cond, column)), F.lit(0))
+    w, seen = F.col(weight), F.col(reviewed)
+    return rows.groupBy(*keys).agg(
+        safe_rate(total(th & low, seen), total(th & low, w)).alias("false_negative_capture"),
+        safe_rate(total(th & low, w - seen), total(th, w)).alias("high_concern_left_low_priority_fraction"),
+        safe_rate(total(th & low, w - seen), total(low, w - seen)).alias("lower_priority_false_omission_rate"))
 
 
 def intervals(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -61,16 +105,23 @@ def intervals(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def cluster_bootstrap(
-    cases: DataFrame, entity: str, y_true: str, y_pred: str, reps: int, seed: int = 42
+    cases: DataFrame, entity: str, y_true: str, y_pred: str, reps: int, seed: int = 42, ranks: bool = True,
 ) -> DataFrame:
-    """Regression metrics per replicate when whole entities are resampled."""
-    weights = multiplicities(cases.select(entity).distinct(), entity, reps, seed)
-    # read by the error sums and by both rank scans
+    """Regression metrics per replicate when whole entities are resampled.
+
+    Errors are sums over entities, so replicates meet one row of an entity and not its cases.  ``ranks`` adds the rank
+    correlation, for which every replicate has to order all its cases.
+    """
+    weights = materialize(multiplicities(cases.select(entity).distinct(), entity, reps, seed))
+    d = F.col(y_pred) - F.col(y_true)
+    sums = cases.groupBy(entity).agg(F.count("*").alias("_n"), F.sum(d * d).alias("_ss"), F.sum(F.abs(d)).alias("_sa"), F.sum(d).alias("_sd"))
+    n = F.sum(F.col("w") * F.col("_n"))
+    errors = weights.join(sums, entity).groupBy("replicate").agg(
+        n.alias("n_rows"), F.sqrt(F.sum(F.col("w") * F.col("_ss")) / n).alias("rmse"),
+        (F.sum(F.col("w") * F.col("_sa")) / n).alias("mae"), (F.sum(F.col("w") * F.col("_sd")) / n).alias("bias"))
+    if not ranks:
+        return errors
     rows = materialize(cases.select(entity, y_true, y_pred).join(weights, entity).drop(entity))
-    w, d = F.col("w"), F.col(y_pred) - F.col(y_true)
-    errors = rows.groupBy("replicate").agg(
-        F.sum(w).alias("n_rows"), F.sqrt(F.sum(w * d * d) / F.sum(w)).alias("rmse"),
-        (F.sum(w * F.abs(d)) / F.sum(w)).alias("mae"), (F.sum(w * d) / F.sum(w)).alias("bias"))
     return _join_panels([errors, spearman(rows, y_true, y_pred, ["replicate"], "w")], ["replicate"])
 
 
@@ -90,24 +141,74 @@ def paired_differences(long: DataFrame, keys: Sequence[str], method: str, refere
         *keys, method, "reference", (F.col("value") - F.col("_ref")).alias("difference"))
 
 
+def compared(long: DataFrame, keys: Sequence[str], method: str, comparisons: Sequence[tuple[str, str]]) -> DataFrame:
+    """Value of the first minus value of the second method of each comparison, within the same resample."""
+    pairs = long.sparkSession.createDataFrame([tuple(c) for c in comparisons], f"{method} string, reference string")
+    ref = long.select(*keys, F.col(method).alias("reference"), F.col("value").alias("_ref"))
+    return long.join(F.broadcast(pairs), method).join(ref, [*keys, "reference"]).select(
+        *keys, method, "reference", (F.col("value") - F.col("_ref")).alias("difference"))
+
+
+def replicate_rates(
+    panel_df: DataFrame, scores: Mapping[str, str], fraction: float, reps: int, entity: str = "entity", seed: int = 42,
+    policy: str = "low_concern_first", panel: Sequence[str] = (), random: str | None = "random_review",
+) -> DataFrame:
+    """(panel, replicate, method, metric, value): all methods reviewed on the same resamples, and the random review of each.
+
+    The queue of a method has one order for all replicates; a replicate only weights its rows.
+    """
+    panel = list(panel)
+    rows = panel_df.select(*panel, F.col(entity).cast("string").alias(entity), "true_high", "pred_high", *dict.fromkeys(scores.values()))
+    numbered = materialize(ordered_scan(rows, [asc(entity)], panel, rank="_i", total="_n"))
+    placed = materialize(ordered_scan(melt_scores(numbered.drop("_n"), scores), queue_order("score", entity, policy), [*panel, "method"],
+                                      rank="_place", total="_n").select(*panel, "method", "_i", "_place", "true_high", "pred_high"))
+    size = numbered.agg(F.max("_n")).first()[0] or 0
+    weights = materialize(weights_by_index(numbered.select(*panel, "_i", "_n"), reps, seed, panel))
+    keys = [*panel, "replicate"]
+    drawn = weights.join(placed, [*panel, "_i"])
+    reviewed = quota_weights(drawn, [*keys, "method"], "_place", size, "w", review_count(F.col("_total"), fraction))
+    out = _long_rates(weighted_omission(reviewed, [*keys, "method"]), [*keys, "method"])
+    if random is None:
+        return out
+    # expected rates of a random review of the same size, from the replicate's totals
+    th, low, w = F.col("true_high"), ~F.col("pred_high"), F.col("w")
+    def total(cond: Column) -> Column: return F.coalesce(F.sum(F.when(cond, w)), F.lit(0))
+    sums = weights.join(numbered.drop("_n"), [*panel, "_i"]).groupBy(*keys).agg(
+        F.sum(w).alias("_n"), total(th).alias("_high"), total(low).alias("_low"), total(th & low).alias("_miss"))
+    p = safe_rate(review_count(F.col("_n"), fraction), F.col("_n"))
+    closed = sums.select(
+        *keys, F.lit(random).alias("method"), F.when(F.col("_miss") > 0, p).alias("false_negative_capture"),
+        safe_rate(F.col("_miss") * (1 - p), F.col("_high")).alias("high_concern_left_low_priority_fraction"),
+        safe_rate(F.col("_miss"), F.col("_low")).alias("lower_priority_false_omission_rate"))
+    return out.unionByName(_long_rates(closed, [*keys, "method"]))
+
+
 def paired_panel_bootstrap(
     panel_df: DataFrame, scores: Mapping[str, str], fraction: float, reps: int, references: Sequence[str],
     entity: str = "entity", seed: int = 42, policy: str = "low_concern_first", panel: Sequence[str] = (),
 ) -> DataFrame:
     """Differences between methods reviewed on the same resample, with intervals and sign shares."""
-    weights = multiplicities(panel_df, entity, reps, seed, panel)
-    sample = materialize(copies(panel_df, weights, [*panel, entity]))
-    keys = ["replicate", *panel]
-    # copies of an entity are told apart by a suffix, so that the order stays total
-    labelled = sample.withColumn(entity, F.concat_ws("#", F.col(entity), F.col("copy"))).drop("copy")
-    long = melt_scores(labelled, scores)
-    measured = omission_metrics(review_queue(long, "score", fraction, entity, [*keys, "method"], policy), [*keys, "method"])
-    random = random_reference(labelled, fraction, keys).withColumn("method", F.lit("random_review"))
-    rates = _long_rates(measured, [*keys, "method"]).unionByName(_long_rates(random, [*keys, "method"]))
-    differences = paired_differences(rates, [*keys, "metric"], "method", references)
+    rates = replicate_rates(panel_df, scores, fraction, reps, entity, seed, policy, panel)
+    differences = paired_differences(rates, [*panel, "replicate", "metric"], "method", references)
     return intervals(differences, [*panel, "method", "reference", "metric"], "difference")
 
 
+def support_increment(
+    panel_df: DataFrame, scores: Mapping[str, str], comparisons: Sequence[tuple[str, str]], fraction: float = 0.25, reps: int = 2000,
+    entity: str = "entity", seed: int = 42, policy: str = "low_concern_first", panel: Sequence[str] = (),
+) -> DataFrame:
+    """What support blocks add: the paired differences of a table of comparisons, with intervals and the share that improves."""
+    missing = {m for pair in comparisons for m in pair} - set(scores)
+    if missing:
+        raise ValueError("comparisons name methods without a score: " + ", ".join(sorted(missing)))
+    rates = replicate_rates(panel_df, scores, fraction, reps, entity, seed, policy, panel, random=None)
+    found = intervals(compared(rates, [*panel, "replicate", "metric"], "method", comparisons), [*panel, "method", "reference", "metric"], "difference")
+    captured = F.col("metric") == "false_negative_capture"
+    return found.select(
+        *panel, "method", "reference", "metric", "n_values", "mean", "median", "ci_lower", "ci_upper",
+        F.when(captured, F.col("share_positive")).otherwise(F.col("share_negative")).alias("share_better"))
+
+
 def hierarchical_bootstrap(
     reviewed: DataFrame, seed_key: str, reps: int, seed: int = 42, entity: str = "entity",
     group: Sequence[str] = ("method",),
@@ -152,16 +253,46 @@ def macro_bootstrap(
     panels: DataFrame, panel: Sequence[str], scores: Mapping[str, str], first: str, reps: int,
     reference: str, entity: str = "entity", seed: int = 42, fraction: float = 0.25,
 ) -> DataFrame:
-    """Shared multiplicities across all panels: panels are averaged within a replicate before percentiles."""
-    from quotaloom.operators.routing import matched_queue
-
-    weights = multiplicities(panels.select(entity).distinct(), entity, reps, seed)
-    sample = copies(panels, weights, [entity])
-    labelled = materialize(sample.withColumn(entity, F.concat_ws("#", F.col(entity), F.col("copy"))).drop("copy"))
-    keys = ["replicate", *panel]
-    per = matched_queue(labelled, first, scores, fraction, keys, entity)
+    """Shared multiplicities across all panels: panels are averaged within a replicate before percentiles.
+
+    In each panel the first score reviews its quota; every method reviews as much alone, and as much of the low queue that
+    the first left.  A row may be reviewed in part, as some of its copies are.
+    """
+    rows = panels.select(*panel, F.col(entity).cast("string").alias(entity), "true_high", "pred_high", *dict.fromkeys([first, *scores.values()]))
+    entities = materialize(ordered_scan(rows.select(entity).distinct(), [asc(entity)], rank="_i", total="_n"))
+    numbered = materialize(rows.join(entities.drop("_n"), entity))
+    places = {"_first": queue_order(first, entity, "low_concern_first")}
+    for m, column in scores.items():
+        places |= {f"_single_{m}": queue_order(column, entity, "low_concern_first"), f"_second_{m}": queue_order(column, entity)}
+    for name, order in places.items():
+        numbered = ordered_scan(numbered, order, panel, rank=name, total="_size")
+        numbered = numbered.drop("_size") if name != list(places)[-1] else numbered
+    placed = materialize(numbered.select(*panel, "_i", "true_high", "pred_high", "_size", *places))
+    size = placed.agg(F.max("_size")).first()[0] or 0
+    weights = weights_by_index(entities, reps, seed)
+    keys, quota = ["replicate", *panel], review_count(F.col("_total"), fraction)
+    drawn = materialize(weights.join(placed.drop("_size"), "_i").drop("_i"))
+    staged = materialize(quota_weights(drawn, keys, "_first", size, "w", quota, "first"))
+    methods = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(f"_single_{m}").alias("_alone"), F.col(f"_second_{m}").alias("_after")) for m in scores]))
+    long = staged.select(*keys, "true_high", "pred_high", "w", "first", methods.alias("_m")).select("*", "_m.*").drop("_m")
+    key = [*keys, "method"]
+    long = materialize(quota_weights(long, key, "_alone", size, "w", quota, "single").withColumn(
+        "residual", F.when(F.col("pred_high"), 0).otherwise(F.col("w") - F.col("first"))))
+    # as many again as the first stage had, of what it left in the low queue
+    budget = materialize(staged.groupBy(*keys).agg(F.sum("first").alias("_budget")))
+    long = attach_small(long, budget, keys)
+    long = quota_weights(long, [*key, "_budget"], "_after", size, "residual", F.least(F.col("_budget"), F.col("_total")), "second")
+    miss, low = F.col("true_high") & ~F.col("pred_high"), ~F.col("pred_high")
+    w, one, two, alone, left = (F.col(c) for c in ("w", "first", "second", "single", "residual"))
+    def total(cond: Column, column: Column) -> Column: return F.coalesce(F.sum(F.when(cond, column)), F.lit(0))
+    per = long.groupBy(*key).agg(
+        safe_rate(total(miss, alone), total(miss, w)).alias("single_capture"),
+        safe_rate(total(miss, w - alone), total(low, w - alone)).alias("single_for"),
+        safe_rate(total(miss, two), total(miss, left)).alias("second_capture"),
+        safe_rate(total(miss, one + two), total(miss, w)).alias("combined_capture"),
+        safe_rate(total(miss, w - one - two), total(low, w - one - two)).alias("combined_for"))
     measures = ["single_capture", "single_for", "second_capture", "combined_capture", "combined_for"]
-    long = per.unpivot([*keys, "method"], measures, "metric", "value")
+    long = per.unpivot(key, measures, "metric", "value")
     macro = long.groupBy("replicate", "method", "metric").agg(F.avg("value").alias("value"))
     return intervals(paired_differences(macro, ["replicate", "metric"], "method", [reference]),
                      ["method", "reference", "metric"], "difference")
@@ -294,7 +425,6 @@ def random_review_replicates(
     panel: Sequence[str] = (), min_one: bool = True,
 ) -> DataFrame:
     """Simulated random reviews in hash order; the closed form in ``random_reference`` is the cheap route."""
-    from quotaloom.functions.numeric import review_count
     from quotaloom.operators.scan import hash_key
 
     rows = replicates(panel_df, reps)

@@ -10,6 +10,11 @@ from quotaloom.plans.queries_metrics import ranked
 from quotaloom.plans.queries_review import METHODS, MISS, n, panel, rate
 from quotaloom.plans.registry import query
 from quotaloom.plans.testbed import CASES, PANEL, SCORES, cases, rounded
+from quotaloom.session import materialize
+
+
+#: replicates of the paired and of the cluster bootstrap, and of the macro bootstrap
+REPLICATES, MACRO_REPLICATES = 2000, 1000
 
 
 def u(*parts: str) -> str:
@@ -47,19 +52,50 @@ SUMMARY = """count(*) AS n_values, round(avg(difference), 6) + 0 AS mean, round(
   round(avg((difference > 0)::INT), 6) AS share_positive, round(avg((difference < 0)::INT), 6) AS share_negative"""
 
 
-@query("paired_bootstrap", f"""WITH {CASES}, {PANEL}, {weights('panel', 20)},
-c AS (SELECT p.*, replicate, concat_ws('#', p.entity, CAST(k + 1 AS VARCHAR)) AS eid FROM (SELECT *, unnest(range(w)) AS k FROM w) x JOIN panel p USING (entity)),
-l AS (SELECT replicate, eid, true_high, pred_high, 'first' AS method, s1 AS score FROM c UNION ALL SELECT replicate, eid, true_high, pred_high, 'second', s2 FROM c),
+@query("cluster_bootstrap_errors", f"""WITH {CASES}, {weights('cases', REPLICATES)},
+e AS (SELECT entity, count(*) AS n, sum((y_pred - y_true) ** 2) AS ss, sum(abs(y_pred - y_true)) AS sa, sum(y_pred - y_true) AS sd FROM cases GROUP BY entity)
+SELECT replicate, CAST(sum(w * n) AS BIGINT) AS n_rows, round(sqrt(sum(w * ss) / sum(w * n)), 6) AS rmse, round(sum(w * sa) / sum(w * n), 6) AS mae,
+  round(sum(w * sd) / sum(w * n), 6) AS bias FROM w JOIN e USING (entity) GROUP BY replicate""")
+def cluster_bootstrap_errors(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(resample.cluster_bootstrap(cases(spark, sf), "entity", "y_true", "y_pred", REPLICATES, ranks=False))
+
+
+def reviewed_rates(methods: dict[str, str], reps: int) -> str:
+    """(replicate, method, metric, v) of all methods, each reviewing the first quarter of the copies."""
+    long = " UNION ALL ".join(f"SELECT replicate, eid, true_high, pred_high, '{m}' AS method, {c} AS score FROM c" for m, c in methods.items())
+    return f"""{CASES}, {PANEL}, {weights('panel', reps)},
+c AS (SELECT p.*, -min_pred AS proximity, s1 + s2 AS both_scores, s1 * s2 AS product, replicate, concat_ws('#', p.entity, CAST(k + 1 AS VARCHAR)) AS eid
+      FROM (SELECT *, unnest(range(w)) AS k FROM w) x JOIN panel p USING (entity)),
+l AS ({long}),
 q AS (SELECT *, row_number() OVER (PARTITION BY replicate, method ORDER BY pred_high, score DESC NULLS LAST, eid)
        <= round_even(count(*) OVER (PARTITION BY replicate, method) * 0.25::DOUBLE, 0) AS reviewed FROM l),
-m AS (SELECT replicate, method, {RATES} FROM q GROUP BY ALL),
+m AS (SELECT replicate, method, {RATES} FROM q GROUP BY ALL)"""
+
+
+@query("paired_bootstrap", f"""WITH {reviewed_rates(METHODS, REPLICATES)},
 rnd AS (SELECT replicate, 'random_review' AS method, CASE WHEN {n(MISS)} > 0 THEN round_even(count(*) * 0.25::DOUBLE, 0) / count(*) END AS capture,
    {n(MISS)} * (1 - round_even(count(*) * 0.25::DOUBLE, 0) / count(*)) / nullif({n('true_high')}, 0) AS left_low, {n(MISS)} / nullif({n('NOT pred_high')}, 0)::DOUBLE AS omission FROM c GROUP BY replicate),
 a AS (SELECT * FROM m UNION ALL SELECT * FROM rnd), v AS ({UNPIVOT.format(k='replicate, method', t='a')}),
 d AS (SELECT x.method, y.method AS reference, x.metric, x.v - y.v AS difference FROM v x JOIN v y ON x.replicate = y.replicate AND x.metric = y.metric AND y.method IN ('first', 'random_review') AND x.method <> y.method)
 SELECT method, reference, metric, {SUMMARY} FROM d WHERE difference IS NOT NULL GROUP BY ALL""")
 def paired_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(resample.paired_panel_bootstrap(panel(spark, sf), METHODS, 0.25, 20, ["first", "random_review"]))
+    return rounded(resample.paired_panel_bootstrap(materialize(panel(spark, sf)), METHODS, 0.25, REPLICATES, ["first", "random_review"]))
+
+
+SUPPORT = {"first": "s1", "second": "s2", "sum": "both_scores", "product": "product", "threshold": "proximity"}
+COMPARISONS = [("sum", "first"), ("sum", "second"), ("product", "first"), ("product", "second"), ("sum", "product"),
+               ("first", "threshold"), ("second", "threshold"), ("sum", "threshold"), ("product", "threshold")]
+
+
+@query("support_increment", f"""WITH {reviewed_rates(SUPPORT, REPLICATES)}, v AS ({UNPIVOT.format(k='replicate, method', t='m')}),
+pairs AS (SELECT * FROM (VALUES {', '.join(map(str, COMPARISONS))}) t(method, reference)),
+d AS (SELECT p.method, p.reference, x.metric, x.v - y.v AS difference FROM pairs p JOIN v x USING (method) JOIN v y ON x.replicate = y.replicate AND x.metric = y.metric AND y.method = p.reference),
+s AS (SELECT method, reference, metric, {SUMMARY} FROM d WHERE difference IS NOT NULL GROUP BY ALL)
+SELECT method, reference, metric, n_values, mean, median, ci_lower, ci_upper,
+  CASE WHEN metric = 'false_negative_capture' THEN share_positive ELSE share_negative END AS share_better FROM s""")
+def support_increment(spark: SparkSession, sf: str) -> DataFrame:
+    rows = panel(spark, sf).withColumns({"proximity": -F.col("min_pred"), "both_scores": F.col("s1") + F.col("s2"), "product": F.col("s1") * F.col("s2")})
+    return rounded(resample.support_increment(materialize(rows), SUPPORT, COMPARISONS, 0.25, REPLICATES))
 
 
 def split_panels(spark: SparkSession, sf: str) -> DataFrame:
@@ -73,9 +109,32 @@ def hierarchical_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(resample.hierarchical_deltas(resample.hierarchical_bootstrap(reviewed, "split", 2000), "first"))
 
 
-@query("macro_bootstrap")
+MACRO = f"""{CASES},
+med2 AS (SELECT split, entity, endpoint, median(y_true) AS y_true, median(y_pred) AS y_pred, median(s1) AS s1, median(s2) AS s2 FROM cases GROUP BY ALL),
+cut2 AS (SELECT split, endpoint, quantile_cont(y_true, 0.25) AS cutoff FROM med2 GROUP BY ALL),
+panel2 AS (SELECT split, entity, bool_or(m.y_true <= cutoff) AS true_high, bool_or(y_pred <= cutoff) AS pred_high, max(s1) AS s1, max(s2) AS s2
+  FROM med2 m JOIN cut2 USING (split, endpoint) GROUP BY ALL),
+{weights('panel2', MACRO_REPLICATES)},
+c AS (SELECT p.*, replicate, concat_ws('#', p.entity, CAST(k + 1 AS VARCHAR)) AS eid FROM (SELECT *, unnest(range(w)) AS k FROM w) x JOIN panel2 p USING (entity)),
+f AS (SELECT *, round_even(count(*) OVER (PARTITION BY replicate, split) * 0.25::DOUBLE, 0) AS quota,
+  row_number() OVER (PARTITION BY replicate, split ORDER BY pred_high, s1 DESC NULLS LAST, eid) AS place FROM c),
+l AS (SELECT f.*, place <= quota AS one, NOT pred_high AND place > quota AS residual, m.method, CASE m.method WHEN 'first' THEN s1 ELSE s2 END AS score
+  FROM f, (VALUES ('first'), ('second')) m(method)),
+q AS (SELECT *, row_number() OVER (PARTITION BY replicate, split, method ORDER BY pred_high, score DESC NULLS LAST, eid) <= quota AS alone,
+  residual AND row_number() OVER (PARTITION BY replicate, split, method ORDER BY residual DESC, score DESC NULLS LAST, eid) <= quota AS two FROM l),
+m AS (SELECT replicate, split, method, {n(MISS + ' AND alone')} / nullif({n(MISS)}, 0)::DOUBLE AS single_capture,
+  {n(MISS + ' AND NOT alone')} / nullif({n('NOT pred_high AND NOT alone')}, 0)::DOUBLE AS single_for,
+  {n(MISS + ' AND two')} / nullif({n(MISS + ' AND residual')}, 0)::DOUBLE AS second_capture,
+  {n(MISS + ' AND (one OR two)')} / nullif({n(MISS)}, 0)::DOUBLE AS combined_capture,
+  {n(MISS + ' AND NOT one AND NOT two')} / nullif({n('NOT pred_high AND NOT one AND NOT two')}, 0)::DOUBLE AS combined_for FROM q GROUP BY ALL),
+v AS (SELECT replicate, method, metric, avg(v) AS v FROM (UNPIVOT m ON single_capture, single_for, second_capture, combined_capture, combined_for INTO NAME metric VALUE v) GROUP BY ALL)"""
+
+
+@query("macro_bootstrap", f"""WITH {MACRO},
+d AS (SELECT x.method, y.method AS reference, x.metric, x.v - y.v AS difference FROM v x JOIN v y USING (replicate, metric) WHERE y.method = 'first' AND x.method <> 'first')
+SELECT method, reference, metric, {SUMMARY} FROM d WHERE difference IS NOT NULL GROUP BY ALL""")
 def macro_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(resample.macro_bootstrap(split_panels(spark, sf), ["split"], METHODS, "s1", 10, "first"))
+    return rounded(resample.macro_bootstrap(materialize(split_panels(spark, sf)), ["split"], METHODS, "s1", MACRO_REPLICATES, "first"))
 
 
 @query("meta_bootstrap")

@@ -222,3 +222,29 @@ def test_hashed_fingerprint_covers_the_whole_text(spark):
     grams = {long[i:i + 3] for i in range(len(long) - 2)}
     assert len(got["a"]) == len(grams) and set(got["a"]) < set(got["b"]) and len(got["d"]) == 1
     assert rows(df.limit(0)) == []
+
+
+@pytest.mark.parametrize("quota", [0, 1, 17, 40, 10 ** 6])
+def test_quota_weights_take_the_first_copies(spark, quota):
+    rng = np.random.default_rng(8)
+    rows = [(r, p, int(w)) for r in range(4) for p, w in zip(rng.permutation(60) + 1, rng.integers(0, 4, 60))]
+    df = spark.createDataFrame([(r, int(p), w) for r, p, w in rows], "replicate int, place int, w long")
+    got = resample.quota_weights(df, ["replicate"], "place", 60, "w", F.least(F.lit(quota), F.col("_total"))).collect()
+    assert len(got) == len(rows)
+    for r in range(4):
+        left = quota
+        for x in sorted((x for x in got if x.replicate == r), key=lambda x: x.place):
+            assert x.reviewed == min(left, x.w)
+            left -= x.reviewed
+
+
+def test_support_increment_compares_what_it_is_told_to(spark):
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(f"e{i}", bool(rng.random() < 0.4), bool(rng.random() < 0.3), float(rng.random()), float(rng.random())) for i in range(80)],
+                               "entity string, true_high boolean, pred_high boolean, a double, b double")
+    got = resample.support_increment(df, {"a": "a", "b": "b", "a again": "a"}, [("b", "a"), ("a again", "a")], reps=40).collect()
+    assert {(r.method, r.reference) for r in got} == {("b", "a"), ("a again", "a")} and len(got) == 6
+    assert all(r.n_values == 40 and r.ci_lower <= r.median <= r.ci_upper for r in got)
+    assert all(r["mean"] == 0 and r.share_better == 0 for r in got if r.method == "a again")
+    with pytest.raises(ValueError, match="without a score: c"):
+        resample.support_increment(df, {"a": "a"}, [("a", "c")])
