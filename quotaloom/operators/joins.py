@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotaloom.functions.text import blank_to_null
+from quotaloom.functions.units import to_molar
 from quotaloom.operators.scan import first_rows
 
 
@@ -228,3 +229,30 @@ def recover_metadata(
         for c in collect])
     return blanked(cases, [case_id]).join(one, list(keys), "left").select(
         case_id, *[F.coalesce(c, F.lit("")).alias(c) for c in collect])
+
+
+def enrich_panel(
+    panel_df: DataFrame, catalog: DataFrame, name: str, key: str, columns: Mapping[str, str], value: str, unit: str, weight: str,
+    entity_id: str, catalog_key: str | None = None, tie: Sequence[str] = (), entity: str = "entity",
+) -> DataFrame:
+    """A panel with catalog columns (``output -> catalog column``), its molar values and log10 target, and an entity id.
+
+    The distinct (name, key) pairs are resolved once, each by the first catalog row of its key in the order of ``tie``, and
+    joined back; a key that many rows share is looked up once.  ``weight`` and ``entity_id`` are outputs; where the id is
+    missing or blank the key is the entity.  No row is lost or repeated; rows without a key stay unresolved.
+    """
+    catalog_key = catalog_key or key
+    index = panel_df.select(name, key).distinct()
+    known = catalog.select(F.trim(F.col(catalog_key).cast("string")).alias("_key"), *[F.col(c).alias(o) for o, c in columns.items()],
+                           *[F.col(t).cast("string").alias(f"_t{i}") for i, t in enumerate(tie)])
+    order = [F.coalesce(F.col(f"_t{i}"), F.lit("")) for i in range(len(tie))] or [F.to_json(F.struct(*columns))]
+    best = first_rows(known.where(F.col("_key") != ""), ["_key"], order).select("_key", *columns)
+    resolved = index.join(best, F.trim(F.col(key).cast("string")) == F.col("_key"), "left").drop("_key")
+    resolved = resolved.select(F.col(name).alias("_name"), F.col(key).alias("_panel_key"), *columns)
+    joined = panel_df.join(resolved, F.col(name).eqNullSafe(F.col("_name")) & F.col(key).eqNullSafe(F.col("_panel_key")), "left")
+    molar = to_molar(F.col(value), F.col(unit), F.col(weight))
+    known_weight = F.col(weight).try_cast("double").isNotNull()
+    return joined.select(
+        *[F.col(c) for c in panel_df.columns], *columns, F.when(known_weight, molar).alias("value_molar"),
+        F.when(known_weight, F.log10(molar)).alias("log_molar"),
+        F.coalesce(F.nullif(F.trim(F.col(entity_id).cast("string")), F.lit("")), F.col(key).cast("string")).alias(entity))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quotaloom.functions.text import taxon_value
 from quotaloom.operators.scan import asc, hash_key, ordered_scan
+from quotaloom.session import materialize
 
 
 def squared_norm(vector: str) -> Column:
@@ -219,17 +220,43 @@ def apply_standardise(df: DataFrame, fitted: Mapping[str, tuple[float, float, fl
         (F.coalesce(F.col(c).cast("double"), F.lit(m)) - F.lit(mean)) / F.lit(sd) for c, (m, mean, sd) in fitted.items()]))
 
 
+#: categories that a dense encoding may have; each row then holds one number for each
+DENSE_CATEGORIES = 10_000
+
+
+def index_categories(train: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The encoding as a table: name, value, slot (from 0, by column and value) and ``usual`` for a column's most frequent value."""
+    pairs = train.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("at"), F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for i, c in enumerate(columns)])).alias("_e"))
+    counts = pairs.select("_e.*").where(F.col("value").isNotNull()).groupBy("at", "name", "value").agg(F.count("*").alias("n"))
+    numbered = materialize(ordered_scan(counts, [asc("at"), asc("value")], rank="_slot", total="_width"))
+    usual = numbered.groupBy("name").agg(F.min(F.struct(-F.col("n"), "value")).alias("_u")).select("name", F.col("_u.value").alias("_usual"))
+    return materialize(numbered.join(usual, "name").select(
+        "name", "value", (F.col("_slot") - 1).alias("slot"), (F.col("value") == F.col("_usual")).alias("usual")))
+
+
+def one_hot_slots(df: DataFrame, categories: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
+    """The slots that are 1, as an ascending array: a missing value has the usual category, an unknown one none.
+
+    Categories are looked up by joins on their table, so neither the driver nor a row ever holds all of them.
+    """
+    out, slots = df, []
+    usual = {r["name"]: r["value"] for r in categories.where("usual").select("name", "value").collect()}  # a row for each column
+    for i, c in enumerate(columns):
+        known = categories.where(F.col("name") == c).select(F.col("value").alias(f"_value{i}"), F.col("slot").alias(f"_slot{i}"))
+        value = F.coalesce(F.col(c).cast("string"), F.lit(usual.get(c)).cast("string"))
+        out = out.withColumn(f"_key{i}", value).join(known, F.col(f"_key{i}") == F.col(f"_value{i}"), "left")
+        slots.append(F.col(f"_slot{i}"))
+    return out.select(*[F.col(c) for c in df.columns], F.sort_array(F.array_compact(F.array(*slots))).alias(name))
+
+
 def one_hot_categories(train: DataFrame, columns: Sequence[str]) -> dict[str, tuple[str, list[str]]]:
-    """(most frequent value, sorted categories) per column; the category lists are the model."""
-    counts = train.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in columns])).alias("_e")).select(
-        "_e.*").where(F.col("value").isNotNull()).groupBy("name", "value").agg(F.count("*").alias("n"))
-    rows = counts.collect()  # one row per output column of the encoding
-    out = {}
-    for c in columns:
-        mine = sorted((r["value"], r["n"]) for r in rows if r["name"] == c)
-        out[c] = (min(mine, key=lambda v: (-v[1], v[0]))[0] if mine else "", [v for v, _ in mine])
-    return out
+    """(most frequent value, sorted categories) per column for a dense encoding of up to DENSE_CATEGORIES."""
+    table = index_categories(train, columns)
+    rows = table.orderBy("slot").limit(DENSE_CATEGORIES + 1).collect()
+    if len(rows) > DENSE_CATEGORIES:
+        raise ValueError(f"over {DENSE_CATEGORIES} categories: encode them sparsely, with index_categories and one_hot_slots")
+    return {c: (next((r["value"] for r in rows if r["name"] == c and r["usual"]), ""), [r["value"] for r in rows if r["name"] == c]) for c in columns}
 
 
 def apply_one_hot(df: DataFrame, fitted: Mapping[str, tuple[str, list[str]]], name: str) -> DataFrame:

@@ -627,3 +627,28 @@ def reference_components(spark: SparkSession, sf: str) -> DataFrame:
     refs = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
         F.array_join(F.array_sort(F.collect_set(F.col("l_suppkey").cast("string"))), ";").alias("refs"))
     return setops.reference_components(refs, "l_orderkey", "refs")
+
+
+@query("panel_enrichment", """WITH p AS (SELECT o_orderkey AS row_id, CASE WHEN o_orderkey % 11 <> 0 THEN concat(' ', CAST(o_custkey AS VARCHAR), ' ') END AS casrn,
+   o_orderstatus AS chemical_name, o_totalprice / 1000 AS source_value,
+   CASE o_orderpriority WHEN '1-URGENT' THEN 'mg/L' WHEN '2-HIGH' THEN 'ug/L' WHEN '3-MEDIUM' THEN 'mM' WHEN '5-LOW' THEN 'ppb' ELSE 'drops' END AS source_unit FROM orders),
+k AS (SELECT CAST(c_custkey AS VARCHAR) AS key, CASE WHEN c_nationkey % 3 <> 0 THEN c_name WHEN c_nationkey % 2 = 0 THEN '  ' END AS dtxsid,
+   CASE WHEN c_acctbal > 0 THEN c_acctbal / 10 END AS molecular_weight FROM customer),
+j AS (SELECT p.*, dtxsid, molecular_weight, CASE WHEN molecular_weight IS NULL OR source_value <= 0 THEN NULL WHEN source_unit = 'mM' THEN source_value * 1e-3::DOUBLE
+   WHEN source_unit = 'mg/L' THEN source_value * 1e-3::DOUBLE / molecular_weight WHEN source_unit IN ('ug/L', 'ppb') THEN source_value * 1e-6::DOUBLE / molecular_weight END AS molar
+   FROM p LEFT JOIN k ON trim(casrn) = key)
+SELECT row_id, dtxsid, round(molecular_weight, 6) AS molecular_weight, round(molar * 1000000, 4) AS micromolar, round(log10(molar), 6) AS log_molar,
+  coalesce(nullif(trim(dtxsid), ''), casrn) AS entity FROM j""")
+def panel_enrichment(spark: SparkSession, sf: str) -> DataFrame:
+    unit = F.col("o_orderpriority")
+    rows = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("row_id"), F.when(F.col("o_orderkey") % 11 != 0, F.concat(F.lit(" "), F.col("o_custkey").cast("string"), F.lit(" "))).alias("casrn"),
+        F.col("o_orderstatus").alias("chemical_name"), (F.col("o_totalprice") / 1000).alias("source_value"),
+        F.when(unit == "1-URGENT", "mg/L").when(unit == "2-HIGH", "ug/L").when(unit == "3-MEDIUM", "mM").when(unit == "5-LOW", "ppb").otherwise("drops").alias("source_unit"))
+    catalog = table(spark, sf, "customer").select(
+        "c_custkey", F.when(F.col("c_nationkey") % 3 != 0, F.col("c_name")).when(F.col("c_nationkey") % 2 == 0, "  ").alias("name"),
+        F.when(F.col("c_acctbal") > 0, F.col("c_acctbal") / 10).alias("mass"))
+    out = joins.enrich_panel(rows, catalog, "chemical_name", "casrn", {"dtxsid": "name", "molecular_weight": "mass"}, "source_value", "source_unit",
+                             "molecular_weight", "dtxsid", "c_custkey")
+    out = out.select("row_id", "dtxsid", "molecular_weight", F.round(F.col("value_molar") * 1000000, 4).alias("micromolar"), "log_molar", "entity")
+    return rounded(out)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotaloom.operators import calibrate, metrics, ranking
+from quotaloom.operators import ablation, calibrate, metrics, ranking
 from quotaloom.plans.queries_review import METHODS, n, panel, rate
 from quotaloom.plans.registry import query
 from quotaloom.plans.testbed import CASES, PANEL, cases, rounded, table
@@ -296,3 +296,45 @@ def comparator_suite(spark: SparkSession, sf: str) -> DataFrame:
         rows.where("split = 'F'"), rows.where("split = 'O'"), ["s1", "s2", "s3"],
         {"support": ["s1", "s2"], "time": ["s3"]}, "error", (0.8, 0.9), "endpoint", "gap")
     return rounded(out.drop("endpoint", "split", "s1", "s2", "s3", "error", "gap"))
+
+
+COMPONENTS = ("c1", "c2", "c3")
+REMOVED = {"full": "(c1 + c2 + c3) / 3.0::DOUBLE", "c1": "(c2 + c3) / 2.0::DOUBLE", "c2": "(c1 + c3) / 2.0::DOUBLE", "c3": "(c1 + c2) / 2.0::DOUBLE"}
+
+
+def _each(template: str) -> str:
+    return ", ".join(template.format(v=v) for v in REMOVED)
+
+
+ABLATION = f"""{CASES},
+b AS (SELECT *, s1 * 10 AS c1, s2 / 50 AS c2, abs(study_year - 1995) / 4.0::DOUBLE AS c3 FROM cases),
+v AS (SELECT case_id, split, entity, endpoint, y_true, y_pred, abs(y_true - y_pred) AS e, {', '.join(f'{x} AS v_{m}' for m, x in REMOVED.items())} FROM b),
+lc AS ({' UNION ALL '.join(f"SELECT split, case_id, e, '{m}' AS removed, v_{m} AS score FROM v" for m in REMOVED)}),
+rk AS (SELECT split, removed, row_number() OVER w AS rn, count(*) OVER (PARTITION BY split, removed) AS n, sum(e) OVER w / row_number() OVER w AS risk
+  FROM lc WINDOW w AS (PARTITION BY split, removed ORDER BY score, case_id ROWS UNBOUNDED PRECEDING)),
+au AS (SELECT split, removed, (sum(risk) - sum(risk) FILTER (WHERE rn = 1 OR rn = n) / 2) / max(n) AS value FROM rk GROUP BY ALL),
+md AS (SELECT split, entity, endpoint, median(y_true) AS t, median(y_pred) AS p, {_each('median(v_{v}) AS v_{v}')} FROM v GROUP BY ALL),
+ct AS (SELECT split, endpoint, quantile_cont(t, 0.25) AS cutoff FROM md GROUP BY ALL),
+en AS (SELECT split, entity, bool_or(t <= cutoff) AS true_high, bool_or(p <= cutoff) AS pred_high, {_each('max(v_{v}) AS v_{v}')} FROM md JOIN ct USING (split, endpoint) GROUP BY ALL),
+le AS ({' UNION ALL '.join(f"SELECT split, entity, true_high, pred_high, '{m}' AS removed, v_{m} AS score FROM en" for m in REMOVED)}),
+rv AS (SELECT *, row_number() OVER (PARTITION BY split, removed ORDER BY pred_high, score DESC NULLS LAST, entity)
+  <= round_even(count(*) OVER (PARTITION BY split, removed) * 0.25::DOUBLE, 0) AS reviewed FROM le),
+om AS (SELECT split, removed, count(*) FILTER (WHERE true_high AND NOT pred_high AND NOT reviewed) / nullif(count(*) FILTER (WHERE NOT pred_high AND NOT reviewed), 0)::DOUBLE AS value
+  FROM rv GROUP BY ALL),
+al AS (SELECT split, removed, 'aurc' AS metric, value FROM au UNION ALL SELECT split, removed, 'false_omission_rate', value FROM om),
+dl AS (SELECT a.split, a.removed, a.metric, a.value, f.value AS full_value, a.value - f.value AS delta FROM al a JOIN al f ON a.split = f.split AND a.metric = f.metric AND f.removed = 'full')"""
+
+
+def _ablation(spark: SparkSession, sf: str) -> DataFrame:
+    rows = cases(spark, sf).withColumns({"c1": F.col("s1") * 10, "c2": F.col("s2") / 50, "c3": F.abs(F.col("study_year") - 1995) / 4.0})
+    return ablation.ablation_deltas(rows, COMPONENTS, ["split"])
+
+
+@query("ablation_deltas", f"""WITH {ABLATION} SELECT split, removed, metric, round(value, 6) AS value, round(full_value, 6) AS full_value, round(delta, 6) + 0 AS delta FROM dl""")
+def ablation_deltas(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_ablation(spark, sf))
+
+
+@query("ablation_summary", f"""WITH {ABLATION} SELECT removed, metric, round(avg(delta), 6) + 0 AS delta_mean, round(stddev_samp(delta), 6) AS delta_sd FROM dl WHERE removed <> 'full' GROUP BY ALL""")
+def ablation_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(ablation.ablation_summary(_ablation(spark, sf)))

@@ -218,8 +218,10 @@ def standardised_block(spark: SparkSession, sf: str) -> DataFrame:
 SELECT p_partkey, (p_type IN (SELECT p_type FROM c))::INT::DOUBLE AS hot, CAST((SELECT count(*) FROM c) AS INTEGER) AS width FROM o""")
 def one_hot_block(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "part").select("p_partkey", "p_type", "p_size")
-    out = support.apply_one_hot(rows, support.one_hot_categories(rows.where("p_size > 25"), ["p_type"]), "onehot")
-    return out.select("p_partkey", F.aggregate("onehot", F.lit(0.0), lambda a, x: a + x).alias("hot"), F.size("onehot").alias("width"))
+    categories = support.index_categories(rows.where("p_size > 25"), ["p_type"])
+    width = categories.agg(F.count("*").cast("int").alias("width")).select("width").scalar()
+    return support.one_hot_slots(rows, categories, ["p_type"], "slots").select(
+        "p_partkey", F.size("slots").cast("double").alias("hot"), width.alias("width"))
 
 
 @query("mahalanobis")

@@ -207,3 +207,14 @@ def test_stream_gate_and_batches(spark, tmp_path):
         "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {r.entity for r in seen if r.reviewed} == {"A", "B"}
+
+
+def test_enrichment_keeps_every_row_and_resolves_each_key_once(spark):
+    panel = spark.createDataFrame([(1, "a", " 7-1 ", 2.0, "mg/L"), (2, "a", " 7-1 ", 0.0, "mM"), (3, None, "8-2", 5.0, "mM"), (4, "c", None, 1.0, "mM"),
+                                   (5, "c", "9-9", 1.0, "mM"), (6, None, "8-2", 5.0, "what")], "row int, name string, cas string, v double, u string")
+    catalog = spark.createDataFrame([("7-1", "T2", "200"), ("7-1", "T1", "100"), ("8-2", " ", "50"), (" ", "T9", "1")], "key string, id string, mass string")
+    got = {r.row: r for r in joins.enrich_panel(panel, catalog, "name", "cas", {"dtxsid": "id", "weight": "mass"}, "v", "u", "weight", "dtxsid", "key", ["id"]).collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5, 6]
+    assert got[1].dtxsid == "T1" and got[1].value_molar == pytest.approx(2e-5) and got[1].entity == "T1" and got[2].log_molar is None
+    assert got[3].entity == "8-2" and got[3].log_molar == pytest.approx(-2.301, abs=1e-3) and got[6].value_molar is None
+    assert got[4].entity is None and got[5].entity == "9-9" and got[5].log_molar is None

@@ -248,3 +248,38 @@ def test_support_increment_compares_what_it_is_told_to(spark):
     assert all(r["mean"] == 0 and r.share_better == 0 for r in got if r.method == "a again")
     with pytest.raises(ValueError, match="without a score: c"):
         resample.support_increment(df, {"a": "a"}, [("a", "c")])
+
+
+def test_a_million_categories_stay_in_their_table(spark):
+    df = spark.range(1_000_000).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("a"), (F.col("id") % 3).cast("string").alias("b"))
+    table = support.index_categories(df, ["a", "b"])
+    assert table.count() == 1_000_003 and table.agg(F.min("slot"), F.max("slot"), F.countDistinct("slot")).first() == (0, 1_000_002, 1_000_003)
+    some = spark.createDataFrame([("c5", "1"), ("nobody", "2"), ("c7", None), (None, "other")], "a string, b string")
+    slots = {(r.a, r.b): r.slots for r in support.one_hot_slots(some, table, ["a", "b"], "slots").collect()}
+    at = {(r["name"], r["value"]): r["slot"] for r in table.where("name = 'b' or value in ('c0', 'c5', 'c7')").collect()}
+    assert slots == {("c5", "1"): [at["a", "c5"], at["b", "1"]], ("nobody", "2"): [at["b", "2"]], ("c7", None): [at["a", "c7"], at["b", "0"]],
+                     (None, "other"): [at["a", "c0"]]}
+    with pytest.raises(ValueError, match="sparsely"):
+        support.one_hot_categories(df, ["a"])
+
+
+def test_ablation_pairs_each_panel_with_its_full_score(spark):
+    rng = np.random.default_rng(10)
+    pdf = pd.DataFrame({"case_id": [f"c{i:03d}" for i in range(240)], "entity": [f"e{i % 60}" for i in range(240)], "endpoint": ["x", "y"] * 120,
+                        "split": ["A"] * 120 + ["B"] * 120, "y_true": rng.normal(size=240), "y_pred": rng.normal(size=240),
+                        "noise": rng.random(240), "twin": np.nan, "risk": np.nan})
+    pdf["risk"] = (pdf.y_true - pdf.y_pred).abs() / 10
+    pdf["twin"] = pdf.risk
+    from quotaloom.operators import ablation
+    deltas = ablation.ablation_deltas(spark.createDataFrame(pdf), ["risk", "twin", "noise"], ["split"])
+    got = {(r.split, r.removed, r.metric): r for r in deltas.collect()}
+    assert len(got) == 2 * 4 * 2 and all(r.delta == 0 for (_, removed, _), r in got.items() if removed == "full")
+    for split, part in pdf.groupby("split"):
+        def area(score):
+            risk = part.assign(s=score, e=part.risk * 10).sort_values(["s", "case_id"]).e.expanding().mean().to_numpy()
+            return (risk.sum() - (risk[0] + risk[-1]) / 2) / len(risk)
+        full = area((part.risk + part.twin + part.noise) / 3)
+        assert got[split, "noise", "aurc"].delta == pytest.approx(area((part.risk + part.twin) / 2) - full)
+        assert got[split, "noise", "aurc"].delta < got[split, "risk", "aurc"].delta == pytest.approx(got[split, "twin", "aurc"].delta)
+    with pytest.raises(ValueError):
+        ablation.left_out(["risk"])
