@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from quotaloom.functions import numeric, text, units
 from quotaloom.operators import gates, joins, panels, setops
 from quotaloom.plans.registry import query
 from quotaloom.plans.testbed import CASES, cases, rounded, table
-from quotaloom.session import spread
+from quotaloom.session import checkpoint_dir, spread
 from quotaloom.sources import sinks, tables
 
 # ---------------------------------------------------------------- gates
@@ -652,3 +654,39 @@ def panel_enrichment(spark: SparkSession, sf: str) -> DataFrame:
                              "molecular_weight", "dtxsid", "c_custkey")
     out = out.select("row_id", "dtxsid", "molecular_weight", F.round(F.col("value_molar") * 1000000, 4).alias("micromolar"), "log_molar", "entity")
     return rounded(out)
+
+
+#: the same columns under other names in each market segment's files; one segment's files have no key column
+SEGMENT_HEADERS = {
+    "AUTOMOBILE": ("id", "structure", "name"), "BUILDING": ("DTX", "SMILES", "label"), "FURNITURE": ("ident", "SMI", "name"),
+    "HOUSEHOLD": ("id", "label"), "MACHINERY": ("DTX", "SMI")}
+CATALOG_COLUMNS = {"id": ("DTX", "ident"), "structure": ("SMILES", "SMI"), "name": ("label",)}
+
+
+@query("catalog_union", """WITH c AS (SELECT *, concat(' ', lower(c_name)) AS key, concat('s-', c_nationkey, ' ') AS st FROM customer WHERE c_mktsegment <> 'HOUSEHOLD')
+SELECT upper(trim(key)) AS id, trim(st) AS structure, CASE WHEN c_mktsegment = 'MACHINERY' THEN '' ELSE CAST(c_custkey AS VARCHAR) END AS name FROM c WHERE c_custkey % 7 <> 0""")
+def catalog_union(spark: SparkSession, sf: str) -> DataFrame:
+    """Writes the customers as delimited files with other headers in each segment and reads all of them as one catalog."""
+    rows = table(spark, sf, "customer").select(
+        "c_mktsegment", F.when(F.col("c_custkey") % 7 != 0, F.concat(F.lit(" "), F.lower("c_name"))).otherwise(" ").alias("key"),
+        F.concat(F.lit("s-"), F.col("c_nationkey").cast("string"), F.lit(" ")).alias("st"), F.col("c_custkey").cast("string").alias("no"))
+    root = f"{checkpoint_dir(spark)}/catalog-{uuid.uuid4().hex}"
+    for segment, names in SEGMENT_HEADERS.items():
+        columns = ["key", "no"] if names == ("id", "label") else ["key", "st", "no"]
+        part = rows.where(F.col("c_mktsegment") == segment).select(*[F.col(c).alias(n) for c, n in zip(columns, names)])
+        part.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{root}/{segment}")
+    return tables.read_catalog(spark, [f"{root}/{s}" for s in SEGMENT_HEADERS], CATALOG_COLUMNS, "structure", ["id"], ["id"])
+
+
+@query("release_manifest", """SELECT CAST(n_nationkey AS VARCHAR) AS nation, CAST(sum(length(line) + 1) AS BIGINT) AS bytes,
+  sha256(string_agg(line || chr(10), '' ORDER BY c_custkey)) AS sha256 FROM (SELECT *, concat_ws('|', c_custkey, c_name, c_mktsegment) AS line FROM customer)
+  JOIN nation ON c_nationkey = n_nationkey GROUP BY n_nationkey""")
+def release_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """One text file for each nation, counted before it is released, and the manifest of the files."""
+    rows = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), F.concat_ws("|", "c_custkey", "c_name", "c_mktsegment").alias("value"))
+    n, entities = rows.agg(F.count("*"), F.count_distinct("c_custkey")).first()
+    root = f"{checkpoint_dir(spark)}/release-{uuid.uuid4().hex}"
+    rows.repartition("nation").sortWithinPartitions("nation", "c_custkey").select("nation", "value").write.partitionBy("nation").text(root)
+    sinks.assert_counts(spark.read.text(root).select(F.substring_index("value", "|", 1).alias("key")), "key", n, entities)
+    files = sinks.release_manifest(spark, root, "part-*")
+    return files.select(F.regexp_extract("path", "nation=([^/]+)", 1).alias("nation"), "bytes", "sha256")

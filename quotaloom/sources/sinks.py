@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
+from urllib.parse import quote
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,11 +70,34 @@ def rename_legacy(df: DataFrame, columns: Mapping[str, str], values: Mapping[str
     return df.select(*[(value(F.col(c)) if new in value_columns else F.col(c)).alias(new) for c, new in keep])
 
 
+#: bytes of a file that a task holds while it digests it
+DIGEST_BLOCK = 8 << 20
+
+
 def release_manifest(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """(path, bytes, sha256) of the files under a directory, hashed where they are read."""
+    """(path, bytes, sha256) of the files under a directory.
+
+    Only names and sizes are listed; each file is read as a stream of blocks by one task, so files of any size can be digested.
+    """
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-             .option("pathGlobFilter", glob).load(root))
-    return files.select("path", F.col("length").alias("bytes"), F.sha2(F.col("content"), 256).alias("sha256"))
+             .option("pathGlobFilter", glob).load(root)).select("path", F.col("length").alias("bytes"))
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for path in batch.column("path").to_pylist():
+                # listed paths are not encoded, and local ones have one slash after the scheme
+                system, name = ((pa.fs.LocalFileSystem(), "/" + path[len("file:"):].lstrip("/")) if path.startswith("file:")
+                                else pa.fs.FileSystem.from_uri(quote(path, safe=":/@")))
+                digest = hashlib.sha256()
+                with system.open_input_stream(name) as stream:
+                    while block := stream.read(DIGEST_BLOCK):
+                        digest.update(block)
+                out.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("bytes"), pa.array(out, pa.string())], ["path", "bytes", "sha256"])
+    # small listings, large files: dealt anew, so that one task doesn't get many neighbours
+    width = spark.sparkContext.defaultParallelism
+    return files.repartition(width, "path").mapInArrow(digests, "path string, bytes long, sha256 string")
 
 
 def assert_counts(df: DataFrame, entity: str, rows: int, entities: int) -> None:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterator, Mapping, Sequence
 from html.parser import HTMLParser
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,12 +21,22 @@ def header_of(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
     line = spark.read.option("sep", sep).option("header", False).option("inferSchema", False).csv(path).limit(1).first()
     if line is None:
         raise ValueError("Use a UTF-8 CSV with one header row.")
-    names = [str(v).lstrip("﻿") for v in line]
+    return _names(line)
+
+
+def _names(cells: Sequence[str]) -> list[str]:
+    names = [str(v).lstrip("\ufeff") for v in cells]
     if len(names) != len(set(names)):
         raise ValueError("Column names must be unique.")
     return names
 
 
+def _strings(spark: SparkSession, paths: str | list[str], names: Sequence[str], sep: str) -> DataFrame:
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    return (spark.read.schema(schema).option("header", True).option("sep", sep).option("mode", "FAILFAST")
+            .option("multiLine", False).option("enforceSchema", False).csv(paths))
+
+
 def read_strings(
     spark: SparkSession, path: str, columns: Sequence[str] | None = None, sep: str = ",",
     max_records: int | None = None,
@@ -34,9 +46,7 @@ def read_strings(
     Unused columns are pruned by the reader.  ``max_records`` is a guard that raises,
     not a cap that drops rows.
     """
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in header_of(spark, path, sep)])
-    df = (spark.read.schema(schema).option("header", True).option("sep", sep).option("mode", "FAILFAST")
-          .option("multiLine", False).option("enforceSchema", False).csv(path))
+    df = _strings(spark, path, header_of(spark, path, sep), sep)
     if max_records is not None:
         seen = df.limit(max_records + 1).count()
         if seen == 0:
@@ -52,26 +62,32 @@ def read_catalog(
 ) -> DataFrame:
     """Files with differing headers onto canonical columns; files lacking ``required`` are skipped.
 
-    Values are trimmed, ids upper-cased and rows without any key dropped.
+    One job finds the first line of every file; files of one header are then read together, so neither jobs nor the plan
+    grow with the number of files, only with that of different headers.  Values are trimmed, ids upper-cased and rows
+    without any key dropped.
     """
-    parts = []
-    for path in paths:
-        names = header_of(spark, path, sep)
+    out = spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in aliases]))
+    for header, files in headers_of(spark, paths):
+        names = _names(next(csv.reader([header], delimiter=sep), []))
         found = {c: next((a for a in (c, *aliases.get(c, ())) if a in names), None) for c in aliases}
         if found.get(required) is None:
             continue
-        df = read_strings(spark, path, sep=sep)
-        parts.append(df.select(*[
+        df = _strings(spark, files, names, sep)
+        out = out.unionByName(df.select(*[
             (F.trim(F.coalesce(F.col(a), F.lit(""))) if a else F.lit("")).alias(c) for c, a in found.items()]))
-    if not parts:
-        return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in aliases]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
     out = out.select(*[F.upper(F.col(c)).alias(c) if c in upper else F.col(c) for c in out.columns])
     return out.where(F.coalesce(*[blank_to_null(F.col(k)) for k in keys]).isNotNull())
 
 
+def headers_of(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, list[str]]]:
+    """(first line, files that start with it) for all files under the paths, from one distributed pass over their first blocks."""
+    lines = spark.read.text(list(paths)).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    firsts = lines.where("start = 0").withColumn("no", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("value", "no").alias("header"))
+    rows = firsts.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header").collect()
+    return [(r["header"], [unquote(f) for f in r["files"]]) for r in rows]
+
+
 def read_results(spark: SparkSession, root: str, **keys: str | int) -> DataFrame:
     """Partitioned result tree ``seed=/split=/model=``; key filters prune directories."""
     df = spark.read.parquet(root)

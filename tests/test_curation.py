@@ -218,3 +218,36 @@ def test_enrichment_keeps_every_row_and_resolves_each_key_once(spark):
     assert got[1].dtxsid == "T1" and got[1].value_molar == pytest.approx(2e-5) and got[1].entity == "T1" and got[2].log_molar is None
     assert got[3].entity == "8-2" and got[3].log_molar == pytest.approx(-2.301, abs=1e-3) and got[6].value_molar is None
     assert got[4].entity is None and got[5].entity == "9-9" and got[5].log_molar is None
+
+
+def test_catalog_jobs_do_not_grow_with_files(spark, tmp_path):
+    for k in range(12):
+        head, row = [("DTX,SMI", f" a{k} ,C"), ("name;x,id,SMILES", f"n,b{k},\"O,O\""), ("other", "1")][k % 3]
+        (tmp_path / f"f {k}.csv").write_text(f"{head}\n{row}\n")
+    (tmp_path / "empty.csv").write_text("")
+    aliases = {"id": ("DTX",), "structure": ("SMI", "SMILES"), "name": ("name;x",)}
+    tracker = spark.sparkContext.statusTracker()
+    def jobs(pattern):
+        spark.sparkContext.setJobGroup(pattern, pattern)
+        out = tables.read_catalog(spark, [str(tmp_path / pattern)], aliases, "structure", ["id"], ["id"])
+        n = len(tracker.getJobIdsForGroup(pattern))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return n, sorted(map(tuple, out.collect()))
+    few, _ = jobs("f [0-2].csv")
+    many, got = jobs("*.csv")
+    assert few == many and len(tables.headers_of(spark, [str(tmp_path)])) == 3
+    assert got == sorted([(f"A{k}", "C", "") for k in (0, 3, 6, 9)] + [(f"B{k}", "O,O", "n") for k in (1, 4, 7, 10)])
+
+
+def test_manifest_digests_block_by_block(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    content = {"a.bin": b"", "b.bin": bytes(range(256)) * 9000, "c d.bin": b"x"}
+    for name, data in content.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r.path.rsplit("/", 1)[1]: r for r in sinks.release_manifest(spark, str(tmp_path)).collect()}
+    assert {k: (r.bytes, r.sha256) for k, r in got.items()} == {k: (len(v), hashlib.sha256(v).hexdigest()) for k, v in content.items()}
+    df = spark.createDataFrame([("a",), ("a",), ("b",)], "e string")
+    sinks.assert_counts(df, "e", 3, 2)
+    with pytest.raises(ValueError, match="expected 3 rows and 3 entities"):
+        sinks.assert_counts(df, "e", 3, 3)
