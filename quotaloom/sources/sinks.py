@@ -78,6 +78,7 @@ def release_manifest(spark: SparkSession, root: str, glob: str = "*") -> DataFra
     """(path, bytes, sha256) of the files under a directory.
 
     Only names and sizes are listed; each file is read as a stream of blocks by one task, so files of any size can be digested.
+    Empty files, and those whose names start with _ or a dot, aren't listed by Spark's readers and aren't here.
     """
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
              .option("pathGlobFilter", glob).load(root)).select("path", F.col("length").alias("bytes"))
