@@ -215,7 +215,9 @@ def search(
             if kind.startswith("array"):
                 known = known & F.col(name).isNotNull()
         # aliases give each side its own columns: both may come from the same table
-        return df.where(known).select(*ids, (F.col(on).cast("string") if on else F.lit("")).alias("on"), *[F.col(f).alias(f) for f in features])
+        # without a key all rows share an empty one, made of their id: joins on a literal would be no equi-joins
+        key = F.col(on).cast("string") if on else F.substring(ids[-1], 1, 0)
+        return df.where(known).select(*ids, key.alias("on"), *[F.col(f).alias(f) for f in features])
     q = prepared(query, F.col(query_id).cast("string").alias("qid"))
     t = prepared(train, label.alias("tid"), F.col(train_id).cast("string").alias("rid"))
     counted = materialize(t.groupBy("on").agg(F.count("*").alias("n")))

@@ -21,6 +21,8 @@ from quotaloom.operators.ranking import melt_scores, queue_order
 from quotaloom.operators.scan import asc, attach_small, ordered_scan, quantiles
 from quotaloom.session import materialize
 
+#: draws that one task makes, and tasks at most
+DRAWS_PER_TASK, MOST_TASKS = 2_000_000, 100_000
 INTERVAL = {"ci_lower": 0.025, "median": 0.5, "ci_upper": 0.975}
 
 
@@ -47,7 +49,12 @@ def weights_by_index(
 ) -> DataFrame:
     """(replicate, panel, _i, w) of entities numbered from 1 (``_i`` of ``_n``): only numbers are drawn and shuffled."""
     keys = ["replicate", *slot_keys]
-    rows = replicates(indexed, reps) if slots is None else indexed.join(slots, list(panel))
+    if slots is None:
+        # a short table makes many draws: dealt by how many, and not by its own size
+        parts = indexed.count() * reps // DRAWS_PER_TASK + 1
+        rows = replicates(indexed.repartition(min(parts, MOST_TASKS), *panel, "_i"), reps)
+    else:
+        rows = indexed.join(slots, list(panel))
     u = unit_draw(F.lit(str(seed)), *[F.col(k) for k in keys], F.col("_i"))
     return rows.select(*keys, *panel, (F.floor(u * F.col("_n")) + 1).alias("_i")).groupBy(*keys, *panel, "_i").agg(F.count("*").alias("w"))
 
