@@ -5,9 +5,11 @@ cells that seem nearest, as many as hold a few times k rows; the k-th distance f
 cell whose lower bound is within that radius, and no more: what is left out can't be among the k nearest.  Cells are only as good as
 the data: rows that lie in groups or vary in few ways are found in few cells, rows spread evenly over many dimensions in all.
 
-Keys of up to ``LEAF`` rows are one cell.  A cell and the queries that visit it are cut into tiles of ``TRAIN_TILE`` and ``QUERY_TILE`` rows; every tile pair is one group of an
-Arrow co-group.  Only the k best of a query leave a task, never the pairs.  Pivots and boxes are tables, sent to the tiles of their
-key, so nothing is collected on the driver.  The number of cells of a key is bounded, and so is what a task holds.
+Keys of up to ``LEAF`` rows are one cell.  Neighbouring cells are packed to about a tile, so that a query is sent once to each pack
+with the list of cells to visit.  A pack and the queries sent to it are cut into tiles of ``TRAIN_TILE`` and ``QUERY_TILE`` rows; every
+tile pair is one group of an Arrow co-group.  Only the k best of a query leave a task, never the pairs.  Pivots and boxes are tables,
+sent to the tiles of their key, so nothing is collected on the driver.  The number of cells of a key is bounded, and so is what a task
+holds.
 """
 
 from __future__ import annotations
@@ -99,7 +101,10 @@ def _deal(rows: DataFrame, sent: DataFrame, sizes: DataFrame, key: str, tile: in
 
 
 def index(train: DataFrame, counted: DataFrame, kernel: Kernel, features: Sequence[str], train_tile: int, leaf: int) -> tuple[DataFrame, DataFrame]:
-    """Members (``train`` with its ``cell``) and cells (on, cell, rows, box) of prepared rows (on, rid, tid, features)."""
+    """Members (``train`` with its ``cell``) and cells (on, cell, rows, box, pack) of prepared rows (on, rid, tid, features).
+
+    A pack is about a tile of rows in neighbouring cells: a query is sent to it once, whichever of its cells it visits.
+    """
     columns = list(features)
     several = F.when(F.col("n") > leaf, F.ceil(F.sqrt("n") / 2)).otherwise(1)
     draw = Window.partitionBy("on").orderBy(F.xxhash64(F.lit("pivot"), "rid"), "rid")
@@ -131,21 +136,37 @@ def index(train: DataFrame, counted: DataFrame, kernel: Kernel, features: Sequen
                          "box": pa.array([kernel.merge(np.ascontiguousarray(boxes[:, 1:])).tolist()], pa.list_(pa.int64()))})
     boxes = placed.where("box is not null").select("on", "cell", "box").groupBy("on", "cell").applyInArrow(
         merged, "on string, cell long, rows long, box array<long>")
-    return placed.drop("box"), materialize(boxes)
+    upto = Window.partitionBy("on").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    pack = F.floor(F.coalesce(F.sum("rows").over(upto), F.lit(0)) / train_tile)
+    return placed.drop("box"), materialize(boxes.withColumn("pack", pack))
 
 
 def _visit(pairs: DataFrame, members: DataFrame, cells: DataFrame, k: int, kernel: Kernel, columns: list[str], grouped: bool,
            exclude_self: bool, query_tile: int, train_tile: int) -> tuple[DataFrame, DataFrame]:
-    """The k best of each query in each tile of the cells it visits, and the sizes of these cells."""
-    met = pairs.groupBy("on", "cell").agg(F.count("*").alias("queries")).join(cells.select("on", "cell", "rows"), ["on", "cell"])
-    met = met.select("*", _tiles(F.col("queries"), query_tile).alias("qs"), _tiles(F.col("rows"), train_tile).alias("ts"))
+    """The k best of each query in each tile of the packs it is sent to, and the visits of cells."""
+    packs = cells.groupBy("on", "pack").agg(F.sum("rows").alias("rows"))
+    met = pairs.groupBy("on", "pack").agg(F.count("*").alias("queries")).join(packs, ["on", "pack"])
+    met = met.select("on", "pack", _tiles(F.col("queries"), query_tile).alias("qs"), _tiles(F.col("rows"), train_tile).alias("ts"))
 
     def every(tiles: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(tiles) - 1))
-    q = pairs.join(met.drop("queries", "rows"), ["on", "cell"]).select(
-        "on", "cell", "qid", *columns, _tile_of("qid", "qs").alias("qt"), every("ts").alias("tt"))
-    t = members.join(met.drop("queries", "rows"), ["on", "cell"]).select(
-        "on", "cell", "tid", "rid", *columns, _tile_of("rid", "ts").alias("tt"), every("qs").alias("qt"))
+    q = pairs.join(met, ["on", "pack"]).select(
+        "on", "pack", "qid", "cells", *columns, _tile_of("qid", "qs").alias("qt"), every("ts").alias("tt"))
+    t = members.join(cells.select("on", "cell", "pack"), ["on", "cell"]).join(met, ["on", "pack"]).select(
+        "on", "pack", "cell", "tid", "rid", *columns, _tile_of("rid", "ts").alias("tt"), every("qs").alias("qt"))
+
+    def measured(left: pa.Table, right: pa.Table) -> dict[str, np.ndarray]:
+        """Distances between queries and the rows of the cells that they visit, infinite elsewhere."""
+        asked = left.column("cells").combine_chunks()
+        who = np.repeat(np.arange(left.num_rows), pa.compute.list_value_length(asked).to_numpy())
+        visited, holds = asked.flatten().to_numpy(), right.column("cell").to_numpy()
+        a, b = _arrays(left, columns), _arrays(right, columns)
+        out = {v: np.full((left.num_rows, right.num_rows), np.inf) for v in kernel.variants}
+        for cell in np.intersect1d(visited, holds):
+            i, j = who[visited == cell], np.flatnonzero(holds == cell)
+            for variant, d in kernel({c: x[i] for c, x in a.items()}, {c: x[j] for c, x in b.items()}).items():
+                out[variant][np.ix_(i, j)] = np.where(np.isfinite(d), d, np.inf)
+        return out
 
     def tile(left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {"qid": [], "variant": [], "neighbor_id": [], "distance": []}
@@ -155,8 +176,7 @@ def _visit(pairs: DataFrame, members: DataFrame, cells: DataFrame, k: int, kerne
             rids = np.array(right.column("rid").to_pylist(), dtype=object)
             order = np.argsort(tids.astype(str), kind="stable")
             names, starts = np.unique(tids[order].astype(str), return_index=True)
-            for variant, d in kernel(_arrays(left, columns), _arrays(right, columns)).items():
-                d = np.where(np.isfinite(d), d, np.inf)
+            for variant, d in measured(left, right).items():
                 if exclude_self:
                     d[qids[:, None] == rids[None, :]] = np.inf
                 d = d[:, order]
@@ -182,10 +202,11 @@ def _visit(pairs: DataFrame, members: DataFrame, cells: DataFrame, k: int, kerne
             "neighbor_id": pa.array(out["neighbor_id"], pa.string()),
             "distance": pa.array(out["distance"], pa.float64())})
 
-    keys = ["on", "cell", "qt", "tt"]
+    keys = ["on", "pack", "qt", "tt"]
     q, t = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (q, t))
     best = q.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInArrow(tile, "qid string, variant string, neighbor_id string, distance double")
-    return best, met.select("on", "cell", "queries", "rows")
+    visits = pairs.select("on", F.explode("cells").alias("cell")).groupBy("on", "cell").agg(F.count("*").alias("queries"))
+    return best, visits.join(cells.select("on", "cell", "rows"), ["on", "cell"])
 
 
 def _best(found: DataFrame, k: int, grouped: bool) -> DataFrame:
@@ -223,8 +244,9 @@ def search(
     counted = materialize(t.groupBy("on").agg(F.count("*").alias("n")))
     options = (k, kernel, columns, grouped, exclude_self, query_tile, train_tile)
     if (counted.agg(F.max("n")).first()[0] or 0) <= leaf:  # nothing to look up: each key is one cell
-        one = F.lit(0).cast("long").alias("cell")
-        best, met = _visit(q.select("*", one), t.select("*", one), counted.select("on", one, F.col("n").alias("rows")), *options)
+        one, pack = F.lit(0).cast("long").alias("cell"), F.lit(0).cast("long").alias("pack")
+        whole = counted.select("on", one, pack, F.col("n").alias("rows"))
+        best, met = _visit(q.select("*", pack, F.array(F.lit(0).cast("long")).alias("cells")), t.select("*", one), whole, *options)
         return Search(_best(best, k, grouped).withColumnRenamed("qid", query_id), met)
     members, cells = index(t, counted, kernel, features, train_tile, leaf)
     asked = materialize(q.groupBy("on").agg(F.count("*").alias("n")))
@@ -241,10 +263,15 @@ def search(
                 rows = _arrays(left, columns)
                 bounds, near = kernel.bounds(rows, _matrix(right.column("box")))
                 picked = choose(left, right, bounds, near)
+            # cells come in the order of their packs, so the cells that a query visits in one pack are a run
             at, cell = np.nonzero(picked)
+            pack = right.column("pack").to_numpy()[cell] if right.num_rows else np.zeros(0, np.int64)
+            starts = np.flatnonzero(np.diff(at, prepend=-1) | np.diff(pack, prepend=-1)) if len(at) else np.zeros(0, np.int64)
             visited = right.column("cell").to_numpy()[cell] if right.num_rows else np.zeros(0, np.int64)
-            return _nullable(left.select(names).take(pa.array(at, pa.int64()))).append_column("cell", pa.array(visited, pa.int64()))
-        return materialize(cut.groupBy("on", "tile").cogroup(sent.groupBy("on", "tile")).applyInArrow(choice, f"{schema}, cell long"))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(at)), pa.int32()), pa.array(visited, pa.int64()))
+            sent_once = _nullable(left.select(names).take(pa.array(at[starts], pa.int64())))
+            return sent_once.append_column("pack", pa.array(pack[starts], pa.int64())).append_column("cells", lists)
+        return materialize(cut.groupBy("on", "tile").cogroup(sent.groupBy("on", "tile")).applyInArrow(choice, f"{schema}, pack long, cells array<long>"))
 
     def first_look(left: pa.Table, right: pa.Table, bounds: Mapping[str, np.ndarray], near: np.ndarray) -> np.ndarray:
         size = right.column("rows").to_numpy()
@@ -273,7 +300,7 @@ def search(
     reach = best.groupBy("qid").agg(*[
         F.when(F.count_if(F.col("variant") == v) >= k, F.max(F.when(F.col("variant") == v, F.col("distance")))).alias(r)
         for v, r in zip(kernel.variants, radii)])
-    seen = pairs.groupBy("qid").agg(F.collect_list("cell").alias("seen"))
+    seen = pairs.groupBy("qid").agg(F.flatten(F.collect_list("cells")).alias("seen"))
     more = looked_up(q.join(reach, "qid", "left").join(seen, "qid", "left"), within)
     rest, also = _visit(more, members, cells, *options)
     ranked = _best(best.unionByName(rest), k, grouped).withColumnRenamed("qid", query_id)
