@@ -30,6 +30,8 @@ from quotaloom.session import materialize
 
 QUERY_TILE = 4096
 TRAIN_TILE = 8192
+#: queries of a tile whose distances are held at once
+STRIP = 512
 #: pivots of one key: half the square root of its rows, up to this many
 MAX_PIVOTS = 1024
 #: rows of a key up to which it is one cell: their distances are measured faster than they are looked up
@@ -171,32 +173,34 @@ def _visit(pairs: DataFrame, members: DataFrame, cells: DataFrame, k: int, kerne
     def tile(left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {"qid": [], "variant": [], "neighbor_id": [], "distance": []}
         if left.num_rows and right.num_rows:
-            qids = np.array(left.column("qid").to_pylist(), dtype=object)
             tids = np.array(right.column("tid").to_pylist(), dtype=object)
             rids = np.array(right.column("rid").to_pylist(), dtype=object)
             order = np.argsort(tids.astype(str), kind="stable")
             names, starts = np.unique(tids[order].astype(str), return_index=True)
-            for variant, d in measured(left, right).items():
-                if exclude_self:
-                    d[qids[:, None] == rids[None, :]] = np.inf
-                d = d[:, order]
-                if grouped:
-                    d = np.minimum.reduceat(d, starts, axis=1)
-                keep = min(k, d.shape[1])
-                ids = names if grouped else tids[order].astype(str)
-                # columns are in id order, so a stable sort settles ties by id
-                if keep < d.shape[1]:
-                    bound = np.partition(d, keep - 1, axis=1)[:, keep - 1]
-                    rows = [np.flatnonzero(d[i] <= bound[i]) for i in range(len(d))]
-                else:
-                    rows = [np.arange(d.shape[1])] * len(d)
-                for i, cand in enumerate(rows):
-                    best = cand[np.argsort(d[i, cand], kind="stable")[:keep]]
-                    best = best[np.isfinite(d[i, best])]
-                    out["qid"] += [qids[i]] * len(best)
-                    out["variant"] += [variant] * len(best)
-                    out["neighbor_id"] += list(ids[best])
-                    out["distance"] += list(d[i, best])
+            ids = names if grouped else tids[order].astype(str)
+            for at in range(0, left.num_rows, STRIP):  # the matrix of a whole tile is never held
+                strip = left.slice(at, STRIP)
+                qids = np.array(strip.column("qid").to_pylist(), dtype=object)
+                for variant, d in measured(strip, right).items():
+                    if exclude_self:
+                        d[qids[:, None] == rids[None, :]] = np.inf
+                    d = d[:, order]
+                    if grouped:
+                        d = np.minimum.reduceat(d, starts, axis=1)
+                    keep = min(k, d.shape[1])
+                    # columns are in id order, so a stable sort settles ties by id
+                    if keep < d.shape[1]:
+                        bound = np.partition(d, keep - 1, axis=1)[:, keep - 1]
+                        rows = [np.flatnonzero(d[i] <= bound[i]) for i in range(len(d))]
+                    else:
+                        rows = [np.arange(d.shape[1])] * len(d)
+                    for i, cand in enumerate(rows):
+                        best = cand[np.argsort(d[i, cand], kind="stable")[:keep]]
+                        best = best[np.isfinite(d[i, best])]
+                        out["qid"] += [qids[i]] * len(best)
+                        out["variant"] += [variant] * len(best)
+                        out["neighbor_id"] += list(ids[best])
+                        out["distance"] += list(d[i, best])
         return pa.table({
             "qid": pa.array(out["qid"], pa.string()), "variant": pa.array(out["variant"], pa.string()),
             "neighbor_id": pa.array(out["neighbor_id"], pa.string()),
