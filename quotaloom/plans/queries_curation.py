@@ -47,9 +47,9 @@ reasoned AS (SELECT *, concat_ws('; ',
    CASE WHEN identity_verified <> 'true' THEN 'Test-substance identity and structure not confirmed' END,
    CASE WHEN endpoint NOT IN ('F', 'O') THEN 'Unsupported endpoint' END,
    CASE WHEN endpoint IN ('F', 'O') AND NOT ((endpoint = 'F' AND duration_h BETWEEN 3 AND 25) OR (endpoint = 'O' AND duration_h BETWEEN 1 AND 20)) THEN 'Duration outside endpoint window' END,
-   CASE WHEN NOT structure_ok THEN 'No fixed-composition molecular representation' END,
+   CASE WHEN NOT structure_ok THEN 'No fixed-composition, carbon-containing molecular representation' END,
    CASE WHEN regexp_matches(entity_name, '000007|000013') THEN 'Unresolved or variable-composition test substance' END,
-   CASE WHEN medium NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW') THEN 'Unsupported medium' END,
+   CASE WHEN medium NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW') THEN 'Unsupported medium; use freshwater or culture codes' END,
    CASE WHEN o_totalprice < 1000 OR o_totalprice > 400000 THEN 'Invalid numeric value: o_totalprice' END) AS r0 FROM sub),
 ok AS (SELECT * FROM reasoned WHERE r0 = ''),
 con AS (SELECT entity, count(DISTINCT structure) > 1 AS conflict FROM ok GROUP BY entity),

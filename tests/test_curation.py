@@ -22,13 +22,56 @@ def test_gate_lists_every_reason_and_conflicts(spark):
     ok, bad = gates.prepare_inputs(df, gates.GateRules(numeric={"ph": (0.0, 14.0)}))
     reasons = {r.input_row: r.rejection_reason for r in bad.collect()}
     assert set(reasons) == {3, 4, 5, 6}
-    assert reasons[3] == "Duration outside endpoint window" and reasons[4].count("; ") == 4
+    assert reasons[3] == "Duration outside endpoint window"
+    assert reasons[4] == "; ".join([gates.REASONS["missing"].format("species"), *[gates.REASONS[k] for k in ("identity", "endpoint", "medium")], "Invalid numeric value: ph"])
     assert reasons[5] == reasons[6] and "Inconsistent" in reasons[5]
     got = {r.entity: r for r in ok.collect()}
     assert got["A"].case_id == "row-2" and got["A"].ids_sharing_representation == 2 == got["E"].ids_sharing_representation
     assert got["A"].entity_name == "A"
 
 
+def test_gate_of_training_rows_derives_targets_and_names_salts(spark):
+    """Value, unit and weight give log10 mol/L; a given target wins; censored values, unknown units and generic salts are rejected."""
+    s = ("input_row int, entity string, structure string, structure_ok boolean, species string, endpoint string, duration_h string, identity_verified string, "
+         "entity_name string, inner_salt boolean, toxicity_value string, toxicity_unit string, molecular_weight double")
+    def row(i, name="n", ok=True, inner=False, value="1", unit="mg/L", weight=100.0):
+        return (i, f"E{i}", f"s{i}", ok, "sp", "fish_96h_lc50", "96", "1", name, inner, value, unit, weight)
+    df = spark.createDataFrame([
+        row(1), row(2, value=">1"), row(3, unit="drops"), row(4, weight=None), row(5, unit="mM", weight=None), row(6, value="-1"),
+        row(7, "sodium salt"), row(8, "Inner SALT", inner=True), row(9, "salt", inner=True), row(10, "inner salt"), row(11, "salt", ok=False), row(12, value=None),
+        (13, None, "s13", True, "sp", "fish_96h_lc50", "96", "1", "n", False, "1", "mM", 1.0), (14, " ", None, None, None, None, None, None, None, None, None, None, None)], s)
+    rules = gates.GateRules(target="y_true")
+    ok, bad = gates.prepare_inputs(df, rules)
+    got = {r.input_row: r.y_true for r in ok.collect()}
+    assert got == {1: pytest.approx(-5.0), 5: pytest.approx(-3.0), 8: pytest.approx(-5.0)}
+    reasons = {r.input_row: r.rejection_reason for r in bad.collect()}
+    assert {i for i, t in reasons.items() if t == gates.REASONS["target"]} == {2, 3, 4, 6, 12}
+    assert {i for i, t in reasons.items() if t == gates.REASONS["salt"]} == {7, 9, 10}
+    assert reasons[11] == gates.REASONS["structure"] and reasons[13] == "Missing entity" and reasons[14].startswith("Missing entity; Missing structure")
+    given = df.where("input_row <= 3").withColumn("y_true", F.when(F.col("input_row") == 2, float("nan")).otherwise(7.0))
+    ok, bad = gates.prepare_inputs(given, rules)
+    assert {r.input_row: r.y_true for r in ok.collect()} == {1: 7.0, 3: 7.0} and [r.input_row for r in bad.collect()] == [2]
+    with pytest.raises(ValueError, match="target columns"):
+        gates.prepare_inputs(df.drop("toxicity_unit"), rules)
+    none = gates.prepare_inputs(df.limit(0), rules)
+    assert not none[0].count() and not none[1].count()
+    with pytest.raises(ValueError, match="unique"):
+        gates.prepare_inputs(df.where("input_row = 1").unionByName(df.where("input_row = 5")).withColumn("case_id", F.lit("same")), rules)
+
+
+def test_gate_judges_rows_once_and_joins_no_blank_keys(spark):
+    """Half of the rows have no entity: outputs read the written verdicts, and rows without a key are not in the join."""
+    n = spark.range(4000).select(
+        F.col("id").alias("input_row"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("E"), F.col("id") % 50)).alias("entity"), F.concat(F.lit("s"), F.col("id") % 25).alias("structure"),
+        F.lit(True).alias("structure_ok"), F.lit("sp").alias("species"), F.lit("fish_96h_lc50").alias("endpoint"), F.lit(96.0).alias("duration_h"), F.lit("1").alias("identity_verified"))
+    ok, bad = gates.prepare_inputs(n)
+    assert ok.count() == 2000 and bad.count() == 2000 and {r.rejection_reason for r in bad.distinct().collect()} == {"Missing entity"}
+    for out in (ok, bad):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Range (" not in plan
+    assert "Filter (isnotnull(entity" in bad._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_catalog_cascade(spark):
     index = spark.createDataFrame([("64-17-5", "ethanol", "id1"), ("50-00-0", "formal", ""), ("1-1-1", "none", None)], "key string, name string, id string")
     cat = spark.createDataFrame([("ID1", "", "C1", "46"), ("", "50000", "C2", "30"), ("ID1", "", "", "99")], "cid string, ckey string, structure string, weight string")
@@ -198,6 +241,27 @@ def test_review_run_ignores_measured_values_and_reloads(spark, tmp_path):
     assert json.dumps(run.manifest)
 
 
+def test_review_from_raw_rows(spark):
+    """The run starts at the gate: rejected rows are counted by entity, targets are derived, and bad training rows stop the fit."""
+    raw = review_rows(spark).select(
+        F.substring("case_id", 2, 3).cast("int").alias("input_row"), "case_id", "entity", F.col("entity").alias("structure"), F.lit(True).alias("structure_ok"), "species",
+        F.lit("fish_96h_lc50").alias("endpoint"), F.lit("96").alias("duration_h"), F.lit("1").alias("identity_verified"), F.col("entity").alias("entity_name"),
+        F.lit(None).cast("string").alias("medium"), F.pow(F.lit(10.0), "y_true").cast("string").alias("toxicity_value"), F.lit("mol/l").alias("toxicity_unit"), "a", "b", "m", "genus")
+    spec, rules = review.FeatureSpec(("a",), ("m",), ("b",)), gates.GateRules(numeric={"a": (0.0, 6.0)})
+    ref = review.fit_submitted(raw, rules, spec, members=2, learner="tree", lineage=["genus"], maxDepth=3)
+    assert ref.manifest["records"] == 80 and ref.manifest["entities"] == 16
+    with pytest.raises(ValueError, match="2 training rows were rejected.*row 5: Missing, censored.*row 7: Missing, censored"):
+        review.fit_submitted(raw.withColumn("toxicity_value", F.when(~F.col("input_row").isin(5, 7), F.col("toxicity_value"))), rules, spec)
+    queue = raw.drop("toxicity_value").withColumn("identity_verified", F.when(F.col("input_row") % 16 == 3, "no").when(F.col("input_row") == 4, "no").otherwise("1"))
+    run = review.review_submitted(ref, queue, rules, task="hazard_omission", fraction=0.25, cutoff=10.0)
+    got = {r.entity: r for r in run.entities.collect()}
+    assert len(got) == 15 and "E03" not in got  # every row of this one was rejected
+    assert got["E04"].rejected_case_count == 1 and got["E05"].rejected_case_count == 0 and got["E04"].case_count == 4
+    m = run.manifest
+    assert (m["submitted_records"], m["eligible_records"], m["rejected_records"], m["review_count"]) == (80, 74, 6, 4)
+    assert m["excluded_input_columns"] == ["toxicity_unit"] and sum(r.selected_for_review for r in got.values()) == 4
+
+
 def test_stream_gate_and_batches(spark, tmp_path):
     df = spark.createDataFrame([("A", True, 0.9), ("B", False, 0.8), ("C", False, 0.1), ("D", False, 0.2)], "entity string, pred_high boolean, s double")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
