@@ -8,21 +8,26 @@ fits before it (:func:`quota_weights`).  No copy is written out and no replicate
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from quotaloom.functions.numeric import review_count, safe_rate, unit_draw
 from quotaloom.operators.metrics import _join_panels, omission_metrics, random_reference, spearman
 from quotaloom.operators.ranking import melt_scores, queue_order
 from quotaloom.operators.scan import asc, attach_small, ordered_scan, quantiles
-from quotaloom.session import materialize
+from quotaloom.session import materialize, ship_package
 
 #: draws that one task makes, and tasks at most
 DRAWS_PER_TASK, MOST_TASKS = 2_000_000, 100_000
+#: flag patterns that one draw covers; more are dealt to blocks, and what falls to each block is drawn first
+PATTERNS_PER_DRAW = 4096
 INTERVAL = {"ci_lower": 0.025, "median": 0.5, "ci_upper": 0.975}
 
 
@@ -216,38 +221,103 @@ def support_increment(
         F.when(captured, F.col("share_positive")).otherwise(F.col("share_negative")).alias("share_better"))
 
 
+def seeded(text: str) -> np.random.Generator:
+    """A generator that depends on a text only, so that any task on any machine draws the same."""
+    return np.random.Generator(np.random.Philox(key=int(hashlib.sha256(text.encode()).hexdigest()[:32], 16)))
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def multinomial(seed: pd.Series, total: pd.Series, sizes: pd.Series) -> pd.Series:
+    """How many of ``total`` draws with replacement fall on each size: a chain of binomials, as long as there are sizes."""
+    return pd.Series([seeded(s).multinomial(n, np.asarray(c, float) / np.sum(c)) for s, n, c in zip(seed, total, sizes)], dtype=object)
+
+
+def take_without_replacement(rng: np.random.Generator, classes: np.ndarray, k: int) -> np.ndarray:
+    """How many of ``k`` draws without replacement fall on each class, by binomials alone and so for any sizes.
+
+    Given how many a round of binomials takes, every choice of so many is as likely; the next round adds or gives back the difference.
+    """
+    taken = np.zeros_like(classes)
+    while (short := k - taken.sum()) != 0:
+        pool = classes - taken if short > 0 else taken
+        taken = taken + np.sign(short) * rng.binomial(pool, abs(short) / pool.sum())
+    return taken
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def hypergeometric(seed: pd.Series, quota: pd.Series, sizes: pd.Series) -> pd.Series:
+    return pd.Series([take_without_replacement(seeded(s), np.asarray(c, np.int64), int(k)) for s, k, c in zip(seed, quota, sizes)], dtype=object)
+
+
+def flag_patterns(reviewed: DataFrame, seed_key: str, entity: str, group: Sequence[str], width: int = PATTERNS_PER_DRAW) -> DataFrame:
+    """(seed key, block, patterns, sizes): all that an entity adds to the sums, in all groups, and how many entities add just that."""
+    flags = F.struct(*group, "true_high", "pred_high", "reviewed")
+    people = reviewed.groupBy(seed_key, entity).agg(F.sort_array(F.collect_list(flags)).alias("_pattern"))
+    sizes = people.groupBy(seed_key, "_pattern").agg(F.count("*").alias("_size"))
+    numbered = ordered_scan(sizes.withColumn("_text", F.to_json("_pattern")), [asc(F.col("_text"))], [seed_key], rank="_i")
+    block = F.floor((F.col("_i") - 1) / width).alias("_block")
+    blocks = numbered.groupBy(seed_key, block).agg(F.sort_array(F.collect_list(F.struct("_i", "_pattern", "_size"))).alias("_p"))
+    return blocks.select(seed_key, "_block", F.col("_p._pattern").alias("_patterns"), F.col("_p._size").alias("_sizes"),
+                         F.aggregate("_p._size", F.lit(0).cast("long"), lambda x, y: x + y).alias("_members"))
+
+
+def pattern_draws(reviewed: DataFrame, seed_key: str, reps: int, seed: int, entity: str, group: Sequence[str], width: int = PATTERNS_PER_DRAW) -> DataFrame:
+    """(replicate, slot, pattern, w): fits redrawn into slots, and in each slot how often a flag pattern occurs among as many redrawn entities.
+
+    The work is replicates x slots x patterns, however many entities there are.
+    """
+    ship_package(reviewed.sparkSession)
+    blocks = materialize(flag_patterns(reviewed, seed_key, entity, group, width))
+    numbered = ordered_scan(blocks.select(seed_key).distinct(), [asc(F.col(seed_key).cast("string"))], rank="_i", total="_n")
+    slots = replicates(numbered, reps).withColumn("slot", F.col("_i"))
+    pick = (F.floor(unit_draw(F.lit(f"{seed}-fits"), F.col("replicate"), F.col("slot")) * F.col("_n")) + 1).alias("_i")
+    drawn = slots.select("replicate", "slot", pick).join(numbered.select("_i", seed_key), "_i").drop("_i")
+    tops = blocks.groupBy(seed_key).agg(F.sort_array(F.collect_list(F.struct("_block", "_members"))).alias("_t"), F.sum("_members").alias("_all"))
+    name = [F.lit(str(seed)), F.col("replicate"), F.col("slot")]
+    shares = multinomial(F.concat_ws("|", *name, F.lit("blocks")), F.col("_all"), F.col("_t._members"))
+    parts = drawn.join(tops, seed_key).select("replicate", "slot", seed_key, F.explode(F.arrays_zip(F.col("_t._block").alias("_block"), shares.alias("_k"))).alias("_b"))
+    parts = parts.select("replicate", "slot", seed_key, "_b.*").where("_k > 0").join(blocks, [seed_key, "_block"])
+    counts = multinomial(F.concat_ws("|", *name, F.col("_block")), F.col("_k"), F.col("_sizes"))
+    out = parts.select("replicate", "slot", F.explode(F.arrays_zip(F.col("_patterns").alias("pattern"), counts.alias("w"))).alias("_d"))
+    return out.select("replicate", "slot", "_d.*").where("w > 0")
+
+
 def hierarchical_bootstrap(
     reviewed: DataFrame, seed_key: str, reps: int, seed: int = 42, entity: str = "entity",
-    group: Sequence[str] = ("method",),
+    group: Sequence[str] = ("method",), random: str | None = None, fraction: float = 0.25,
 ) -> DataFrame:
     """(replicate, group, metric, value): fits are redrawn first, then entities within each drawn fit.
 
-    The review flags are fixed, so every metric is additive and weights of flag patterns replace copies.
-    The same draws serve all groups, which keeps their differences paired.
+    The review flags of a method are fixed, so every metric is additive and weights of flag patterns replace copies.  The same
+    draws serve all groups, which keeps their differences paired.  With a name for ``random`` one more method reviews
+    ``fraction`` of each slot's entities, chosen anew in every slot (a single group column is needed).
     """
-    seeds = reviewed.select(seed_key).distinct()
-    numbered = ordered_scan(seeds, [asc(F.col(seed_key).cast("string"))], rank="_i", total="_n")
-    slots = replicates(numbered, reps).withColumn("slot", F.col("_i"))
-    pick = (F.floor(unit_draw(F.lit(f"{seed}-fits"), F.col("replicate"), F.col("slot")) * F.col("_n")) + 1).alias("_i")
-    drawn = slots.select("replicate", "slot", pick).join(numbered.select("_i", seed_key), "_i").drop("_i")
-    # all that an entity adds to the sums, in all groups; there are few such patterns, so draws meet them and not the rows
-    flags = F.struct(*group, "true_high", "pred_high", "reviewed")
-    people = reviewed.groupBy(seed_key, entity).agg(F.sort_array(F.collect_list(flags)).alias("_pattern"))
-    indexed = materialize(ordered_scan(people, [asc(F.col(entity).cast("string"))], [seed_key], rank="_i", total="_n").drop(entity))
-    slotted = indexed.select(seed_key, "_i", "_n").join(drawn, seed_key)
-    u = unit_draw(F.lit(str(seed)), F.col("replicate"), F.col("slot"), F.col("_i"))
-    hits = slotted.select("replicate", "slot", seed_key, (F.floor(u * F.col("_n")) + 1).alias("_i"))
-    counts = hits.join(indexed.drop("_n"), [seed_key, "_i"]).groupBy("replicate", "slot", "_pattern").agg(F.count("*").alias("w"))
-    rows = counts.select("replicate", "slot", "w", F.explode("_pattern").alias("_f")).select("replicate", "slot", "w", "_f.*")
+    rows = pattern_draws(reviewed, seed_key, reps, seed, entity, group)
+    rows = rows.select("replicate", "slot", "w", F.explode("pattern").alias("_f")).select("replicate", "slot", "w", "_f.*")
     th, low, rev, w = F.col("true_high"), ~F.col("pred_high"), F.col("reviewed"), F.col("w")
-    def total(cond: Column) -> Column: return F.coalesce(F.sum(F.when(cond, w)), F.lit(0))
+    def total(cond: Column) -> Column: return F.coalesce(F.sum(F.when(cond, w)), F.lit(0)).cast("long")
     keys = ["replicate", "slot", *group]
-    per = rows.groupBy(*keys).agg(
-        safe_rate(total(th & low & rev), total(th & low)).alias("false_negative_capture"),
-        safe_rate(total(th & low & ~rev), total(th)).alias("high_concern_left_low_priority_fraction"),
-        safe_rate(total(th & low & ~rev), total(low & ~rev)).alias("lower_priority_false_omission_rate"))
-    long = _long_rates(per, keys)
-    return long.groupBy("replicate", *group, "metric").agg(F.avg("value").alias("value"))
+    sums = rows.groupBy(*keys).agg(
+        F.sum("w").alias("n"), total(th).alias("high"), total(low).alias("low"), total(th & low).alias("miss"), total(rev).alias("reviews"),
+        total(low & rev).alias("low_reviewed"), total(th & low & rev).alias("rescued"))
+    if random is not None:
+        (method,) = group
+        sums = materialize(sums)
+        # any method of a slot has the entities and predictions of all
+        base = sums.groupBy("replicate", "slot").agg(F.min_by(F.struct("n", "high", "low", "miss"), method).alias("_s")).select("replicate", "slot", "_s.*")
+        k = review_count(F.col("n"), fraction, True)
+        got = hypergeometric(F.concat_ws("|", F.lit(f"{seed}-review"), "replicate", "slot"), k.cast("long"), F.array("miss", F.col("low") - F.col("miss"), F.col("n") - F.col("low")))
+        chosen = base.select("*", k.cast("long").alias("reviews"), got.alias("_g"))
+        chosen = chosen.select("*", F.lit(random).alias(method), (F.col("_g")[0] + F.col("_g")[1]).alias("low_reviewed"), F.col("_g")[0].alias("rescued"))
+        sums = sums.unionByName(chosen.select(*sums.columns))
+    n = {c: F.col(c) for c in ("high", "low", "miss", "reviews", "low_reviewed", "rescued")}
+    per = sums.select(
+        *keys, safe_rate(n["rescued"], n["miss"]).alias("false_negative_capture"),
+        safe_rate(n["miss"] - n["rescued"], n["high"]).alias("high_concern_left_low_priority_fraction"),
+        safe_rate(n["miss"] - n["rescued"], n["low"] - n["low_reviewed"]).alias("lower_priority_false_omission_rate"),
+        (safe_rate(n["rescued"], n["reviews"]) * 100).alias("rescued_per_100_reviews"))
+    metrics = ["false_negative_capture", "high_concern_left_low_priority_fraction", "lower_priority_false_omission_rate", "rescued_per_100_reviews"]
+    return per.unpivot(keys, metrics, "metric", "value").groupBy("replicate", *group, "metric").agg(F.avg("value").alias("value"))
 
 
 def hierarchical_deltas(values: DataFrame, reference: str, method: str = "method") -> DataFrame:

@@ -102,11 +102,22 @@ def split_panels(spark: SparkSession, sf: str) -> DataFrame:
     return rollup.endpoint_relative_panel(cases(spark, sf), 0.25, SCORES, ["split"])
 
 
+def split_reviews(spark: SparkSession, sf: str) -> DataFrame:
+    long = ranking.melt_scores(materialize(split_panels(spark, sf)), METHODS)
+    return ranking.review_flags(long, "score", 0.25, panel=["split", "method"], policy="low_concern_first")
+
+
 @query("hierarchical_bootstrap")
 def hierarchical_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    long = ranking.melt_scores(split_panels(spark, sf), METHODS)
-    reviewed = ranking.review_queue(long, "score", 0.25, panel=["split", "method"], policy="low_concern_first")
-    return rounded(resample.hierarchical_deltas(resample.hierarchical_bootstrap(reviewed, "split", 2000), "first"))
+    """Paired differences against the first method."""
+    return rounded(resample.hierarchical_deltas(resample.hierarchical_bootstrap(split_reviews(spark, sf), "split", REPLICATES), "first"))
+
+
+@query("hierarchical_intervals")
+def hierarchical_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    """Each method's own interval, next to a random review that is chosen anew in every resample."""
+    values = resample.hierarchical_bootstrap(split_reviews(spark, sf), "split", REPLICATES, random="random")
+    return rounded(resample.intervals(values, ["method", "metric"], "value"))
 
 
 MACRO = f"""{CASES},

@@ -1,6 +1,6 @@
 """Metrics, conformal intervals, risk score, distances: fixtures X13-X23 and brute force."""
 
-import hashlib
+import itertools
 
 import numpy as np
 import pandas as pd
@@ -163,26 +163,80 @@ def test_multiplicities_sum_to_the_panel(spark):
 
 
 def test_hierarchical_bootstrap_runs_the_references_replicates(spark):
-    """2,000 draws, as in the reference; a fit that is drawn twice counts twice, and a replicate is brute force from its draws."""
+    """2,000 draws, as in the reference, of differences and of each method's own interval."""
     from quotaloom.plans import catalog
 
     got = catalog.QUERIES["hierarchical_bootstrap"](spark, "/root/testdata/sf0.001").collect()
     assert got and max(r.n_values for r in got) == 2000 and all(r.ci_lower <= r.median <= r.ci_upper for r in got)
-    data = [(s, f"e{i}", m, (i * 3 + j) % 4 < 2, (i + j) % 3 == 0, (i * k) % 2 == 0) for j, s in enumerate("FO") for i in range(12) for k, m in ((1, "a"), (3, "b"))]
-    df = spark.createDataFrame(data, "split string, entity string, method string, true_high boolean, pred_high boolean, reviewed boolean")
-    values = {(r.replicate, r.method): r.value for r in resample.hierarchical_bootstrap(df, "split", 6).where("metric = 'false_negative_capture'").collect()}
-    def u(*parts): return int(hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()[:13], 16) / 2 ** 52
-    names = sorted({f"e{i}" for i in range(12)})
-    for rep in range(6):
-        for method in "ab":
-            rates = []
-            for slot in (1, 2):
-                split = "FO"[int(u("42-fits", rep, slot) * 2)]
-                own = {e: (t, p, r) for s, e, m, t, p, r in data if s == split and m == method}
-                picked = [own[names[int(u(42, rep, slot, i + 1) * 12)]] for i in range(12)]
-                missed = [r for t, p, r in picked if t and not p]
-                rates += [sum(missed) / len(missed)] if missed else []
-            assert values[rep, method] == (pytest.approx(sum(rates) / len(rates)) if rates else None)
+    own = {(r.method, r.metric): r for r in catalog.QUERIES["hierarchical_intervals"](spark, "/root/testdata/sf0.001").collect()}
+    assert {m for m, _ in own} == {"first", "second", "random"}
+    assert own["random", "false_negative_capture"].mean == pytest.approx(0.25, abs=0.02)
+
+
+def fits_and_flags(spark, people=3, copies=1):
+    """Two fits of a few entities with two methods; ``copies`` repeats every entity under other names."""
+    base = [("F", 0, True, False, True, False), ("F", 1, True, False, False, True), ("F", 2, False, False, True, False),
+            ("O", 0, True, True, True, False), ("O", 1, True, False, False, False), ("O", 2, False, False, False, True)]
+    data = [(s, f"e{i}-{c}", m, th, ph, (a, b)[m == "b"]) for s, i, th, ph, a, b in base if i < people for c in range(copies) for m in "ab"]
+    return base, spark.createDataFrame(data, "split string, entity string, method string, true_high boolean, pred_high boolean, reviewed boolean")
+
+
+def test_hierarchical_bootstrap_has_the_means_of_all_possible_draws(spark):
+    """Every draw of fits, entities and random reviews is listed by hand; replicates have their mean and their variance."""
+    base, df = fits_and_flags(spark)
+    def rates(rows):  # (true high, predicted high, reviewed) of one slot
+        miss = [r for t, p, r in rows if t and not p]
+        left = [t for t, p, r in rows if not p and not r]
+        return (sum(miss) / len(miss) if miss else None, sum(left) / len(left) if left else None, 100 * sum(miss) / sum(r for *_, r in rows) if any(r for *_, r in rows) else None)
+    def listed(flags_of):
+        slots = [rates(rows) for s in "FO" for pick in itertools.product([x for x in base if x[0] == s], repeat=3) for rows in flags_of(pick)]
+        pairs = itertools.product(slots, repeat=2)
+        return [[[v for v in (x[i], y[i]) if v is not None] for i in range(3)] for x, y in pairs]
+    expected = {"a": listed(lambda pick: [[(x[2], x[3], x[4]) for x in pick]]), "b": listed(lambda pick: [[(x[2], x[3], x[5]) for x in pick]]),
+                "random": listed(lambda pick: [[(x[2], x[3], j == k) for j, x in enumerate(pick)] for k in range(3)])}
+    got = {}
+    values = resample.hierarchical_bootstrap(df, "split", 4000, random="random")
+    for r in values.where("value IS NOT NULL").collect():
+        got.setdefault((r.method, r.metric), []).append(r.value)
+    for method, draws in expected.items():
+        for i, metric in enumerate(("false_negative_capture", "lower_priority_false_omission_rate", "rescued_per_100_reviews")):
+            want = np.array([np.mean(d[i]) for d in draws if d[i]])
+            have = np.array(got.get((method, metric), []))
+            assert abs(len(have) / 4000 - len(want) / len(draws)) < 0.03, (method, metric)
+            assert abs(have.mean() - want.mean()) < 4.5 * want.std() / np.sqrt(len(have)) + 1e-9, (method, metric)
+            assert have.std() == pytest.approx(want.std(), rel=0.08, abs=1e-9), (method, metric)
+
+
+def test_hierarchical_draws_do_not_grow_with_entities(spark):
+    """A hundred times the entities: as many rows are drawn, sums are those of the entities, blocks of patterns change no total, reruns agree."""
+    rows = {}
+    for copies in (1, 100):
+        _, df = fits_and_flags(spark, copies=copies)
+        draws = resample.pattern_draws(df, "split", 50, 42, "entity", ["method"])
+        rows[copies] = draws.count()
+        assert {r.n for r in draws.groupBy("replicate", "slot").agg(F.sum("w").alias("n")).collect()} == {3 * copies}
+    assert rows[1] <= rows[100] <= 50 * 2 * 3
+    cut = resample.pattern_draws(df, "split", 200, 42, "entity", ["method"], width=2)
+    assert {r.n for r in cut.groupBy("replicate", "slot").agg(F.sum("w").alias("n")).collect()} == {300}
+    mean = {r._k: r.m for r in cut.groupBy(F.to_json("pattern").alias("_k")).agg((F.sum("w") / 400).alias("m")).collect()}
+    assert len(mean) == 6 and all(abs(m - 50) < 15 for m in mean.values())
+    one, two = (sorted(map(tuple, resample.hierarchical_bootstrap(df.repartition(k), "split", 20, random="r").collect()), key=str) for k in (1, 7))
+    assert one == two
+    assert not resample.hierarchical_bootstrap(df.limit(0), "split", 5, random="r").count()
+
+
+def test_draws_without_replacement_by_binomials():
+    """Whole quota, no class over its size, the hypergeometric mean and variance, and sizes far over numpy's own limit."""
+    rng, sizes = resample.seeded("x"), np.array([5, 3, 0, 12])
+    for k in (0, 1, 19, 20):
+        got = resample.take_without_replacement(rng, sizes, k)
+        assert got.sum() == k and (got >= 0).all() and (got <= sizes).all()
+    draws = np.array([resample.take_without_replacement(rng, sizes, 6) for _ in range(8000)])
+    assert draws.mean(axis=0) == pytest.approx(6 * sizes / 20, abs=0.05)
+    assert draws.var(axis=0) == pytest.approx(6 * sizes / 20 * (1 - sizes / 20) * 14 / 19, abs=0.06)
+    huge = np.array([4 * 10 ** 12, 10 ** 10])
+    got = resample.take_without_replacement(rng, huge, 10 ** 12)
+    assert got.sum() == 10 ** 12 and got[1] == pytest.approx(10 ** 22 / huge.sum(), rel=1e-3)
 
 
 def test_meta_bootstrap_resamples_whole_clusters(spark):
