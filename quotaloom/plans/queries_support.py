@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotaloom.operators import neighbors, support
+from quotaloom.operators import neighbors, scorer, support
 from quotaloom.plans.registry import query
 from quotaloom.plans.testbed import VECTORS, rounded, table, vectors
+from quotaloom.session import materialize
 
 BLOCKS = ("b1", "b2", "b3", "b4")
 
@@ -252,3 +253,90 @@ def support_scores(spark: SparkSession, sf: str) -> DataFrame:
     q, t = split(spark, sf)
     scorer = SupportScorer(blocks=("vector",), fingerprint="words", descriptor="vector", group="entity", trees=50, lof_neighbors=20)
     return rounded(scorer.fit(words(t)).score(words(q)))
+
+
+RISK_LINEAGE = ["r_name", "n_name", "kind"]
+
+
+def risk_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector as a case: its signs are the fingerprint, two components the descriptors, the customer of its number the context."""
+    rows = vectors(spark, sf).select("*", F.col("case_id").cast("long").alias("_key"))
+    customers = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(
+        table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = rows.join(customers, F.col("_key") == F.col("c_custkey"), "left")
+    bal, nation = F.col("c_acctbal"), F.col("c_nationkey")
+    return rows.select(
+        "case_id", "partition", F.concat_ws("-", "entity", (F.col("_key") % 40).cast("string")).alias("entity"), F.col("c_mktsegment").alias("endpoint"),
+        neighbors.sign_words(F.col("vector"), 64).alias("words"), F.slice("vector", 1, 2).alias("descriptor"), F.abs(F.col("vector")[2]).alias("spread"),
+        F.abs(F.col("vector")[3]).alias("abs_error"), "r_name", F.when(bal > 0, F.col("n_name")).alias("n_name"),
+        F.when(bal > 3000, F.concat_ws(" ", "n_name", (F.col("_key") % 4).cast("string"))).alias("kind"),
+        F.when(nation != 7, bal).alias("x1"), nation.cast("double").alias("x2"), F.when(bal > 0, (bal / 1000).cast("int").cast("string")).alias("medium"),
+        F.when(bal > 1000, nation * 1.5).alias("g1"), F.when(F.col("_key") % 3 > 0, bal / 100).alias("g2"))
+
+
+def risk_scorer_of(rows: DataFrame) -> scorer.ErrorRiskScorer:
+    return scorer.ErrorRiskScorer("words", "descriptor", RISK_LINEAGE, ["x1", "x2"], ["medium"], ["g1", "g2"]).fit(rows.where("partition = 'train'"))
+
+
+def scaled(c: str) -> str:
+    return f"CASE WHEN hi_{c} - lo_{c} > 1e-12 THEN ({c} - lo_{c}) / (hi_{c} - lo_{c}) ELSE 0 END"
+
+
+RISK = f"""{VECTORS},
+rc AS (SELECT v.case_id, v.partition, concat_ws('-', v.entity, CAST(v.case_id AS BIGINT) % 40) AS entity, c_mktsegment AS endpoint, vector, vector[1] AS e1, vector[2] AS e2,
+   abs(vector[3]) AS u_model, lower(r_name) AS l1, CASE WHEN c_acctbal > 0 THEN lower(n_name) END AS l2,
+   CASE WHEN c_acctbal > 3000 THEN lower(concat_ws(' ', n_name, CAST(v.case_id AS BIGINT) % 4)) END AS l3,
+   CASE WHEN c_nationkey <> 7 THEN c_acctbal END AS x1, c_nationkey::DOUBLE AS x2, CASE WHEN c_acctbal > 0 THEN CAST(CAST(trunc(c_acctbal / 1000) AS INTEGER) AS VARCHAR) END AS medium,
+   CASE WHEN c_acctbal > 1000 THEN c_nationkey * 1.5::DOUBLE END AS g1, CASE WHEN CAST(v.case_id AS BIGINT) % 3 > 0 THEN c_acctbal / 100 END AS g2
+   FROM vectors v LEFT JOIN (customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) ON CAST(v.case_id AS BIGINT) = c_custkey),
+tr AS (SELECT * FROM rc WHERE partition = 'train'), qr AS (SELECT * FROM rc WHERE partition <> 'train'),
+rep AS (SELECT tr.* FROM tr JOIN (SELECT min(case_id) AS case_id FROM tr GROUP BY entity) USING (case_id)),
+bits AS (SELECT case_id, i FROM (SELECT case_id, vector, unnest(range(1, 65)) AS i FROM rc) WHERE vector[i] > 0),
+nb AS (SELECT case_id, count(*) AS k FROM bits GROUP BY case_id),
+bt AS (SELECT q.case_id, r.case_id AS tid, count(*) AS n_both FROM (SELECT bits.* FROM bits JOIN qr USING (case_id)) q JOIN (SELECT bits.* FROM bits JOIN rep USING (case_id)) r USING (i) GROUP BY ALL),
+tk AS (SELECT q.case_id, r.case_id AS tid, 1 - coalesce(n_both, 0) / (a.k + b.k - coalesce(n_both, 0))::DOUBLE AS dist FROM qr q CROSS JOIN rep r JOIN nb a ON a.case_id = q.case_id
+   JOIN nb b ON b.case_id = r.case_id LEFT JOIN bt ON bt.case_id = q.case_id AND bt.tid = r.case_id),
+chem AS (SELECT case_id, avg(dist) AS d_chem_knn FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY dist, tid) AS rn FROM tk) WHERE rn <= 5 GROUP BY case_id),
+mo AS (SELECT count(*) AS n, avg(e1) AS m1, avg(e2) AS m2, var_pop(e1) AS a, covar_pop(e1, e2) AS b, var_pop(e2) AS c FROM rep),
+lw AS (SELECT any_value(mo) AS mo, sum(((e1 - m1) ** 2 + (e2 - m2) ** 2) ** 2) AS fourth FROM rep, mo),
+sh AS (SELECT mo.n AS n, mo.m1 AS m1, mo.m2 AS m2, mo.a AS a, mo.b AS b, mo.c AS c, (mo.a + mo.c) / 2 AS mu,
+   (mo.a ** 2 + 2 * mo.b ** 2 + mo.c ** 2 - 2 * ((mo.a + mo.c) / 2) ** 2) / 2 AS delta, (fourth / mo.n - (mo.a ** 2 + 2 * mo.b ** 2 + mo.c ** 2)) / (2 * mo.n) AS beta FROM lw),
+sg AS (SELECT m1, m2, (1 - s) * a + s * mu AS a, (1 - s) * b AS b, (1 - s) * c + s * mu AS c FROM (SELECT *, CASE WHEN least(beta, delta) = 0 THEN 0 ELSE least(beta, delta) / delta END AS s FROM sh)),
+mah AS (SELECT case_id, sqrt(greatest(0, (c * (e1 - m1) ** 2 - 2 * b * (e1 - m1) * (e2 - m2) + a * (e2 - m2) ** 2) / (a * c - b * b))) AS d_chem_mahal FROM qr, sg),
+tax AS (SELECT case_id, 1 - CASE WHEN l3 IS NOT NULL AND EXISTS (SELECT 1 FROM tr t WHERE t.l1 = q.l1 AND t.l2 = q.l2 AND t.l3 = q.l3) THEN 3
+   WHEN l2 IS NOT NULL AND EXISTS (SELECT 1 FROM tr t WHERE t.l1 = q.l1 AND t.l2 = q.l2) THEN 2 WHEN EXISTS (SELECT 1 FROM tr t WHERE t.l1 = q.l1) THEN 1 ELSE 0 END / 3.0::DOUBLE AS d_species_tax FROM qr q),
+rg AS (SELECT max(x1) - min(x1) AS r1, max(x2) - min(x2) AS r2 FROM tr),
+gp AS (SELECT q.case_id, t.case_id AS tid,
+   (CASE WHEN q.x1 IS NULL OR t.x1 IS NULL THEN 0 ELSE least(abs(q.x1 - t.x1) / r1, 1) END + least(abs(q.x2 - t.x2) / r2, 1) + coalesce((q.medium <> t.medium)::INT, 0))
+   / (1 + (q.x1 IS NOT NULL AND t.x1 IS NOT NULL)::INT + (q.medium IS NOT NULL AND t.medium IS NOT NULL)::INT) AS dist FROM qr q JOIN tr t ON q.endpoint = t.endpoint, rg),
+gow AS (SELECT case_id, avg(dist) AS v FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY dist, tid) AS rn FROM gp) WHERE rn <= 5 GROUP BY case_id),
+ss AS (SELECT avg(g1) AS m1, stddev_pop(g1) AS s1, avg(g2) AS m2, stddev_pop(g2) AS s2 FROM rep),
+mp AS (SELECT q.case_id, r.case_id AS tid, (q.g1 IS NOT NULL AND r.g1 IS NOT NULL)::INT + (q.g2 IS NOT NULL AND r.g2 IS NOT NULL)::INT AS seen,
+   coalesce(((q.g1 - r.g1) / s1) ** 2, 0) + coalesce(((q.g2 - r.g2) / s2) ** 2, 0) AS sq FROM qr q CROSS JOIN rep r CROSS JOIN ss),
+me AS (SELECT case_id, avg(sqrt(2 * sq / seen)) AS v FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY 2 * sq / seen, tid) AS rn FROM mp WHERE seen > 0) WHERE rn <= 5 GROUP BY case_id),
+comp AS (SELECT q.case_id, q.partition, d_chem_knn, d_chem_mahal, d_species_tax, coalesce(gow.v, 1) AS d_context, ((q.x1 IS NULL)::INT + (q.x2 IS NULL)::INT) / 2.0::DOUBLE AS context_missing_fraction,
+   coalesce(me.v, 0) AS d_mech, ((g1 IS NULL)::INT + (g2 IS NULL)::INT) / 2.0::DOUBLE AS bioactivity_missing_fraction, u_model
+   FROM qr q JOIN chem USING (case_id) JOIN mah USING (case_id) JOIN tax USING (case_id) LEFT JOIN gow USING (case_id) LEFT JOIN me USING (case_id)),
+lim AS (SELECT {", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in scorer.COMPONENTS)} FROM comp WHERE partition = 'calibration')"""
+RISK_AXES = ", ".join(f"round(({' + '.join(scaled(c) for c in columns)}) / {len(columns)}.0::DOUBLE, 6) + 0 AS axis_{name}" for name, columns in scorer.AXES.items())
+
+
+@query("risk_components", f"WITH {RISK} SELECT case_id, {', '.join(f'round({c}, 6) AS {c}' for c in scorer.COMPONENTS)}, {RISK_AXES} FROM comp, lim")
+def risk_components(spark: SparkSession, sf: str) -> DataFrame:
+    """The eight components of every held-out case, and the axes scaled by the calibration cases."""
+    scored = risk_scored(spark, sf)
+    return rounded(scored.select("case_id", *scorer.COMPONENTS, *[f"axis_{a}" for a in scorer.AXES]))
+
+
+@query("risk_scores")
+def risk_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The learnt score of the held-out cases."""
+    return rounded(risk_scored(spark, sf).select("case_id", "risk_score"))
+
+
+def risk_scored(spark: SparkSession, sf: str) -> DataFrame:
+    rows = materialize(risk_cases(spark, sf))
+    fitted, held = risk_scorer_of(rows), rows.where("partition <> 'train'")
+    parts = materialize(fitted.components(held, "spread"))
+    known = held.where("partition = 'calibration'").select("case_id", "abs_error")
+    return fitted.fit_meta(parts.join(known, "case_id"), "abs_error").scores(parts)

@@ -337,3 +337,51 @@ def test_ablation_pairs_each_panel_with_its_full_score(spark):
         assert got[split, "noise", "aurc"].delta < got[split, "risk", "aurc"].delta == pytest.approx(got[split, "twin", "aurc"].delta)
     with pytest.raises(ValueError):
         ablation.left_out(["risk"])
+
+
+def scorer_rows(spark, n, seed, prefix):
+    rng = np.random.default_rng(seed)
+    data = [(f"{prefix}{i:03d}", None if i % 11 == 0 else f"e{i % 9}", ["p", "q", None][i % 3], [int(rng.integers(1, 2 ** 40))], rng.normal(size=2).tolist(),
+             "phylum", f"genus{i % 4}" if i % 5 else None, float(i % 7) if i % 6 else None, ["m", "n", None][i % 3], float(rng.normal()) if i % 4 else None, float(rng.random()), float(rng.random()))
+            for i in range(n)]
+    return spark.createDataFrame(data, "case_id string, entity string, endpoint string, words array<long>, descriptor array<double>, phylum string, genus string, x double, "
+                                       "medium string, g double, spread double, abs_error double")
+
+
+def test_eight_components_weights_and_axes(spark):
+    """Components of hand-checked rows, axes scaled by the calibration range, weights by sign, and the mean where labels are all equal."""
+    from quotaloom.operators.scorer import AXES, COMPONENTS, ErrorRiskScorer
+
+    train, cal = scorer_rows(spark, 60, 1, "t"), scorer_rows(spark, 80, 2, "c")
+    fitted = ErrorRiskScorer("words", "descriptor", ["phylum", "genus"], ["x"], ["medium"], ["g"], k=3).fit(train)
+    assert fitted.reps.count() == 10  # nine entities and the rows without one
+    with pytest.raises(RuntimeError):
+        fitted.scores(cal)
+    parts = fitted.components(cal, "spread")
+    got = {r.case_id: r for r in parts.collect()}
+    assert len(got) == 80 and parts.columns == ["case_id", *COMPONENTS]
+    src = {r.case_id: r for r in cal.collect()}
+    reps = {r.case_id: r for r in fitted.reps.collect()}
+    for cid, r in got.items():
+        q = src[cid]
+        sims = sorted(1 - bin(q.words[0] & t.words[0]).count("1") / bin(q.words[0] | t.words[0]).count("1") for t in reps.values())[:3]
+        signal = [0.0] if q.g is None else sorted(abs(q.g - t.g) / np.std([x.g for x in reps.values() if x.g is not None]) for t in reps.values() if t.g is not None)[:3]
+        assert r.d_chem_knn == pytest.approx(np.mean(sims)) and r.d_mech == pytest.approx(np.mean(signal)) and r.u_model == q.spread
+        assert (r.bioactivity_missing_fraction, r.context_missing_fraction) == (float(q.g is None), float(q.x is None))
+        assert r.d_species_tax == (0.0 if q.genus else 0.5) and (q.endpoint is not None or r.d_context == 1.0)
+    # errors that follow the model's own uncertainty give it the largest weight
+    known = parts.join(cal.select("case_id", "endpoint", F.col("spread").alias("abs_error")), "case_id")
+    fitted.fit_meta(known, "abs_error", 0.8, group="endpoint", balance=True)
+    d = fitted.diagnostics()
+    assert d["coef_u_model"] == max(v for k, v in d.items() if k.startswith("coef_")) > 0 and d["calibration_n"] == 80
+    scored = {r.case_id: r for r in fitted.scores(parts).collect()}
+    low, high = min(r.u_model for r in got.values()), max(r.u_model for r in got.values())
+    for cid, r in scored.items():
+        assert 0 <= r.risk_score <= 1 and r.axis_uncertainty == pytest.approx((got[cid].u_model - low) / (high - low))
+    # constant errors: every label is high, and the score is the mean of the scaled components
+    flat = fitted.fit_meta(parts.withColumn("abs_error", F.lit(1.0)), "abs_error").scores(parts).collect()
+    assert fitted.diagnostics()["high_error_n"] == 80
+    for r in flat:
+        sizes = {a: len(c) for a, c in AXES.items()}
+        assert r.risk_score == pytest.approx(sum(r[f"axis_{a}"] * k for a, k in sizes.items()) / 8)
+    assert not fitted.scores(fitted.components(cal.limit(0), "spread")).count()
