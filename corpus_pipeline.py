@@ -5,7 +5,9 @@ run(spark, sf_dir) reads documents, and labels and benchmark where a stage needs
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -16,11 +18,24 @@ from quotaloom.llm import bpe, common, decontaminate, line_dedup, ngram_join, to
 KEY = "pipeline_row"
 
 
+#: columns that stages read or write; all others go through them under names of their own
+READ = ("doc_id", "text", "n_chars")
+
+
+def others_aside(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that gives the columns it was given: further ones, whatever they are called, meet no column that the stage adds."""
+    @functools.wraps(stage)
+    def run_aside(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(spark, docs.toDF(*(c if c in READ else f"further_{i}" for i, c in enumerate(docs.columns))), sf_dir).toDF(*docs.columns)
+    return run_aside
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """Rows under a key of their own, so that null and repeated ids are told apart by their texts."""
     return docs.withColumn(KEY, F.xxhash64("doc_id", "text"))
 
 
+@others_aside
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine doesn't call toxic; it learns from the rows op4 may learn from."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -28,12 +43,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, output="toxic_score").where("toxic_score < 0.5").drop("toxic_score")
 
 
+@others_aside
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that came earlier; a document goes if that leaves it without a word."""
     left = line_dedup.dedup_lines(docs).where("ld_words_left or ld_removed = 0")
     return left.withColumn("n_chars", F.when(F.col("ld_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
+@others_aside
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts that share five-word runs with similarity 0.8 or more."""
     rows = keyed(docs)
@@ -47,6 +64,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return single.unionByName(once).select(*docs.columns)
 
 
+@others_aside
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item stands."""
     rows = keyed(docs)
