@@ -71,5 +71,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", output: str = "scor
     """The columns of docs and the probability that the text is toxic; a column of that name is replaced."""
     if model.stages is None:
         return docs.withColumn(output, F.lit(model.share))
-    scored = model.stages.transform(terms(docs, text))
-    return scored.select(*(c for c in docs.columns if c != output), vector_to_array("_probability")[1].alias(output))
+    # the given columns travel in one struct, so that none of them meets a column that the stages add
+    names = [f"`{c.replace('`', '``')}`" for c in docs.columns]
+    rows = docs.select(F.struct(*names).alias("row"), F.col(text).alias("_text"))
+    scored = model.stages.transform(terms(rows, "_text"))
+    own = (F.col(f"row.{n}") for c, n in zip(docs.columns, names) if c != output)
+    return scored.select(*own, vector_to_array("_probability")[1].alias(output))

@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from quotaloom.llm import common
 
 PIECE = 1 << 20
+#: bytes that one step of inflating gives at most, however well they were packed
+INFLATED = 4 << 20
 #: bytes of an archive that one task reads
 READ_BYTES = 32 << 20
 ARCHIVES = "path string, records long"
@@ -87,14 +89,20 @@ def heads(head: bytes) -> dict[str, str]:
 
 
 def inflated(pieces: Iterator[bytes]) -> Iterator[bytes]:
-    """The bytes of a gzip file, whether it is one stream or many members."""
-    stream = zlib.decompressobj(31)
+    """The bytes of a gzip file, whether it is one stream or many members, at most INFLATED at once; a stream without its end is an error."""
+    stream, begun = zlib.decompressobj(31), False
     for piece in pieces:
+        begun = True
         while piece:
             if stream.eof:
                 stream = zlib.decompressobj(31)
-            yield stream.decompress(piece)
-            piece = stream.unused_data
+            yield stream.decompress(piece, INFLATED)
+            piece = stream.unused_data if stream.eof else stream.unconsumed_tail
+    while begun and not stream.eof:
+        rest = stream.decompress(b"", INFLATED)
+        if not rest and not stream.eof:
+            raise ValueError("the archive ends within a gzip stream")
+        yield rest
 
 
 def records_in(data: Iterator[bytes]) -> Iterator[bytes]:
@@ -103,7 +111,10 @@ def records_in(data: Iterator[bytes]) -> Iterator[bytes]:
 
     def need(size: int) -> None:
         while len(held) < size:
-            held.extend(next(data))
+            piece = next(data, None)
+            if piece is None:
+                raise ValueError("the archive ends within a record")
+            held.extend(piece)
 
     while True:
         end = held.find(b"\r\n\r\n")

@@ -135,6 +135,42 @@ def test_toxicity_without_two_classes_or_texts(spark):
 
 # ------------------------------------------------------------------ op5
 
+def test_toxicity_scores_beside_columns_of_any_name(spark):
+    """Columns named as the stages' own, and one with a dot, stay as they are and change no score."""
+    rows = [(k, f"plain words {k % 5} here" if k % 2 else f"vile scum {k % 5} here") for k in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1 - k % 2) for k, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, F.lit(True))
+    names = ["_hashed", "_terms", "_chosen", "_raw", "_probability", "_predicted", "row", "_text", "a.b"]
+    wide = docs.select("*", *[F.concat(F.lit(n), "doc_id").alias(n) for n in names])
+    got = toxicity.score(wide, model)
+    assert got.columns == [*wide.columns, "score"]
+    scores = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    for r in got.collect():
+        assert all(r[n] == f"{n}{r.doc_id}" for n in names) and r.score == scores[r.doc_id] and (r.score >= 0.5) == (r.doc_id % 2 == 0)
+
+
+def test_archives_that_are_cut_or_packed_very_well():
+    """Inflating gives bounded pieces whatever the ratio; an archive cut in a stream, a record or a member says so; an empty one has no records."""
+    payload = b"\0" * (40 << 20)
+    raw = [warc.record(1, "http://a/", payload, None), warc.record(2, None, b"", 1)]
+    def packed(data):
+        c = zlib.compressobj(9, zlib.DEFLATED, 31)
+        return c.compress(data) + c.flush()
+    def pieces(data, size): return iter([data[i:i + size] for i in range(0, len(data), size)])
+    for whole in (packed(b"".join(raw)), b"".join(map(packed, raw))):
+        for size in (7001, 1 << 20):
+            sizes = [len(x) for x in warc.inflated(pieces(whole, size))]
+            assert max(sizes) <= warc.INFLATED and sum(sizes) == sum(map(len, raw))
+        assert list(warc.records_in(warc.inflated(pieces(whole, 1 << 16)))) == raw
+        for cut in (len(whole) - 1, len(whole) - 9, len(whole) // 2):
+            with pytest.raises(ValueError, match="ends within"):
+                list(warc.records_in(warc.inflated(pieces(whole[:cut], 1 << 16))))
+    with pytest.raises(ValueError, match="ends within a record"):
+        list(warc.records_in(warc.inflated(pieces(packed(raw[1][:-6]), 100))))
+    assert list(warc.records_in(warc.inflated(iter([])))) == []
+
+
 def test_warc_round_trip(spark, tmp_path):
     html = ["<p>a</p>", "<p>a</p>", None, "", "x" * 200_000, "ü\r\n\r\nWARC/1.1\r\n", "<p>a</p>"]
     rows = [(5, "http://a/", html[0]), (3, "http://b/\nEvil: 1", html[1]), (7, None, html[2]), (8, "u", html[3]), (9, "u", html[4]), (1, "u", html[5]), (None, "u", html[6])]

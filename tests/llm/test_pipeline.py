@@ -57,6 +57,21 @@ def test_one_of_each_near_group_stays(spark, corpus):
     assert sum(t in texts[:3] for t in found if t) == 1 and found.count(texts[3]) == 1 and found.count(None) == 2 and found.count("") == 1
 
 
+def test_stages_leave_further_columns_alone_and_take_empty_tables(spark, corpus):
+    """Columns named as those that stages add come back as they were; empty tables stay empty with their columns."""
+    names = ["pipeline_row", "toxic_score", "ld_removed", "ld_words_left", "_hashed", "_terms", "_probability", "component_id", "further_1", "a.b", "row"]
+    docs = spark.read.parquet(f"{corpus[0]}/documents.parquet")
+    wide = docs.select("*", *[F.concat(F.lit(f"{n} "), "doc_id").alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        got = stage(spark, wide, corpus[0])
+        assert got.columns == wide.columns, name
+        rows = got.collect()
+        assert rows and all(r[n] == f"{n} {r.doc_id}" for r in rows for n in names), name
+        assert {r.doc_id for r in rows} == {r.doc_id for r in stage(spark, docs, corpus[0]).select("doc_id").collect()}, name
+        empty = stage(spark, wide.limit(0), corpus[0])
+        assert empty.columns == wide.columns and not empty.count(), name
+
+
 def test_whole_run_on_the_smallest_tables(spark):
     assert 0 < corpus_pipeline.run(spark, SF).count() <= 200
 
