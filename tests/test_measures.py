@@ -385,3 +385,48 @@ def test_eight_components_weights_and_axes(spark):
         sizes = {a: len(c) for a, c in AXES.items()}
         assert r.risk_score == pytest.approx(sum(r[f"axis_{a}"] * k for a, k in sizes.items()) / 8)
     assert not fitted.scores(fitted.components(cal.limit(0), "spread")).count()
+
+
+def test_packed_draws_are_the_draws_of_the_weights_table(spark):
+    """More entities than a block has and more replicates than a batch has; a draw is two bytes of a message and not a row."""
+    n, reps = 70_000, 102
+    entities = spark.range(1, n + 1).select(F.lit(0).cast("long").alias("domain"), F.col("id").alias("_i"), F.lit(n).cast("long").alias("_n"))
+    messages = resample.packed_draws(entities.select("domain", "_n").distinct(), reps, 42)
+    blocks = resample.packed_blocks(entities.select("domain", "_i", F.col("_i").alias("value")), reps)
+
+    def look(replicate, w, columns, message):
+        yield replicate, int(w.sum()), int((w * columns["value"] ** 2).sum()), int((w * w).sum())
+    found = resample.visit_blocks(messages, blocks, look, "replicate int, n long, v long, c long").groupBy("replicate").agg(F.sum("n"), F.sum("v"), F.sum("c"))
+    few = entities.select("_i", "_n")
+    weights = resample.weights_by_index(few, 2, 42).groupBy("replicate").agg(F.sum("w"), F.sum(F.col("w") * F.col("_i") ** 2).cast("long"), F.sum(F.col("w") * F.col("w")))
+    got = {r[0]: tuple(r[1:]) for r in found.collect()}
+    assert len(got) == reps and {v[0] for v in got.values()} == {n}
+    assert {r[0]: tuple(r[1:]) for r in weights.collect()} == {k: got[k] for k in (0, 1)}
+    assert messages.count() <= 3 * reps and messages.agg(F.sum(F.length("offsets"))).first()[0] == 2 * n * reps
+
+
+def test_bootstraps_do_not_join_rows_of_draws(spark):
+    """Every shuffle of the replicates is of messages: it was of entities x replicates rows."""
+    df = spark.createDataFrame([(str(i), i % 3 == 0, i % 2 == 0, float(i % 7), p) for i in range(40) for p in ("x", "y", None)],
+                               "entity string, true_high boolean, pred_high boolean, a double, part string")
+    rates = resample.replicate_rates(df.where("part = 'x'"), {"a": "a"}, 0.25, 30)
+    for out in (rates, resample.macro_bootstrap(df.withColumn("b", -F.col("a")), ["part"], {"a": "a", "b": "b"}, "a", 30, "a")):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "sha2" not in plan
+    assert rates.count() == 30 * 2 * 3
+
+
+def test_quota_cuts_take_the_first_copies(spark):
+    """Next to brute force: copies in order of place, for a quota that ends within a row's copies; unknown panels are panels."""
+    n, reps = 50, 12
+    df = spark.createDataFrame([(str(i), i % 3 == 0, i % 5 == 0, float(i * 7 % 11), i % 2) for i in range(n)], "entity string, true_high boolean, pred_high boolean, a double, part int")
+    got = {(r["replicate"], r["metric"]): r["value"] for r in resample.replicate_rates(df, {"a": "a"}, 0.3, reps, random=None).collect()}
+    order = sorted(range(n), key=lambda i: str(i))
+    people = spark.createDataFrame([(k + 1, n, e) for k, e in enumerate(order)], "_i long, _n long, e int")
+    drawn = {(r["replicate"], r["e"]): r["w"] for r in resample.weights_by_index(people.select("_i", "_n"), reps, 42).join(people, "_i").collect()}
+    for r in range(reps):
+        queue = [i for i in sorted(range(n), key=lambda i: (i % 5 == 0, -float(i * 7 % 11), str(i))) for _ in range(drawn.get((r, i), 0))]
+        quota = round(len(queue) * 0.3)
+        def misses(part): return sum(i % 3 == 0 and i % 5 != 0 for i in part)
+        assert got[r, "false_negative_capture"] == pytest.approx(misses(queue[:quota]) / misses(queue))
+        assert got[r, "lower_priority_false_omission_rate"] == pytest.approx(misses(queue[quota:]) / sum(i % 5 != 0 for i in queue[quota:]))
