@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quotaloom.operators.metrics import mean_sd, omission_metrics
 from quotaloom.operators.ranking import aurc, melt_scores, review_flags, risk_coverage
 from quotaloom.operators.rollup import endpoint_relative_panel
-from quotaloom.operators.scan import attach_small
+from quotaloom.operators.scan import asc, attach_small, ordered_scan
 from quotaloom.session import materialize
 
 #: the score of all components
@@ -42,10 +42,12 @@ def ablation_deltas(
     panel = list(panel)
     columns = {name: f"_without_{name}" for name in left_out(components)}
     scored = cases.withColumns({columns[n]: score for n, score in left_out(components).items()})
-    # read by the curves and by the entity table
-    scored = materialize(scored.select(*panel, case_id, entity, "endpoint", y_true, y_pred, F.abs(F.col(y_true) - F.col(y_pred)).alias("_error"), *columns.values()))
+    scored = scored.select(*panel, case_id, entity, "endpoint", y_true, y_pred, F.abs(F.col(y_true) - F.col(y_pred)).alias("_error"), *columns.values())
+    # cases are ordered by id once: a number stands for the id in the rows of each score.  Read by the curves and by the entity table
+    numbered = ordered_scan(scored, [asc(F.col(case_id).cast("string"))], rank="_case", total="_cases")
+    scored = materialize(numbered.drop(case_id, "_cases"))
     keys = [*panel, "removed"]
-    curves = risk_coverage(melt_scores(scored.select(*panel, case_id, "_error", *columns.values()), columns, "removed"), "_error", "score", case_id, keys)
+    curves = risk_coverage(melt_scores(scored.select(*panel, "_case", "_error", *columns.values()), columns, "removed"), "_error", "score", "_case", keys, numbered=True)
     areas = aurc(curves, keys).select(*keys, F.lit("aurc").alias("metric"), F.col("aurc").alias("value"))
     entities = materialize(endpoint_relative_panel(scored, level, list(columns.values()), panel).select(
         *panel, entity, "true_high", "pred_high", *columns.values()))

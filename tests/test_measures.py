@@ -430,3 +430,9 @@ def test_quota_cuts_take_the_first_copies(spark):
         def misses(part): return sum(i % 3 == 0 and i % 5 != 0 for i in part)
         assert got[r, "false_negative_capture"] == pytest.approx(misses(queue[:quota]) / misses(queue))
         assert got[r, "lower_priority_false_omission_rate"] == pytest.approx(misses(queue[quota:]) / sum(i % 5 != 0 for i in queue[quota:]))
+
+
+def test_numbered_cases_stand_in_the_order_of_their_numbers(spark):
+    df = spark.createDataFrame([(10, 1.0, 4.0), (2, 1.0, 2.0), (1, 3.0, 6.0)], "n long, score double, error double")
+    got = ranking.risk_coverage(df, "error", "score", "n", numbered=True).orderBy("rank").collect()
+    assert [(r["n"], r["risk"]) for r in got] == [(2, 2.0), (10, 3.0), (1, 4.0)]
