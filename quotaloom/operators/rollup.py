@@ -48,8 +48,11 @@ def locked_cutoffs(
 
 def attach_cutoffs(endpoint: DataFrame, cutoffs: DataFrame, by: Sequence[str] = (),
                    schema: CaseSchema = SCHEMA) -> DataFrame:
-    """Join the cutoffs; an endpoint without one fails the job instead of vanishing."""
-    joined = endpoint.join(cutoffs.select(*by, schema.endpoint, "cutoff"), [*by, schema.endpoint], "left")
+    """Join the cutoffs; an endpoint without one fails the job instead of vanishing.
+
+    The cutoffs are written down: of known size, a few are broadcast and rows of one endpoint don't meet in one task.
+    """
+    joined = endpoint.join(materialize(cutoffs.select(*by, schema.endpoint, "cutoff")), [*by, schema.endpoint], "left")
     guarded = F.when(F.col("cutoff").isNotNull(), F.col("cutoff")).otherwise(
         F.raise_error(F.concat(F.lit("endpoint without a concern cutoff: "),
                                F.coalesce(F.col(schema.endpoint), F.lit("NULL")))).cast("double"))
