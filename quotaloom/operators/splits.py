@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotaloom.operators.scan import Key, asc, attach_small, desc, flag_first, hash_key, ordered_scan
+from quotaloom.operators.scan import Key, asc, attach_small, cut_offs, desc, flag_first, hash_key, not_after, ordered_scan
 
 MISSING_GROUP = "__missing_group__"
+#: drawn rows of a repeat up to which a task that looks for them keeps no others (Spark's windowGroupLimitThreshold)
+FEW_DRAWN = 1000
 
 
 def _at_least_one(share: Column) -> Column:
@@ -188,13 +190,24 @@ def adaptation_draw(df: DataFrame, group: str, n_rows: int, seed: int = 42) -> D
 
 def repeated_draws(entities: DataFrame, entity: str, repeats: int, size: int, seed: int = 42) -> DataFrame:
     """``size`` entities without replacement in every repeat; the others are its evaluation set."""
-    copies = entities.select(
-        "*", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat"))
-    order = [asc(hash_key(F.concat(F.lit(f"{seed}-"), F.col("repeat").cast("string")), entity)),
-             asc(F.col(entity).cast("string"))]
-    scan = ordered_scan(copies, order, ["repeat"], rank="_r", total="_n")
-    role = F.when(F.col("_r") <= size, "development").otherwise("evaluation")
-    return scan.withColumn("role", role).drop("_r", "_n")
+    numbers = F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat")
+
+    def order(text: Column) -> list[Key]:
+        return [asc(hash_key(F.concat(F.lit(f"{seed}-"), F.col("repeat").cast("string")), text)), asc(text)]
+    text = F.col(entity).cast("string")
+    named = entities.select(text.alias("_text"), numbers)
+    if size <= FEW_DRAWN:
+        # each task keeps the first ``size`` rows of a repeat, so only they are moved
+        keyed = named.select("repeat", *[k.expr.alias(f"_key{i}") for i, k in enumerate(order(F.col("_text")))])
+        place = F.row_number().over(Window.partitionBy("repeat").orderBy(F.col("_key0").asc_nulls_last(), F.col("_key1").asc_nulls_last()))
+        first = keyed.withColumn("_r", place).where(F.col("_r") <= size)
+        cuts = first.groupBy("repeat").agg(F.max_by(F.struct("_key0", "_key1"), "_r").alias("_last"))
+    else:
+        cuts = cut_offs(named, order(F.col("_text")), ["repeat"], {"_last": F.least(F.col("_n"), F.lit(size))}).drop("_n")
+    copies = attach_small(entities.select("*", numbers), cuts, ["repeat"])
+    keys = [k.expr.alias(f"_own{i}") for i, k in enumerate(order(text))]
+    drawn = not_after([asc("_own0"), asc("_own1")], "_last")
+    return copies.select("*", *keys).withColumn("role", F.when(drawn, "development").otherwise("evaluation")).drop("_last", "_own0", "_own1")
 
 
 def partition_purity(df: DataFrame, group: str) -> DataFrame:
