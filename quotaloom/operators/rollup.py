@@ -154,7 +154,7 @@ def endpoint_relative_panel(
     """
     columns = {"true_value": schema.y_true, "pred_value": schema.y_pred, **{s: s for s in scores}}
     medians = materialize(endpoint_medians(cases, columns, by, schema))
-    cutoffs = quantiles(medians, "true_value", {"cutoff": level}, [*by, schema.endpoint])
+    cutoffs = quantiles(medians, "true_value", {"cutoff": level}, [*by, schema.endpoint], written=True)
     return panel_of_medians(medians, cutoffs, scores, by, schema)
 
 
