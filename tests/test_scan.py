@@ -66,6 +66,21 @@ def test_hot_groups_take_the_split_path(spark):
     assert np.allclose(got.loc[want.index, "m"], want.m) and (got.loc[want.index, "n"] == want.n).all()
 
 
+def test_hot_groups_are_counted_by_hash_first(spark, monkeypatch):
+    """Many small groups: no task holds a sum for each group; hot ones are found exactly among groups of their hash, null keys too."""
+    df = spark.range(3000).select((F.col("id") % 1000).alias("k"), F.lit("x").alias("j"))
+    plans = []
+    monkeypatch.setattr(scan, "materialize", lambda part: plans.append(part._jdf.queryExecution().optimizedPlan().toString()) or materialize(part))
+    assert scan.rows_and_hot_groups(df, ["k", "j"], 100) == (3000, None)
+    assert plans and not any("Aggregate [k#" in p for p in plans)
+    monkeypatch.setattr(scan, "COUNT_BUCKETS", 2)
+    more = spark.createDataFrame([(None, "x")] * 7 + [(5, None)] * 6 + [(5, "x")] * 2, "k long, j string")
+    rows, hot = scan.rows_and_hot_groups(df.unionByName(more), ["k", "j"], 4)
+    assert rows == 3015 and {tuple(r) for r in hot.collect()} == {(None, "x"), (5, None), (5, "x")}
+    assert scan.rows_and_hot_groups(df, ["k", "j"], 3) == (3000, None)
+    assert scan.rows_and_hot_groups(df.limit(0), ["k"], 3) == (0, None)
+
+
 def test_first_rows_keeps_one_row_per_key(spark):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), (None, 3, "z"), (None, 4, "w")], "k string, o int, v string")
     got = {(r.k, r.v) for r in scan.first_rows(df, ["k"], [F.col("o")]).collect()}
