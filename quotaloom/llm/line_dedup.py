@@ -80,9 +80,9 @@ def place() -> Column:
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """tag, v1, v2, whole, spot for each word left out of each candidate line, and for the whole line."""
-    words = lines.select(*DOC, LINE, "n", "has_head", "has_tail", "has_head_less", "has_tail_less", F.posexplode("words").alias("i", "word"))
-    line = common.Window.partitionBy(*DOC, LINE)
+    """tag, v1, v2, whole, no for each word left out of each candidate line, and for the whole line."""
+    words = lines.select("no", "n", "has_head", "has_tail", "has_head_less", "has_tail_less", F.posexplode("words").alias("i", "word"))
+    line = common.Window.partitionBy("no")
     before, upto = line.orderBy("i").rowsBetween(common.Window.unboundedPreceding, -1), line.orderBy("i").rowsBetween(common.Window.unboundedPreceding, 0)
     for k in (1, 2):
         here, moved = F.xxhash64(F.lit(k), "word", "i"), F.xxhash64(F.lit(k), "word", F.col("i") - 1)
@@ -102,7 +102,7 @@ def variants(lines: DataFrame) -> DataFrame:
     entries = F.array(
         entry(changed, F.col("i"), left_out, False), entry(added, F.lit(-1), left_out, False),
         entry((F.col("i") == 0) & (F.col("has_head") | F.col("has_tail")), F.lit(-1), [F.col("whole1"), F.col("whole2")], True))
-    return words.select(place().alias("spot"), F.explode(F.array_compact(entries)).alias("e")).select("spot", "e.*")
+    return words.select("no", F.explode(F.array_compact(entries)).alias("e")).select("no", "e.*")
 
 
 def within_one_word(a: Column, b: Column) -> Column:
@@ -121,21 +121,25 @@ def near_lines(distinct: DataFrame, base: DataFrame) -> DataFrame:
     shared = keys.groupBy("half").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("half")
     flags = keys.join(shared, "half").groupBy("key").agg(*(F.max(F.col("which") == k).alias(f"has_{name}") for k, name in enumerate(HALVES)))
     flags = common.materialize(flags.join(long.select("key", "first.*"), "key").drop("key"))
+    # candidate lines get numbers that rise with their places: one number moves and is compared instead of a place
+    placed = flags.repartitionByRange(common.shuffle_width(base.sparkSession), *DOC, LINE).sortWithinPartitions(*DOC, LINE)
+    flags = common.materialize(placed.withColumn("no", F.monotonically_increasing_id()))
     texts = lines_of(base.join(flags.select(*DOC).distinct(), list(DOC), "left_semi").dropDuplicates(list(DOC)))
-    lines = common.materialize(texts.join(flags, [*DOC, LINE]).select(
-        *DOC, LINE, F.split("norm", " ").alias("words"), word_count(F.col("norm")).alias("n"), *(f"has_{x}" for x in HALVES)))
-    found = variants(lines)
+    # written where their numbers belong, so that words are numbered and hashed without moving
+    lines = common.kept_by("no", texts.join(flags, [*DOC, LINE]).select(
+        "no", *DOC, LINE, F.split("norm", " ").alias("words"), word_count(F.col("norm")).alias("n"), *(f"has_{x}" for x in HALVES)))
+    found = common.materialize(variants(lines))
     best = found.groupBy("tag", "v1", "v2").agg(
-        F.min("spot").alias("any"), F.min(F.when(F.col("whole"), F.col("spot"))).alias("first_whole"),
-        F.min(F.when(~F.col("whole"), F.col("spot"))).alias("first_part"), F.count("*").alias("k")).where("k > 1")
+        F.min("no").alias("any"), F.min(F.when(F.col("whole"), F.col("no"))).alias("first_whole"),
+        F.min(F.when(~F.col("whole"), F.col("no"))).alias("first_part"), F.count("*").alias("k")).where("k > 1")
     other = F.when(F.col("tag") >= 0, F.col("any")).when(F.col("whole"), F.col("first_part")).otherwise(F.col("first_whole"))
-    pairs = found.join(best, ["tag", "v1", "v2"]).withColumn("partner", other).where("partner < spot")
-    pairs = pairs.groupBy("spot").agg(F.min("partner").alias("partner"))
-    texts = lines.select(place().alias("at"), "words")
-    checked = pairs.join(texts.withColumnsRenamed({"at": "spot", "words": "own"}), "spot").join(
-        texts.withColumnsRenamed({"at": "partner", "words": "theirs"}), "partner")
+    pairs = found.join(best, ["tag", "v1", "v2"]).withColumn("partner", other).where("partner < no")
+    pairs = pairs.groupBy("no").agg(F.min("partner").alias("partner"))
     own, theirs = F.col("own"), F.col("theirs")
-    return checked.where(within_one_word(own, theirs) | within_one_word(theirs, own)).select("spot", "partner")
+    checked = pairs.join(lines.select("no", place().alias("spot"), F.col("words").alias("own")), "no").join(
+        lines.select(F.col("no").alias("partner"), place().alias("earlier"), F.col("words").alias("theirs")), "partner")
+    checked = checked.where(within_one_word(own, theirs) | within_one_word(theirs, own))
+    return checked.select("spot", F.col("earlier").alias("partner"))
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

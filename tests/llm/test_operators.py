@@ -314,6 +314,17 @@ def test_line_dedup_is_brute_force(spark):
     assert sum(r.ld_near for r in got.values()) > 5 and got[0].chunk == "c" and got[0].ld_text == "l"
 
 
+def test_line_dedup_makes_variants_once_where_lines_lie(spark, monkeypatch):
+    """Words of candidate lines don't move, and variants carry one number instead of the place of their line."""
+    real, made = line_dedup.variants, []
+    monkeypatch.setattr(line_dedup, "variants", lambda lines: made.append(real(lines)) or made[-1])
+    texts = ["a b c d e f g h\nz", "a b c d X f g h", "b c d e f g h i j\na b c d e f g h"]
+    got = {r.doc_id: (r.ld_removed, r.ld_near) for r in line_dedup.dedup_lines(frame(spark, texts)).collect()}
+    assert got == {0: (0, 0), 1: (1, 1), 2: (1, 0)}
+    assert len(made) == 1 and set(made[0].columns) == {"no", "tag", "v1", "v2", "whole"}
+    assert "Exchange" not in made[0]._jdf.queryExecution().executedPlan().toString()
+
+
 def test_line_dedup_plan_is_native_and_takes_empty_and_repeated_rows(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
     rows = line_dedup.dedup_lines(frame(spark, ["p q\nr", "p q\nr", "r"], ids=[1, 1, None]))
