@@ -116,7 +116,7 @@ def index(train: DataFrame, counted: DataFrame, kernel: Kernel, features: Sequen
         rows = rows.sort_by("no")
         few = rows.slice(0, int(np.ceil(np.sqrt(rows.num_rows))))
         order = np.argsort(kernel.cells(_arrays(rows, columns), _arrays(few, columns)), kind="stable")
-        return rows.drop_columns(["no"]).take(pa.array(order)).append_column("no", pa.array(np.arange(1, len(order) + 1), pa.int32()))
+        return _nullable(rows.drop_columns(["no"]).take(pa.array(order))).append_column("no", pa.array(np.arange(1, len(order) + 1), pa.int32()))
     several = F.when(F.col("n") > leaf, F.ceil(F.sqrt("n") / 2)).otherwise(1)
     draw = Window.partitionBy("on").orderBy(F.xxhash64(F.lit("pivot"), "rid"), "rid")
     # at most MAX_PIVOTS rows of a key leave a task
